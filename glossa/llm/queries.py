@@ -4,15 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .licenses import license_scan
+from .line_dedup import line_dedup
+from .mixing import mix
 from .quality_rules import judged
 from .warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The mixture: domains by source, and the weights in the tree.
+WEB = [f"src{i}" for i in range(10)]
+BOOKS = [f"src{i}" for i in range(10, 15)]
+DOMAIN_WEIGHTS = {"web": 5, "books": 3, "forums": 2}
+LANGUAGE_WEIGHTS = {"en": 6, "fr": 2}
+
+
+def domain_of(source: Column) -> Column:
+    return F.when(source.isin(WEB), "web").when(source.isin(BOOKS), "books").otherwise("forums")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -26,7 +44,60 @@ def op6_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_dedup, op5_quality_rules, op6_warc_revisit)}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), domain_of(F.col("source")), DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op5_quality_rules, op6_warc_revisit, op8_line_dedup, op10_mixing)
+}
+
+
+def _fill(name: str, parent: str, nodes: str) -> str:
+    """One level of the budget tree: capped shares by weight, in whole tokens."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+        {name}1 AS (
+            SELECT *, cap * sum(weight) OVER ({by} ORDER BY cap / greatest(weight, 1), {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+                   <= weight * (budget - coalesce(sum(cap) OVER ({by} ORDER BY cap / greatest(weight, 1), {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full
+            FROM ({nodes})
+        ), {name}2 AS (
+            SELECT *, CASE WHEN is_full THEN 0 ELSE weight END AS open,
+                   budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({by}) AS rest FROM {name}1
+        ), {name}3 AS (
+            SELECT *, greatest(sum(open) OVER ({by}), 1) AS all_open, sum(open) OVER ({by} ORDER BY {name}) AS upto FROM {name}2
+        ), {name}_alloc AS (
+            SELECT *, CASE WHEN is_full THEN cap ELSE (rest * upto) // all_open - (rest * (upto - open)) // all_open END AS alloc FROM {name}3
+        )"""
+
+
+def _case(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+MIX_SQL = f"""
+        WITH d AS (
+            SELECT *, CASE WHEN source IN ({", ".join(f"'{x}'" for x in WEB)}) THEN 'web' WHEN source IN ({", ".join(f"'{x}'" for x in BOOKS)}) THEN 'books' ELSE 'forums' END AS domain,
+                   coalesce(lang, '') AS language, coalesce(source, '') AS leaf,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+            FROM documents
+        ), l AS (
+            SELECT domain, language, leaf, sum(n_tokens) AS tokens, 2 * sum(n_tokens) AS cap FROM d GROUP BY ALL
+        ), {_fill("domain", "", f"SELECT domain, sum(cap) AS cap, {_case('domain', DOMAIN_WEIGHTS)} AS weight, least((SELECT sum(tokens) FROM l) // 2, sum(sum(cap)) OVER ()) AS budget FROM l GROUP BY domain")},
+        {_fill("language", "domain", f"SELECT l.domain, language, sum(l.cap) AS cap, {_case('language', LANGUAGE_WEIGHTS)} AS weight, any_value(alloc) AS budget FROM l JOIN domain_alloc a ON l.domain = a.domain GROUP BY l.domain, language")},
+        {_fill("leaf", "domain, language", "SELECT l.domain, l.language, leaf, l.cap, 1 AS weight, alloc AS budget FROM l JOIN language_alloc a ON l.domain = a.domain AND l.language = a.language")},
+        p AS (
+            SELECT l.domain, l.language, l.leaf, coalesce(alloc // nullif(tokens, 0), 0)::BIGINT AS full_epochs, coalesce(alloc % nullif(tokens, 0), 0)::BIGINT AS part
+            FROM l JOIN leaf_alloc a ON l.domain = a.domain AND l.language = a.language AND l.leaf = a.leaf
+        ), o AS (
+            SELECT d.*, full_epochs, part, sum(n_tokens) OVER (PARTITION BY d.domain, d.language, d.leaf ORDER BY md5(concat_ws(':', '7', full_epochs::VARCHAR, coalesce(doc_id::VARCHAR, '')))) AS got
+            FROM d JOIN p ON d.domain = p.domain AND d.language = p.language AND d.leaf = p.leaf
+        )
+        SELECT doc_id, text, lang, source, n_chars, domain, unnest(range(0, full_epochs + CASE WHEN part > 0 AND got <= part THEN 1 ELSE 0 END)) AS epoch FROM o"""
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
@@ -69,4 +140,24 @@ SQL: dict[str, str] = {
                CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> last THEN last END AS refers_to
         FROM q""",
+    "op8_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, coalesce(source, '') AS host, unnest(list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' 	
+')), lambda x: x <> ''))) AS line
+            FROM documents
+        ), bad AS (
+            SELECT host, list(line) AS bad
+            FROM (SELECT host, line, count(*) AS pages FROM l GROUP BY ALL)
+            JOIN (SELECT coalesce(source, '') AS host, count(*) AS total FROM documents GROUP BY ALL) USING (host)
+            WHERE pages >= 3 AND pages > 0.05 * total GROUP BY host
+        ), s AS (
+            SELECT documents.*, string_split(text, chr(10)) AS lines,
+                   list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), trim(x, ' 	
+'))) AS good
+            FROM documents LEFT JOIN bad ON coalesce(source, '') = host
+        )
+        SELECT doc_id, CASE WHEN len(good) < len(lines) THEN array_to_string(good, chr(10)) ELSE text END AS text, lang, source, n_chars,
+               coalesce(len(lines) - len(good), 0)::BIGINT AS n_lines_dropped
+        FROM s""".replace(r"' \t\n\x0b\x0c\r'", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"),
+    "op10_mixing": MIX_SQL,
 }
