@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix
+from .packing import pack
 from .quality_rules import judged
 from .warc import warc_round_trip
 
@@ -36,6 +37,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op5_quality_rules, op6_warc_revisit, op8_line_dedup, op10_mixing)
+    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_packing, op5_quality_rules, op6_warc_revisit, op8_line_dedup, op10_mixing)
 }
 
 
@@ -143,7 +151,8 @@ SQL: dict[str, str] = {
     "op8_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, coalesce(source, '') AS host, unnest(list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' 	
-')), lambda x: x <> ''))) AS line
+
+')), lambda x: x <> ''))) AS line
             FROM documents
         ), bad AS (
             SELECT host, list(line) AS bad
@@ -153,7 +162,8 @@ SQL: dict[str, str] = {
         ), s AS (
             SELECT documents.*, string_split(text, chr(10)) AS lines,
                    list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), trim(x, ' 	
-'))) AS good
+
+'))) AS good
             FROM documents LEFT JOIN bad ON coalesce(source, '') = host
         )
         SELECT doc_id, CASE WHEN len(good) < len(lines) THEN array_to_string(good, chr(10)) ELSE text END AS text, lang, source, n_chars,
