@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: White space other than space and line end, with the control characters on which libraries differ.
-ODD = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
+ODD = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 

@@ -13,6 +13,7 @@ from .licenses import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
+from .pii import find_personal_data
 from .quality_rules import judged
 from .warc import warc_round_trip
 
@@ -52,6 +53,10 @@ def op6_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_packing, op5_quality_rules, op6_warc_revisit, op8_line_dedup, op10_mixing)
+    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_packing, op5_quality_rules, op6_warc_revisit, op7_personal_data, op8_line_dedup, op10_mixing)
 }
 
 
