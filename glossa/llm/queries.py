@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
 from .line_dedup import line_dedup
+from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .pii import find_personal_data
@@ -45,6 +46,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
@@ -66,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_packing, op5_quality_rules, op6_warc_revisit, op7_personal_data, op8_line_dedup, op10_mixing)
+    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_packing, op4_minhash, op5_quality_rules, op6_warc_revisit, op7_personal_data, op8_line_dedup, op10_mixing)
 }
 
 
