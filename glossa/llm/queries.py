@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import gam
 from .common import table
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
@@ -66,12 +67,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return gam.score(docs, gam.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), domain_of(F.col("source")), DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS)
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_packing, op4_minhash, op5_quality_rules, op6_warc_revisit, op7_personal_data, op8_line_dedup, op10_mixing)
+    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_packing, op4_minhash, op5_quality_rules, op6_warc_revisit, op7_personal_data, op8_line_dedup, op9_quality_classifier, op10_mixing)
 }
 
 
