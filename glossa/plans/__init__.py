@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables. Importing a module of this folder registers its queries."""
 
-from . import presentation, searches, words
+from . import discs, presentation, searches, words
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "presentation", "searches", "words"]
+__all__ = ["QUERIES", "SQL", "discs", "presentation", "searches", "words"]
