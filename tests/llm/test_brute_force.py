@@ -1,0 +1,169 @@
+"""Operators that SQL can't express, against plain versions over whole small tables."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import brute
+from glossa.llm import gam
+from glossa.llm import licenses as lic
+from glossa.llm import queries as Q
+from glossa.llm.minhash import Circulant, Shingles, near_duplicates
+from glossa.llm.packing import CachedTokenizer, pack
+from glossa.llm.quality_rules import RULES, Measures, cascade_order
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def test_license_places(spark, sf_dir, texts):
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in Q.op1_license_scan(spark, sf_dir).collect()}
+    assert got == {k: brute.license_base(t) for k, t in texts.items()}
+
+
+def test_license_templates(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+    rows = [(1, f"x y {mit} z"), (2, "SPDX-License-Identifier: MIT"), (3, "a b c"), (4, "Licensed under the GNU General Public License, version 3. Under the MIT license, under the MIT License"), (5, "free of charge for any person, without restriction")]
+    got = {r.doc_id: r for r in lic.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(1, 6)] == ["mit", "mit", "", "gpl-3,mit", ""]
+    assert got[1].score == 1.0 and got[3].score == 0.0 and (got[4].n_base, got[4].first_word, got[4].last_word) == (2, 9, 13)
+
+
+def test_personal_data(spark, sf_dir, texts):
+    for r in Q.op7_personal_data(spark, sf_dir).collect():
+        counts, digest, names = brute.personal_base(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == counts and r.base_sha256 == digest
+        assert set(filter(None, names.split(","))) <= set(r.spans.split(","))
+
+
+def test_personal_data_edges(spark):
+    from glossa.llm.pii import find_personal_data
+
+    random.seed(5)
+    bits = ["a@b.c", "_d@e.f", "x", "1.2.3.4", "256.1.1.1", "0001.2.3.4", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+12", " ", "\n", "é", "🙂", "9" * 30, ".", "-", "%", "@", "5500005555555559"]
+    rows = [(i, "".join(random.choice(bits) for _ in range(random.randint(0, 12)))) for i in range(300)]
+    for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        counts, digest, _ = brute.personal_base(rows[r.doc_id][1])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == counts and r.base_sha256 == digest, rows[r.doc_id]
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    from glossa.llm.pii import find_personal_data
+
+    rows = [(i, f"note {i}. Customer card no: {n} was used.") for i, n in enumerate(["4111111111111111", "5500005555555559", "340000000000009", "30000000000004", "6011000000000004", "201400000000009", "3088000000000009", "4012888888881881"])]
+    rows += [(100, "Customer card no: AB12-3456-7890-XY was used."), (101, "the number AB12-3456-7890-XZ is a part's."), (102, "clean text")]
+    got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), confidence=0.7).collect()}
+    assert got[100] == "id:18:35" and got[101] == "" and got[102] == ""
+
+
+def test_near_duplicates(spark, sf_dir, texts):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in Q.op4_minhash(spark, sf_dir).collect()}
+    assert got == {k: (n, c, k == c) for k, (n, c) in brute.components(texts).items()}
+
+
+def test_near_duplicates_of_a_large_family(spark):
+    """Many copies with edits near the threshold, texts that share a passage, and short texts."""
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(4))
+    base, shared = [word() for _ in range(60)], [word() for _ in range(60)]
+    rows = {}
+    for i in range(120):
+        t = list(base)
+        for _ in range(random.randint(0, 6)):
+            t[random.randrange(60)] = word()
+        rows[i] = " ".join(t)
+    rows |= {200 + i: " ".join(shared + [word() for _ in range(random.randint(5, 40))]) for i in range(80)}
+    rows |= {400 + i: " ".join(random.choice("abc") for _ in range(random.randint(0, 4))) for i in range(60)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == brute.components(rows)
+
+
+def test_circulant_signatures_estimate_similarity():
+    draw, sign = np.random.default_rng(1), Circulant()
+    common, a, b = (draw.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))
+    x, y = (sign.signature(np.unique(np.concatenate([common, s]))) for s in (a, b))
+    assert abs((x == y).mean() - 0.8) < 0.08
+    j = (sign.spread[(common & sign.mask).astype(np.int64)]).astype(np.int64)
+    order = np.concatenate([sign.shifted[:, -1]])
+    k = 5  # a coordinate is the second permutation, shifted, at the cells
+    assert sign.signature(common)[sign.k - 1 - k] == order[(j - k) % len(order)].min()
+
+
+def test_shingles_are_words_in_order():
+    s = Shingles(2)
+    assert len(s("a b a b")) == 2 and len(s("")) == 0 and len(s("a")) == 1
+    assert set(s("A\tb\x0bc")) == set(s("a b c")) and set(s("a b")) != set(s("b a"))
+    assert len(s("a\xa0b")) == 1
+
+
+def test_packing(spark, sf_dir, texts, plain_tokenizer):
+    ids = {k: plain_tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for k, t in texts.items()}
+    brute.check_packing(Q.op3_packing(spark, sf_dir).collect(), ids)
+
+
+def test_packing_holds_proportions_in_every_window(spark):
+    """Two queues at 3 to 1: a window's share is off by one document at most while both last."""
+    rows = [(i, "w " * (20 + i % 7), "ab"[i % 2]) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = pack(df, VOCABULARY, length=256, weights={"a": 3, "b": 1}, window_sequences=4).collect()
+    ids = {i: t for i, t, _ in rows}
+    source = {i: s for i, _, s in rows}
+    total = sum(r.length for r in got)
+    n_a = sum(r.length for r in got if source[r.doc_id] == "a")
+    both = n_a * 4 // 3
+    for w in range(both // 1024 - 2):
+        inside = [r for r in got if w * 4 <= r.sequence_id < w * 4 + 4]
+        a = sum(r.length for r in inside if source[r.doc_id] == "a")
+        assert abs(a - 768) <= 120, (w, a)
+    assert total == sum(r.length for r in got) and len(ids) == 800
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "é", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", " ", "\x1c", "<|endoftext|>", "'s", "don't", "1", "½", ".", "!!", "###", "日本", "🙂", "́", " \n", "\n "]), max_size=10).map("".join))
+def test_cached_tokens_are_the_tokenizers(text):
+    coder = CODER
+    want = np.asarray(coder.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert coder.encode_all(["some other text.", text])[1] == want
+
+
+CODER = CachedTokenizer(VOCABULARY, limit=40)
+
+
+def test_classifier_on_held_out_rows(spark, sf_dir):
+    rows = {r.doc_id: r for r in Q.op9_quality_classifier(spark, sf_dir).collect()}
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+    held = [(rows[r.doc_id], r.quality) for r in labels if rows[r.doc_id].held_out]
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert np.mean([x.predicted == y for x, y in held]) >= 0.9
+    assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in rows.values())
+
+
+def test_interactions_are_learnt():
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(3000, len(gam.NAMES)))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = gam.fit(x, y, rounds=40)
+    assert (0, 1) in model.pairs and np.mean((model.score(x) >= 0.5) == y) > 0.9
+    assert gam.fit(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
+
+
+def test_cascade_order_changes_no_verdict(spark, sf_dir, texts):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert sorted(cascade_order(docs)) == sorted(RULES)
+    kept = {r.doc_id for r in Q.op5_quality_rules(spark, sf_dir).where("kept").collect()}
+    assert kept == {k for k, t in texts.items() if not any(rule(Measures(t)) for rule in RULES.values())}
