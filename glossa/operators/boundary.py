@@ -53,3 +53,31 @@ def chosen(scores: DataFrame, tie: float = 0.03, least: float = 0.5) -> DataFram
     near = scores.join(top, "subbook").where(F.col("score") >= F.col("top") - tie)
     first = near.groupBy("subbook").agg(F.min(F.struct("offset", (-F.col("score")).alias("minus"), "code", "argument", "score")).alias("x"))
     return first.select("subbook", "x.code", "x.argument", "x.offset", "x.score")
+
+
+def chained(seeds: DataFrame, nexts: DataFrame, known: DataFrame, depth: int = 25) -> DataFrame:
+    """subbook, code, argument, offset, start, good: what is read when each candidate is followed from entry to entry.
+
+    seeds: subbook, start. nexts: subbook, code, argument, offset, start, next, where ``next`` begins what follows the
+    entry at ``start`` if that candidate ends it. known: subbook, start, of entries. A read is good where the
+    next is known; a chain ends after a bad one or ``depth`` reads, and a place that several chains meet
+    counts once. The walk is a recursive query, one join a step.
+    """
+    spark = seeds.sparkSession
+    there = known.select("subbook", F.col("start").alias("next")).distinct().withColumn("good", F.lit(True))
+    marked = nexts.join(there, ["subbook", "next"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    marked.select("subbook", "code", "argument", "offset", "start", "next", "good").createOrReplaceTempView("glossa_next_entries")
+    seeds.select("subbook", "start").distinct().createOrReplaceTempView("glossa_seed_entries")
+    return spark.sql(
+        f"""
+        WITH RECURSIVE chain(subbook, code, argument, offset, start, next, good, n) AS (
+            SELECT e.subbook, e.code, e.argument, e.offset, e.start, e.next, e.good, 1
+            FROM glossa_seed_entries s JOIN glossa_next_entries e ON e.subbook = s.subbook AND e.start = s.start
+            UNION ALL
+            SELECT e.subbook, e.code, e.argument, e.offset, e.start, e.next, e.good, c.n + 1
+            FROM chain c JOIN glossa_next_entries e
+                ON e.subbook = c.subbook AND e.code = c.code AND e.argument = c.argument AND e.offset = c.offset AND e.start = c.next
+            WHERE c.good AND c.n < {int(depth)}
+        )
+        SELECT DISTINCT subbook, code, argument, offset, start, good FROM chain"""
+    )

@@ -388,3 +388,31 @@ def sample_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, n = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
     name = F.when(n == 0, "word_asis").when(n == 1, "word_kana").when(n == 2, "word_alphabet").otherwise("endword_asis")
     return B.sampled_starts(p.select(F.col("p_brand").alias("subbook"), name.alias("name"), F.col("p_partkey").alias("ord"), F.col("p_size").cast("long").alias("start")), 40)
+
+
+#: Where each of two candidates leads from an entry; every brand's entries are known but for some sizes.
+NEXTS = """(SELECT 'book' AS subbook, code, 1 AS argument, off AS "offset", p_partkey AS start, p_partkey + step + p_size % 2 AS next
+    FROM part, (VALUES (7945, 0, 1), (8001, 4, 2)) c(code, off, step))"""
+CHAIN = f"""(WITH RECURSIVE e AS (SELECT n.*, k.p_partkey IS NOT NULL AS good FROM {NEXTS} n LEFT JOIN part k ON k.p_partkey = n.next AND k.p_size % 11 > 0),
+    chain AS (
+        SELECT e.*, 1 AS n FROM e JOIN part ON p_partkey = start WHERE p_partkey % 50 = 0
+        UNION ALL SELECT e.*, chain.n + 1 FROM chain JOIN e ON e.code = chain.code AND e.start = chain.next WHERE chain.good AND chain.n < 25)
+    SELECT DISTINCT subbook, code, argument, "offset", start, good FROM chain)"""
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.lit("book").alias("subbook"), F.col("p_partkey").alias("start"), "p_size")
+    options = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(1).alias("argument"), F.lit(o).alias("offset"), F.lit(s).alias("step")) for c, o, s in ((7945, 0, 1), (8001, 4, 2))])
+    nexts = p.withColumn("c", F.explode(options)).select("subbook", "c.code", "c.argument", "c.offset", "start", (F.col("start") + F.col("c.step") + F.col("p_size") % 2).alias("next"))
+    return B.chained(B.stride(p, ["subbook"], "start", 50), nexts, p.where(F.col("p_size") % 11 > 0))
+
+
+@query(f"SELECT * FROM {CHAIN}")
+def stop_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth entry is a seed of a chain; all chains are read."""
+    return chain(spark, sf_dir)
+
+
+@query(f"""SELECT subbook, code, argument, "offset", score FROM (SELECT *, max(score) OVER () AS top FROM (SELECT subbook, code, argument, "offset", sum(good::INT) / count(*) AS score FROM {CHAIN} GROUP BY ALL)) WHERE top >= 0.5 AND score >= top - 0.03 ORDER BY "offset" LIMIT 1""")
+def stop_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.chosen(B.scored(chain(spark, sf_dir)))
