@@ -82,7 +82,7 @@ def tokenized(docs: DataFrame, tokenizer: str, eos: int = 1, id_col: str = "doc_
     return rows.mapInArrow(run, f"doc_id {kind}, source string, doc_tokens long, ids binary")
 
 
-def stream_starts(meta: DataFrame, weights: Mapping[str, float] | None, window_tokens: int, seed: int = 7, chunk_rows: int = 20_000, group: int = 1024) -> DataFrame:
+def stream_starts(meta: DataFrame, weights: Mapping[str, float] | None, window_tokens: int, seed: int = 7, chunk_rows: int = 2_000, group: int = 1024) -> DataFrame:
     """rk, begin: where each document begins in the packed stream. meta: rk, doc_id, source, n."""
     stats = meta.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"))
     stats = written(stats, "queues")  # small, and of known size: broadcast below Spark's threshold only
@@ -139,7 +139,8 @@ def pack(
     tokens = tokenized(docs, tokenizer, eos, id_col, text_col, source_col)
     store = written(tokens.withColumn("rk", F.monotonically_increasing_id()), "tokens")
     starts = stream_starts(store.select("rk", "doc_id", "source", F.col("doc_tokens").alias("n")), weights, window_sequences * length, seed)
-    placed = store.select("rk", "doc_id", "doc_tokens", "ids").join(starts, "rk")
+    # A sort-merge join at every size: the starts grow with the documents and must not be broadcast.
+    placed = store.select("rk", "doc_id", "doc_tokens", "ids").join(starts.hint("merge"), "rk")
     pieces = placed.withColumn("sequence_id", F.explode(F.expr(f"sequence(begin DIV {length}, (begin + doc_tokens - 1) DIV {length})")))
     at = F.col("sequence_id") * length
     start = F.greatest(at - F.col("begin"), F.lit(0).cast("long"))
