@@ -26,15 +26,20 @@ ODD = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u2
 PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 
+#: Punctuation that byte-level BPE always splits off the letter or digit before it.
+TAIL = ".,;:!?#$%&*|"
+
+
 class CachedTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit integers, equal to the tokenizer's own.
 
-    The pattern of byte-level BPE never joins text across the border before " x" or around a lone line end,
-    so texts whose white space is only such borders are looked up piece by piece. Others, and those with a
-    special token's string, go to the tokenizer whole. The cache is emptied when it holds ``limit`` pieces.
+    The pattern of byte-level BPE never joins text across the border before " x", around a lone line end, or
+    between a letter or digit and the punctuation after it, so texts whose white space is only such borders
+    are looked up piece by piece. Others, and those with a special token's string, go to the tokenizer whole.
+    A cache is emptied when it holds ``limit`` pieces, which bounds it to a few hundred bytes times that.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,27 +47,42 @@ class CachedTokenizer:
         self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
         self.limit = limit
         self.pieces: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.tails: dict[str, bytes] = {}
         self.newline = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self, before: str, words: list[str]) -> dict[str, bytes]:
+    def _fill(self, before: str, words: set[str]) -> dict[str, bytes]:
+        """The cache of pieces that stand behind ``before``, with all the words."""
         cache = self.pieces[before]
         if len(cache) > self.limit:
             cache.clear()
-        if new := [w for w in dict.fromkeys(words) if w not in cache]:
-            cache.update(zip(new, self.whole([before + w for w in new]), strict=True))
+            self.tails.clear()
+        if new := words.difference(cache):
+            cut = {w: core for w in new if (core := w.rstrip(TAIL)) != w and core and core[-1].isalnum()}
+            plain = list((new - cut.keys()).union(cut.values()).difference(cache))
+            cache.update(zip(plain, self.whole([before + w for w in plain]), strict=True))
+            tails = list({w[len(core) :] for w, core in cut.items()}.difference(self.tails))
+            self.tails.update(zip(tails, self.whole(tails), strict=True))
+            for w, core in cut.items():
+                cache[w] = cache[core] + self.tails[w[len(core) :]]
         return cache
 
-    def encode(self, text: str) -> bytes:
-        if ODD.search(text) or any(x in text for x in PAIRS) or any(x in text for x in self.special):
-            return self.whole([text])[0]
-        lines = [x.split(" ") for x in text.split("\n")]
-        inner = self._fill(" ", [w for x in lines for w in x[1:]])
-        rest = [b"".join([inner[w] for w in x[1:]]) for x in lines]
-        first = self._fill("", [x[0] for x in lines])
-        return self.newline.join([first[x[0]] + r for x, r in zip(lines, rest, strict=True)])
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [None if ODD.search(t) or any(x in t for x in PAIRS) or any(x in t for x in self.special) else [x.split(" ") for x in t.split("\n")] for t in texts]
+        plain = [x for lines in split if lines is not None for x in lines]
+        first = self._fill("", {x[0] for x in plain})
+        inner = self._fill(" ", {w for x in plain for w in x[1:]})
+
+        def joined(lines: list[list[str]]) -> bytes:
+            return self.newline.join([b"".join([first[x[0]], *[inner[w] for w in x[1:]]]) for x in lines])
+
+        return [self.whole([t])[0] if lines is None else joined(lines) for t, lines in zip(texts, split, strict=True)]
+
+
+#: One tokenizer for each file and Python worker, so that tasks go on with the pieces of those before them.
+CODERS: dict[str, CachedTokenizer] = {}
 
 
 def tokenized(docs: DataFrame, tokenizer: str, eos: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -70,11 +90,11 @@ def tokenized(docs: DataFrame, tokenizer: str, eos: int = 1, id_col: str = "doc_
     end = np.asarray([eos], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = CachedTokenizer(tokenizer)
+        coder = CODERS.get(tokenizer) or CODERS.setdefault(tokenizer, CachedTokenizer(tokenizer))
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [coder.encode(t or "") + end for t in part.column(2).to_pylist()]
+                ids = [x + end for x in coder.encode_all([t or "" for t in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "doc_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
