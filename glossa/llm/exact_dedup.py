@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import squeezed, text_or_empty
+from .common import squeezed, text_or_empty, written
 
 
 def content_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, prefix: int = 24) -> DataFrame:
@@ -48,6 +48,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("text_sha256")
         .agg(F.min("run_min").alias("keep_id"), F.sum("run_size").alias("group_size"))
     )
+    totals = written(totals, "totals")  # the join below then reads plain shuffles, whose hot partitions Spark splits
     light = (
         docs.select(F.col(id_col).alias("id"), F.sha2(squeezed(text_or_empty(text_col)), 256).alias("text_sha256"))
         .groupBy("text_sha256", "id")

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
@@ -136,11 +136,43 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    with_a = pairs.join(texts.select(F.col("rk").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("rk").alias("b"), F.col("text").alias("text_b")), "b")
+    with_a = pairs.join(texts.select(F.col("rk").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    with_b = with_a.join(texts.select(F.col("rk").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def rarest_shingles(nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """node, n, part, shared (shingles that other nodes have), key and place: each node's rarest shingles, as many as a link needs to share one of.
+
+    Two sets of at least that similarity have one in common among the n - ceil(n * percent / 100) + 1 that come
+    first in any one order; here the order is that of the number of nodes. Passages that many texts share come
+    last, and bring no texts together that share little else. nodes: node, n, part; those that stand alone
+    with a shingle come before all others and need no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Shingles(shingle)
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                c = b.slice(at, 200)
+                each = [sets(t).view(np.int64) for t in c.column(3).to_pylist()]
+                ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
+                yield pa.RecordBatch.from_arrays([*c.columns[:3], keys], names=["node", "n", "part", "keys"])
+
+    full = nodes.join(texts.withColumnRenamed("rk", "node"), "node").select("node", "n", "part", "text")
+    rows = written(full.mapInArrow(run, "node long, n long, part long, keys array<bigint>"), "shingles")
+    each = rows.select("node", "n", "part", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rated = each.join(shared, "key")
+    by = Window.partitionBy("node")
+    shared_n = F.count(F.lit(1)).over(by)
+    place = F.col("n") - shared_n + F.row_number().over(by.orderBy("df", "key"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    placed = rated.withColumns({"shared": shared_n, "place": place}).where(F.col("place") <= first)
+    return placed.select("node", "n", "part", "shared", "key", "place")
+
+
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 2, bands: int = 48, rows: int = 6) -> DataFrame:
     """docs with __rk and __n, component_id and __kept: one kept row in each component.
 
@@ -164,19 +196,25 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     first = first.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").where(fits).select("a", "b")
     first = written(first, "pairs")
     wanted = buckets.select("node").distinct()
-    texts = written(store.select(F.col("__rk").alias("node"), F.col(text_col).alias("text")).join(wanted, "node").withColumnRenamed("node", "rk"), "texts")
+    texts = written(store.select(F.col("__rk").alias("node"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "node").withColumnRenamed("node", "rk"), "texts")
     links = written(confirmed(first, texts, percent, shingle), "links")
 
     parts = connected_components(links)
     placed = buckets.join(parts, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    mixed = written(placed.join(mixed, "key"), "mixed")
-    groups = mixed.select("key", "part").distinct()
-    other = groups.select("key", F.col("part").alias("part_b"))
-    across = groups.withColumnRenamed("part", "part_a").join(other, "key").where("part_a < part_b")
-    left = mixed.select("key", F.col("part").alias("part_a"), F.col("node").alias("x"), "n")
-    right = mixed.select("key", F.col("part").alias("part_b"), F.col("node").alias("y"), F.col("n").alias("m"))
-    second = across.join(left, ["key", "part_a"]).join(right, ["key", "part_b"]).where(fits)
+    mixed = written(placed.join(mixed, "key").select("node", "n", "part").distinct(), "mixed")
+    rare = written(rarest_shingles(mixed, texts, percent, shingle), "rare")
+    # The smaller set of a link shares one of its first n - ceil(n * 2 p / (100 + p)) + 1, the larger one of all kept.
+    small = rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
+    parts_a = small.select("key", F.col("part").alias("part_a")).distinct()
+    parts_b = rare.select("key", F.col("part").alias("part_b")).distinct()
+    across = parts_a.join(parts_b, "key").where("part_a <> part_b")
+    left = small.select("key", F.col("part").alias("part_a"), F.col("node").alias("x"), "n", F.col("shared").alias("s"))
+    right = rare.select("key", F.col("part").alias("part_b"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("shared").alias("t"))
+    # Shingles that no other set has can't be common.
+    common = F.least("s", "t")
+    reachable = (F.col("n") <= F.col("m")) & (F.lit(100) * common >= F.lit(percent) * (F.col("n") + F.col("m") - common))
+    second = across.join(left, ["key", "part_a"]).join(right, ["key", "part_b"]).where(fits & reachable)
     second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
@@ -189,7 +227,8 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     heads = written(nodes.groupBy("label").agg(F.min("first").alias("head")), "heads")
     named = written(nodes.join(heads, "label").select(F.col("__set").alias("of"), F.col("head.id").alias("component_id"), F.col("head.rk").alias("head")), "named")
     kept = F.when(F.col("of").isNull(), True).otherwise(F.col("__rk") == F.col("head"))
-    out = store.drop("__bands", "component_id", "__kept").join(named, F.col("__set") == F.col("of"), "left")
+    # Sort-merge joins at every size: what is joined to the texts grows with them and must not be broadcast.
+    out = store.drop("__bands", "component_id", "__kept").join(named.hint("merge"), F.col("__set") == F.col("of"), "left")
     return out.withColumns({"__kept": kept, "component_id": F.when(F.col("of").isNull(), F.col(id_col)).otherwise(F.col("component_id"))})
 
 

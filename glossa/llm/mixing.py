@@ -85,7 +85,7 @@ def mix(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
-    chunk_rows: int = 4096,
+    chunk_rows: int = 256,
 ) -> DataFrame:
     """docs' columns, domain and epoch: one row per document and epoch in which it is drawn.
 

@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator, Mapping
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,13 @@ PAIRS = ("  ", " \n", "\n ", "\n\n")
 TAIL = ".,;:!?#$%&*|"
 
 
+def little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class CachedTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit integers, equal to the tokenizer's own.
 
@@ -39,7 +49,7 @@ class CachedTokenizer:
     A cache is emptied when it holds ``limit`` pieces, which bounds it to a few hundred bytes times that.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +61,7 @@ class CachedTokenizer:
         self.newline = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [little_endian(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _fill(self, before: str, words: set[str]) -> dict[str, bytes]:
         """The cache of pieces that stand behind ``before``, with all the words."""
@@ -81,8 +91,13 @@ class CachedTokenizer:
         return [self.whole([t])[0] if lines is None else joined(lines) for t, lines in zip(texts, split, strict=True)]
 
 
-#: One tokenizer for each file and Python worker, so that tasks go on with the pieces of those before them.
-CODERS: dict[str, CachedTokenizer] = {}
+@cache
+def coder_for(path: str) -> CachedTokenizer:
+    """One tokenizer for each file and Python worker, so that tasks go on with the pieces of those before them.
+
+    Tasks find it by its name in this module; a function that Spark ships by value would bring a new one.
+    """
+    return CachedTokenizer(path)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, eos: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -90,7 +105,7 @@ def tokenized(docs: DataFrame, tokenizer: str, eos: int = 1, id_col: str = "doc_
     end = np.asarray([eos], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = CODERS.get(tokenizer) or CODERS.setdefault(tokenizer, CachedTokenizer(tokenizer))
+        coder = coder_for(tokenizer)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
