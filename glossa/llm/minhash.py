@@ -6,8 +6,9 @@ the document's cells. Bands of coordinates name candidates, and links are confir
 similarity of the full shingle sets.
 
 Documents with equal sets are one class. In each bucket the members are compared with the bucket's first
-member; then, where a bucket still has members of several components, with the members of the others, so no
-candidate that could join two components is left out and no group is compared all with all.
+member. Where a bucket still has members of several components, their rarest shingles bring them together:
+first neighbours under a shingle, then the members of components that are still apart and whose order of
+shingles lets them reach the similarity. No candidate that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -142,7 +143,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
 
 
 def rarest_shingles(nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """node, n, part, shared (shingles that other nodes have), key and place: each node's rarest shingles, as many as a link needs to share one of.
+    """node, n, part, key and place: each node's rarest shingles, as many as a link needs to share one of.
 
     Two sets of at least that similarity have one in common among the n - ceil(n * percent / 100) + 1 that come
     first in any one order; here the order is that of the number of nodes. Passages that many texts share come
@@ -169,8 +170,7 @@ def rarest_shingles(nodes: DataFrame, texts: DataFrame, percent: int, shingle: i
     shared_n = F.count(F.lit(1)).over(by)
     place = F.col("n") - shared_n + F.row_number().over(by.orderBy("df", "key"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    placed = rated.withColumns({"shared": shared_n, "place": place}).where(F.col("place") <= first)
-    return placed.select("node", "n", "part", "shared", "key", "place")
+    return rated.withColumn("place", place).where(F.col("place") <= first).select("node", "n", "part", "key", "place")
 
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 2, bands: int = 48, rows: int = 6) -> DataFrame:
@@ -204,19 +204,27 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     mixed = written(placed.join(mixed, "key").select("node", "n", "part").distinct(), "mixed")
     rare = written(rarest_shingles(mixed, texts, percent, shingle), "rare")
+    # A link's first common shingle, in the order of places, leaves at most the rest of either set to share.
+    in_reach = F.lit(100 + percent) * (1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) >= F.lit(percent) * (F.col("n") + F.col("m"))
+    by = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy(F.xxhash64("node", "key"))
+    beside = rare.withColumnRenamed("place", "i").withColumns({c: F.lag(of).over(by) for c, of in {"x": "node", "other": "part", "m": "n", "j": "i"}.items()})
+    beside = beside.where(F.col("other") != F.col("part")).where(in_reach)
+    beside = written(beside.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(written(confirmed(beside, texts, percent, shingle), "links"))
+    parts = connected_components(links)
+
+    rare = written(rare.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label"), "rare")
     # The smaller set of a link shares one of its first n - ceil(n * 2 p / (100 + p)) + 1, the larger one of all kept.
     small = rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
     parts_a = small.select("key", F.col("part").alias("part_a")).distinct()
     parts_b = rare.select("key", F.col("part").alias("part_b")).distinct()
     across = parts_a.join(parts_b, "key").where("part_a <> part_b")
-    left = small.select("key", F.col("part").alias("part_a"), F.col("node").alias("x"), "n", F.col("shared").alias("s"))
-    right = rare.select("key", F.col("part").alias("part_b"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("shared").alias("t"))
-    # Shingles that no other set has can't be common.
-    common = F.least("s", "t")
-    reachable = (F.col("n") <= F.col("m")) & (F.lit(100) * common >= F.lit(percent) * (F.col("n") + F.col("m") - common))
-    second = across.join(left, ["key", "part_a"]).join(right, ["key", "part_b"]).where(fits & reachable)
+    left = small.select("key", F.col("part").alias("part_a"), F.col("node").alias("x"), "n", F.col("place").alias("i"))
+    right = rare.select("key", F.col("part").alias("part_b"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("place").alias("j"))
+    second = across.join(left, ["key", "part_a"]).join(right, ["key", "part_b"]).where((F.col("n") <= F.col("m")) & fits & in_reach)
     second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    second = second.join(first.unionByName(beside), ["a", "b"], "left_anti")
+    second = written(second, "pairs")
     if not second.isEmpty():
         more = written(confirmed(second, texts, percent, shingle), "links")
         if not more.isEmpty():
