@@ -14,7 +14,7 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import cache
 
 import numpy as np
@@ -40,6 +40,30 @@ def little_endian(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class Pieces(dict[str, bytes]):
+    """The ids of pieces that stand behind ``before``, each made when first asked for; emptied at ``limit`` pieces."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], before: str, tails: dict[str, bytes], limit: int):
+        super().__init__()
+        self.encode, self.before, self.tails, self.limit = encode, before, tails, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        core = piece.rstrip(TAIL)
+        if core != piece and core and core[-1].isalnum():
+            tail = piece[len(core) :]
+            if tail not in self.tails:
+                if len(self.tails) >= self.limit:
+                    self.tails.clear()
+                self.tails[tail] = self.encode([tail])[0]
+            ids = self[core] + self.tails[tail]
+        else:
+            ids = self.encode([self.before + piece])[0]
+        if len(self) >= self.limit:
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class CachedTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit integers, equal to the tokenizer's own.
 
@@ -55,40 +79,22 @@ class CachedTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
-        self.limit = limit
-        self.pieces: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
-        self.tails: dict[str, bytes] = {}
+        tails: dict[str, bytes] = {}
+        self.first, self.inner = (Pieces(self.whole, before, tails, limit) for before in ("", " "))
         self.newline = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [little_endian(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self, before: str, words: set[str]) -> dict[str, bytes]:
-        """The cache of pieces that stand behind ``before``, with all the words."""
-        cache = self.pieces[before]
-        if len(cache) > self.limit:
-            cache.clear()
-            self.tails.clear()
-        if new := words.difference(cache):
-            cut = {w: core for w in new if (core := w.rstrip(TAIL)) != w and core and core[-1].isalnum()}
-            plain = list((new - cut.keys()).union(cut.values()).difference(cache))
-            cache.update(zip(plain, self.whole([before + w for w in plain]), strict=True))
-            tails = list({w[len(core) :] for w, core in cut.items()}.difference(self.tails))
-            self.tails.update(zip(tails, self.whole(tails), strict=True))
-            for w, core in cut.items():
-                cache[w] = cache[core] + self.tails[w[len(core) :]]
-        return cache
+    def encode(self, text: str) -> bytes:
+        if ODD.search(text) or any(x in text for x in PAIRS) or any(x in text for x in self.special):
+            return self.whole([text])[0]
+        first, inner = self.first, self.inner.__getitem__
+        lines = [x.split(" ") for x in text.split("\n")]
+        return self.newline.join([b"".join([first[x[0]], *map(inner, x[1:])]) for x in lines])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [None if ODD.search(t) or any(x in t for x in PAIRS) or any(x in t for x in self.special) else [x.split(" ") for x in t.split("\n")] for t in texts]
-        plain = [x for lines in split if lines is not None for x in lines]
-        first = self._fill("", {x[0] for x in plain})
-        inner = self._fill(" ", {w for x in plain for w in x[1:]})
-
-        def joined(lines: list[list[str]]) -> bytes:
-            return self.newline.join([b"".join([first[x[0]], *[inner[w] for w in x[1:]]]) for x in lines])
-
-        return [self.whole([t])[0] if lines is None else joined(lines) for t, lines in zip(texts, split, strict=True)]
+        return [self.encode(t) for t in texts]
 
 
 @cache
