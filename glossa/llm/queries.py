@@ -64,7 +64,8 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"))
+    """Each row is a page, as its SQL counts them."""
+    return line_dedup(table(spark, sf_dir, "documents"), copies_once=False)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import brute
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from glossa.llm.common import written
 from glossa.llm.quality_rules import RULES, Measures
@@ -37,3 +38,17 @@ def test_stages(spark, sf_dir):
 
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_one_full_copy_leaves_near_dedup(spark, sf_dir):
+    """A third of a source is one text: line dedup leaves it whole, and near-dedup keeps one row of it."""
+    text = lambda k: "\n".join(["a line of every page", *(" ".join(f"w{k}x{j}y{i}" for i in range(12)) for j in range(6))])
+    rows = [(i, text(0 if i < 30 else i), "en", "s") for i in range(90)] + [(100 + i, text(0 if i < 3 else 100 + i), "en", None) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    stages = dict(corpus_pipeline.STAGES)
+    docs = written(stages["line_dedup"](spark, df.repartition(5), sf_dir), "line_dedup")
+    own = {i: t.split("\n", 1)[1] for i, t, _, _ in rows}
+    assert {r.doc_id: r.text for r in docs.collect()} == own
+    kept = stages["near_dedup"](spark, docs, sf_dir).collect()
+    assert [r.doc_id for r in kept if r.text == own[0]] == [0]
+    assert sorted(r.doc_id for r in kept) == [0, *range(30, 90), *range(103, 109)]
