@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import written
+
 
 def stride(df: DataFrame, by: list[str], order: str, step: int, trials: int | None = None) -> DataFrame:
     """Every step-th row of each group from the first on, the first ``trials`` of them."""
@@ -61,23 +63,17 @@ def chained(seeds: DataFrame, nexts: DataFrame, known: DataFrame, depth: int = 2
     seeds: subbook, start. nexts: subbook, code, argument, offset, start, next, where ``next`` begins what follows the
     entry at ``start`` if that candidate ends it. known: subbook, start, of entries. A read is good where the
     next is known; a chain ends after a bad one or ``depth`` reads, and a place that several chains meet
-    counts once. The walk is a recursive query, one join a step.
+    counts once. A step is one join, written before the next, so that rows have no limit.
     """
-    spark = seeds.sparkSession
     there = known.select("subbook", F.col("start").alias("next")).distinct().withColumn("good", F.lit(True))
     marked = nexts.join(there, ["subbook", "next"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
-    marked.select("subbook", "code", "argument", "offset", "start", "next", "good").createOrReplaceTempView("glossa_next_entries")
-    seeds.select("subbook", "start").distinct().createOrReplaceTempView("glossa_seed_entries")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE chain(subbook, code, argument, offset, start, next, good, n) AS (
-            SELECT e.subbook, e.code, e.argument, e.offset, e.start, e.next, e.good, 1
-            FROM glossa_seed_entries s JOIN glossa_next_entries e ON e.subbook = s.subbook AND e.start = s.start
-            UNION ALL
-            SELECT e.subbook, e.code, e.argument, e.offset, e.start, e.next, e.good, c.n + 1
-            FROM chain c JOIN glossa_next_entries e
-                ON e.subbook = c.subbook AND e.code = c.code AND e.argument = c.argument AND e.offset = c.offset AND e.start = c.next
-            WHERE c.good AND c.n < {int(depth)}
-        )
-        SELECT DISTINCT subbook, code, argument, offset, start, good FROM chain"""
-    )
+    steps = written(marked.select("subbook", "code", "argument", "offset", "start", "next", "good").distinct(), "steps")
+    reads = written(steps.join(seeds.select("subbook", "start").distinct(), ["subbook", "start"]).select(steps.columns), "chain")
+    found = reads
+    for _ in range(int(depth) - 1):
+        ahead = reads.where("good").select("subbook", "code", "argument", "offset", F.col("next").alias("start")).distinct()
+        reads = written(steps.join(ahead, ["subbook", "code", "argument", "offset", "start"]).select(steps.columns), "chain")
+        if reads.isEmpty():
+            break
+        found = found.unionByName(reads)
+    return found.select("subbook", "code", "argument", "offset", "start", "good").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stored import written
+
 
 def references(pages: DataFrame, page_id: str = "page_id", body: str = "html") -> DataFrame:
     """page_id, nth, target: the links of each page in their order."""
@@ -17,24 +19,24 @@ def followed(refs: DataFrame, targets: DataFrame) -> DataFrame:
     return refs.join(targets, "target")
 
 
-def menu_tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def menu_tree(edges: DataFrame, roots: DataFrame, deepest: int = 100) -> DataFrame:
     """node, label, level, path of a tree walked from its roots. edges: parent, node, label; roots: node, label.
 
-    The walk is a recursive query: a level is one join of the frontier with the edges.
+    A level is one join of the frontier with the edges, written before the next, so that rows have no limit.
+    More than ``deepest`` levels below the roots, as in a cycle, are an error.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("glossa_menu_edges")
-    roots.createOrReplaceTempView("glossa_menu_roots")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(node, label, level, path) AS (
-            SELECT node, label, 0, label FROM glossa_menu_roots
-            UNION ALL
-            SELECT e.node, e.label, w.level + 1, concat(w.path, ' > ', e.label)
-            FROM walk w JOIN glossa_menu_edges e ON e.parent = w.node
-        )
-        SELECT * FROM walk"""
-    )
+    steps = edges.select(F.col("parent").alias("up"), F.col("node").alias("to"), F.col("label").alias("name"))
+    frontier = written(roots.select("node", "label", F.lit(0).alias("level"), F.col("label").alias("path")), "menu")
+    found = frontier
+    while not frontier.isEmpty():
+        below = frontier.join(steps, F.col("node") == F.col("up"))
+        below = below.select(F.col("to").alias("node"), F.col("name").alias("label"), (F.col("level") + 1).alias("level"), F.concat("path", F.lit(" > "), "name").alias("path"))
+        frontier = written(below, "menu")
+        deepest -= 1
+        if deepest < 0 and not frontier.isEmpty():
+            raise ValueError("the menu is deeper than allowed, or has a cycle")
+        found = found.unionByName(frontier)
+    return found
 
 
 def without_target(candidates: DataFrame) -> DataFrame:

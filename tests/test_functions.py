@@ -9,6 +9,7 @@ from glossa.functions import normalize as N
 from glossa.functions import present as P
 from glossa.operators import boundary as B
 from glossa.operators import entries as E
+from glossa.operators import links as L
 from glossa.operators import lookup as K
 from glossa.operators import runs as R
 from glossa.sources import discs as D
@@ -154,6 +155,25 @@ def test_stop_choice_prefers_small_offsets_within_the_tie(spark):
     assert [(r.subbook, r.code, r.argument) for r in got] == [("s", 0x1F09, 1)]
 
 
+def test_walks_have_no_row_limit(spark):
+    """More rows than a recursive query may have."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        roots = spark.createDataFrame([("r", "R")], "node string, label string")
+        edges = spark.createDataFrame([("r", f"n{i}", f"N{i}") for i in range(30)] + [("n3", "m", "M")], "parent string, node string, label string")
+        got = L.menu_tree(edges, roots).collect()
+        assert len(got) == 32 and [(r.level, r.path) for r in got if r.node == "m"] == [(2, "R > N3 > M")]
+        nexts = spark.range(60).selectExpr("'s' subbook", "1 code", "1 argument", "0 offset", "id start", "id + 1 next")
+        known = spark.range(59).selectExpr("'s' subbook", "id start")
+        read = B.chained(known.where("start % 10 = 0"), nexts, known, depth=7).collect()
+        assert sorted(r.start for r in read) == sorted(s + i for s in range(0, 60, 10) for i in range(7))
+        assert all(r.good for r in read if r.start < 58)
+        with pytest.raises(ValueError):
+            L.menu_tree(edges.union(spark.createDataFrame([("m", "r", "R")], edges.schema)), roots, deepest=5)
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def decoded(spark, *hexes, **how):
     df = spark.createDataFrame([(i, bytes.fromhex(h)) for i, h in enumerate(hexes)], "entry int, bytes binary")
     return {r.entry: r for r in E.entry_texts(E.events(E.tokens(df), **how)).collect()}
