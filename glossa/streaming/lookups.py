@@ -15,9 +15,13 @@ def latest_keystrokes(events: DataFrame, delay: str = "10 minutes", window: str
     return grouped.agg(F.max_by("word", "ts").alias("word"))
 
 
-def answered(events: DataFrame, entries: DataFrame) -> DataFrame:
-    """Query events joined to the entries whose first letters they are; entries: begin, key, ord, one row for each length asked."""
-    return events.join(entries, events["word"] == entries["begin"])
+def answered(events: DataFrame, entries: DataFrame, longest: int = 8) -> DataFrame:
+    """Query events joined to the entries whose first letters they are; entries: beginnings() up to the same length.
+
+    A longer word meets the keys that have its first ``longest`` letters, and is compared with them in full.
+    """
+    first = F.substring(events["word"], 1, longest)
+    return events.join(entries, (first == entries["begin"]) & F.startswith(entries["key"], events["word"]))
 
 
 def busy_words(events: DataFrame, delay: str = "10 minutes", window: str = "10 minutes") -> DataFrame:

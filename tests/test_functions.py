@@ -15,6 +15,7 @@ from glossa.operators import runs as R
 from glossa.sources import discs as D
 from glossa.sources import files as S
 from glossa.sources import textfiles as T
+from glossa.streaming import lookups as W
 
 
 def value(spark, column):
@@ -174,6 +175,13 @@ def test_walks_have_no_row_limit(spark):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
 
 
+def test_streamed_words_of_any_length_are_answered(spark):
+    keys = spark.createDataFrame([("abcdefghijkl",), ("abcdefghxyz",), ("abcdefgh",), ("ab",)], "key string")
+    words = spark.createDataFrame([(w,) for w in ("ab", "abcdefgh", "abcdefghi", "abcdefghijkl", "abcdefghijklm", "")], "word string")
+    got = W.answered(words, W.beginnings(keys)).groupBy("word").count().collect()
+    assert {r.word: r["count"] for r in got} == {"ab": 4, "abcdefgh": 3, "abcdefghi": 1, "abcdefghijkl": 1}
+
+
 def decoded(spark, *hexes, **how):
     df = spark.createDataFrame([(i, bytes.fromhex(h)) for i, h in enumerate(hexes)], "entry int, bytes binary")
     return {r.entry: r for r in E.entry_texts(E.events(E.tokens(df), **how)).collect()}
