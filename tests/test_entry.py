@@ -1,10 +1,11 @@
 import subprocess
 import sys
-
-from conftest import ROOT
+from pathlib import Path
 
 import __spark_entry__ as entry
 
+ROOT = Path(__file__).resolve().parent.parent
+
 
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
@@ -23,7 +24,7 @@ def test_entry_without_the_corpus_operators():
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name in ('corpus_pipeline', 'glossa.llm') or name.startswith('glossa.llm.'):\n"
-        "            raise ImportError(name)\n"
+        "            raise ModuleNotFoundError(name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert 'search_prefix' in e.queries() and 'pipeline' not in e.queries()\n"
