@@ -20,9 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where the session names none, a local session gets a folder of its own; on a cluster that is an error, as
+    executors couldn't see each other's files in it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='glossa-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

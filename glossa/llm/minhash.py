@@ -5,10 +5,11 @@ shingles over the cells, the second, shifted circularly by k places, gives coord
 the document's cells. Bands of coordinates name candidates, and links are confirmed by the exact Jaccard
 similarity of the full shingle sets.
 
-Documents with equal sets are one class. In each bucket the members are compared with the bucket's first
-member. Where a bucket still has members of several components, their rarest shingles bring them together:
-first neighbours under a shingle, then the members of components that are still apart and whose order of
-shingles lets them reach the similarity. No candidate that could join two components is left out.
+Documents with equal sets are one class. In each bucket the members are compared with one lead. Where a bucket
+still has members of several components, rounds with a new lead, from the bucket's largest component, go on as
+long as they bring many components together; each round is linear in the members. What is then still apart
+meets under its rarest shingles, exactly: only pairs of different components, of fitting sizes, and at places
+in their orders of shingles that leave enough to share. No candidate that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import written
-from .components import connected_components
+from .components import merged
 
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -86,13 +87,10 @@ class Circulant:
         return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-OWN = ("__rk", "__n", "__set", "__bands")
-
-
-def signed(docs: DataFrame, text_col: str = "text", shingle: int = 2, bands: int = 48, rows: int = 6) -> DataFrame:
-    """docs with __rk (a number for each row), __n (set size), __set (digest of the set) and __bands, written."""
-    numbered = docs.drop(*OWN).withColumn("__rk", F.monotonically_increasing_id())
-    at = numbered.columns.index(text_col)
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, bands: int = 48, rows: int = 6) -> DataFrame:
+    """row (a struct of docs' columns), rk (a number for each row), n (set size), set (digest of the set) and bands, written."""
+    numbered = docs.select(F.struct("*").alias("row")).withColumn("rk", F.monotonically_increasing_id())
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -100,7 +98,7 @@ def signed(docs: DataFrame, text_col: str = "text", shingle: int = 2, bands: int
         sets, sign = Shingles(shingle), Circulant(bands, rows)
         for b in batches:
             n, digest, keys, ends = [], [], [], [0]
-            for text in b.column(at).to_pylist():
+            for text in b.column(0).field(at).to_pylist():
                 s = sets(text)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -109,9 +107,9 @@ def signed(docs: DataFrame, text_col: str = "text", shingle: int = 2, bands: int
                 ends.append(ends[-1] + bands * bool(len(s)))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], names=[*b.schema.names, *OWN[1:]])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], names=["row", "rk", "n", "set", "bands"])
 
-    schema = StructType([*numbered.schema.fields]).add("__n", "long").add("__set", "binary").add("__bands", ArrayType(LongType()))
+    schema = StructType([*numbered.schema.fields]).add("n", "long").add("set", "binary").add("bands", ArrayType(LongType()))
     return written(numbered.mapInArrow(run, schema), "signed")
 
 
@@ -173,71 +171,97 @@ def rarest_shingles(nodes: DataFrame, texts: DataFrame, percent: int, shingle: i
     return rated.withColumn("place", place).where(F.col("place") <= first).select("node", "n", "part", "key", "place")
 
 
-def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 2, bands: int = 48, rows: int = 6) -> DataFrame:
-    """docs with __rk and __n, component_id and __kept: one kept row in each component.
+def fits(percent: int, n: str = "n", m: str = "m") -> Column:
+    """The smaller set can't be less than that share of the larger one."""
+    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+
+
+def led_pairs(buckets: DataFrame, parts: DataFrame, percent: int, turn: int) -> DataFrame:
+    """a, b: in each bucket with several components, a lead of the largest one and each member of the others.
+
+    One row for each such member of a bucket at most; the lead is chosen by a hash of the turn and the bucket.
+    """
+    placed = buckets.join(parts, "node").select("key", "node", "n", F.col("label").alias("part"))
+    lead = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("m")))
+    each = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"), lead.alias("lead"))
+    leads = each.groupBy("key").agg(F.count(F.lit(1)).alias("n_parts"), F.max(F.struct("size", "part", "lead")).alias("x")).where("n_parts > 1")
+    leads = written(leads.select("key", F.col("x.part").alias("of"), F.col("x.lead.a").alias("a"), F.col("x.lead.m").alias("m")), "leads")
+    pairs = placed.join(leads, "key").where((F.col("part") != F.col("of")) & fits(percent))
+    return pairs.select("a", F.col("node").alias("b")).distinct()
+
+
+def apart_pairs(rare: DataFrame, percent: int, step: float = 1.1) -> DataFrame:
+    """a, b: the nodes of different components that can be linked by what their rarest shingles leave open.
+
+    rare: as rarest_shingles() gives it, written. Under a shingle that several components share, rows of all
+    but its largest component look for partners, so that members of one component never meet. A row looks in
+    those classes of size only in which its place leaves enough to share with the smallest set of the class.
+    """
+    each = rare.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
+    keys = each.groupBy("key").agg(F.count(F.lit(1)).alias("n_parts"), F.max(F.struct("size", "part")).alias("x")).where("n_parts > 1")
+    keys = written(keys.select("key", F.col("x.part").alias("major")), "keys")
+    met = written(rare.join(keys, "key"), "met")
+    size_class = lambda n: F.floor(F.log(n) / float(np.log(step)) + 1e-9)
+    left = met.where("part <> major").select("key", F.col("node").alias("x"), "n", F.col("part").alias("part_x"), F.col("place").alias("i"))
+    left = left.withColumn("class", F.explode(F.sequence(size_class(F.ceil(F.col("n") * percent / 100)), size_class(F.floor(F.col("n") * 100 / percent)))))
+    least_m = F.greatest(F.pow(F.lit(step), F.col("class")) - 1e-6, F.col("n") * percent / 100)
+    left = left.where(F.lit(100 + percent) * (1 + F.col("n") - F.col("i")) >= F.lit(percent) * (F.col("n") + least_m) - 1e-3)
+    right = met.select("key", size_class(F.col("n")).alias("class"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("part").alias("part_y"), "major", F.col("place").alias("j"))
+    # A link's first common shingle, in the order of places, leaves at most the rest of either set to share.
+    in_reach = F.lit(100 + percent) * (1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) >= F.lit(percent) * (F.col("n") + F.col("m"))
+    once = (F.col("part_y") == F.col("major")) | (F.col("x") < F.col("y"))
+    pairs = left.join(right, ["key", "class"]).where((F.col("part_x") != F.col("part_y")) & once & fits(percent) & in_reach)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def labelled(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 2, bands: int = 48, rows: int = 6, turns: int = 6
+) -> DataFrame:
+    """row (a struct of docs' columns), n (set size), component_id and kept: one kept row in each component.
 
     component_id is the smallest id reachable over links; null ids come after all others. Texts without
     words (null ones too) have empty sets and are components of their own. With the default bands a link at
-    similarity 0.8 is missed as a candidate with probability (1 - 0.8^6)^48, about 5 in ten million.
+    similarity 0.8 is missed as a candidate with probability (1 - 0.8^6)^48, about 5 in ten million. turns:
+    the most rounds with leads; what they leave apart is found exactly whatever their number.
     """
-    store = signed(docs, text_col, shingle, bands, rows)
-    own = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.col("__rk").alias("rk"))
-    classes = store.where("__n > 0").groupBy("__set").agg(F.min(own).alias("first"), F.min(F.struct(F.col("__rk").alias("rk"), F.col("__n").alias("n"), F.col("__bands").alias("bands"))).alias("x"))
-    classes = written(classes.select("__set", "first", F.col("x.rk").alias("node"), F.col("x.n").alias("n"), F.col("x.bands").alias("bands")), "classes")
+    store = signed(docs, id_col, text_col, shingle, bands, rows)
+    own_id = F.col("row").getField(id_col)
+    own = F.struct(own_id.isNull().alias("missing"), own_id.alias("id"), F.col("rk").alias("rk"))
+    classes = store.where("n > 0").groupBy("set").agg(F.min(own).alias("first"), F.min(F.struct("rk", "n", "bands")).alias("x"))
+    classes = written(classes.select("set", "first", F.col("x.rk").alias("node"), F.col("x.n").alias("n"), F.col("x.bands").alias("bands")), "classes")
 
     members = classes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = members.groupBy("key").agg(F.min(F.struct(F.col("node").alias("a"), F.col("n").alias("m"))).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = written(members.join(buckets.select("key", "lead"), "key"), "buckets")
-
-    sizes = classes.select("node", "n")
-    # The smaller set can't be less than that share of the larger one.
-    fits = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-    first = buckets.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), "n").distinct()
-    first = first.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").where(fits).select("a", "b")
-    first = written(first, "pairs")
-    wanted = buckets.select("node").distinct()
-    texts = written(store.select(F.col("__rk").alias("node"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "node").withColumnRenamed("node", "rk"), "texts")
-    links = written(confirmed(first, texts, percent, shingle), "links")
-
-    parts = connected_components(links)
-    placed = buckets.join(parts, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    mixed = written(placed.join(mixed, "key").select("node", "n", "part").distinct(), "mixed")
-    rare = written(rarest_shingles(mixed, texts, percent, shingle), "rare")
-    # A link's first common shingle, in the order of places, leaves at most the rest of either set to share.
-    in_reach = F.lit(100 + percent) * (1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) >= F.lit(percent) * (F.col("n") + F.col("m"))
-    by = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy(F.xxhash64("node", "key"))
-    beside = rare.withColumnRenamed("place", "i").withColumns({c: F.lag(of).over(by) for c, of in {"x": "node", "other": "part", "m": "n", "j": "i"}.items()})
-    beside = beside.where(F.col("other") != F.col("part")).where(in_reach)
-    beside = written(beside.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(written(confirmed(beside, texts, percent, shingle), "links"))
-    parts = connected_components(links)
-
-    rare = written(rare.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label"), "rare")
-    # The smaller set of a link shares one of its first n - ceil(n * 2 p / (100 + p)) + 1, the larger one of all kept.
-    small = rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
-    parts_a = small.select("key", F.col("part").alias("part_a")).distinct()
-    parts_b = rare.select("key", F.col("part").alias("part_b")).distinct()
-    across = parts_a.join(parts_b, "key").where("part_a <> part_b")
-    left = small.select("key", F.col("part").alias("part_a"), F.col("node").alias("x"), "n", F.col("place").alias("i"))
-    right = rare.select("key", F.col("part").alias("part_b"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("place").alias("j"))
-    second = across.join(left, ["key", "part_a"]).join(right, ["key", "part_b"]).where((F.col("n") <= F.col("m")) & fits & in_reach)
-    second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = second.join(first.unionByName(beside), ["a", "b"], "left_anti")
-    second = written(second, "pairs")
-    if not second.isEmpty():
-        more = written(confirmed(second, texts, percent, shingle), "links")
-        if not more.isEmpty():
-            parts = connected_components(links.unionByName(more))
-
-    nodes = classes.select("__set", "first", "node").join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    nodes = written(nodes.select("__set", "first", "label"), "nodes")
+    parts = written(buckets.select("node").distinct().withColumn("label", F.col("node")), "parts")
+    texts = store.select("rk", F.col("row").getField(text_col).alias("text")).join(parts.select(F.col("node").alias("rk")).hint("merge"), "rk")
+    texts = written(texts, "texts")
+
+    pairs = written(buckets.select("node", "n", "lead.*").where((F.col("node") != F.col("a")) & fits(percent)).select("a", F.col("node").alias("b")).distinct(), "pairs")
+    for turn in range(1, turns + 1):
+        links = written(confirmed(pairs, texts, percent, shingle), "links")
+        before, parts = parts, merged(parts, links)
+        gone = before.select("label").distinct().count() - parts.select("label").distinct().count()
+        pairs = written(led_pairs(buckets, parts, percent, turn), "pairs")
+        if turn > 1 and 20 * gone < pairs.select("b").distinct().count() or pairs.isEmpty():
+            break
+
+    if not pairs.isEmpty():
+        placed = buckets.join(parts, "node").select("key", "node", "n", F.col("label").alias("part"))
+        mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+        mixed = written(placed.join(mixed, "key").select("node", "n", "part").distinct(), "mixed")
+        rare = written(rarest_shingles(mixed, texts, percent, shingle), "rare")
+        pairs = written(apart_pairs(rare, percent), "pairs")
+        parts = merged(parts, written(confirmed(pairs, texts, percent, shingle), "links"))
+
+    nodes = classes.select("set", "first", "node").join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = written(nodes.select("set", "first", "label"), "nodes")
     heads = written(nodes.groupBy("label").agg(F.min("first").alias("head")), "heads")
-    named = written(nodes.join(heads, "label").select(F.col("__set").alias("of"), F.col("head.id").alias("component_id"), F.col("head.rk").alias("head")), "named")
-    kept = F.when(F.col("of").isNull(), True).otherwise(F.col("__rk") == F.col("head"))
+    named = written(nodes.join(heads, "label").select(F.col("set").alias("of"), F.col("head.id").alias("component_id"), F.col("head.rk").alias("head")), "named")
+    kept = F.when(F.col("of").isNull(), True).otherwise(F.col("rk") == F.col("head"))
     # Sort-merge joins at every size: what is joined to the texts grows with them and must not be broadcast.
-    out = store.drop("__bands", "component_id", "__kept").join(named.hint("merge"), F.col("__set") == F.col("of"), "left")
-    return out.withColumns({"__kept": kept, "component_id": F.when(F.col("of").isNull(), F.col(id_col)).otherwise(F.col("component_id"))})
+    out = store.drop("bands").join(named.hint("merge"), F.col("set") == F.col("of"), "left")
+    return out.select("row", "n", F.when(F.col("of").isNull(), own_id).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -246,10 +270,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id and its text share a component. An empty table gives an empty result; other
     columns aren't read.
     """
+    own_id = F.col("row").getField(id_col)
     named = labelled(docs.select(id_col, text_col), id_col, text_col, **how)
-    return named.select(id_col, F.col("__n").alias("n_shingles"), "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
+    return named.select(own_id.alias(id_col), F.col("n").alias("n_shingles"), "component_id", own_id.eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each component, that with the smallest id, and all columns."""
-    return labelled(docs, id_col, text_col, **how).where("__kept").select(docs.columns)
+    """docs with one row of each component, that with the smallest id, and all columns, whatever their names."""
+    return labelled(docs, id_col, text_col, **how).where("kept").select("row.*")
