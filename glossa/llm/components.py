@@ -32,5 +32,8 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     """parts (node, label) after links (a, b) between their nodes; components meet by their labels alone."""
     at = lambda side, name: parts.select(F.col("node").alias(side), F.col("label").alias(name))
     edges = links.join(at("a", "x"), "a").join(at("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = written(edges, "edges")
+    if edges.isEmpty():
+        return parts
     up = connected_components(edges).select(F.col("node").alias("label"), F.col("label").alias("up"))
     return written(parts.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "parts")

@@ -1,36 +1,37 @@
 """Mixture-controlled packing by deficit round-robin.
 
 Each source is a queue of documents in seeded order. In every window a queue's deficit grows by its share of
-the window's tokens and it sends the documents that the deficit covers; what is left is carried on. A document
-is thus sent in the first window by whose end the queue's quanta add up to the tokens up to the document's
-end, so that the window follows from the queue's running total alone, and running totals are taken in two
-levels: within bounded chunks, and over the chunks. The windows, one after the other, make one stream of
-tokens, which is cut into sequences; deficits carry over windows, tasks and machines alike.
+the window's tokens and it sends the documents that the deficit covers; what is left is carried on. When a
+queue has run out, its share passes to the queues that are left, by their weights. Quanta that add up to v
+times a queue's weight are reached at the same v in every queue that still lasts, and the stream then holds
+the least of each queue's tokens and v times its weight, added up: a piecewise linear function with a bend where
+a queue runs out. A document's window thus follows from its queue's running total alone, and running totals are
+taken in two levels: within bounded chunks, and over the chunks. The windows, one after the other, make one
+stream of tokens, which is cut into sequences; deficits carry over windows, tasks and machines alike.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import sys
 from array import array
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: White space other than space and line end, with the control characters on which libraries differ.
-ODD = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-PAIRS = ("  ", " \n", "\n ", "\n\n")
-
-
-#: Punctuation that byte-level BPE always splits off the letter or digit before it.
-TAIL = ".,;:!?#$%&*|"
+#: What libraries may split differently: white space but single spaces and line ends, control characters, and
+#: characters beyond the letters and signs of common scripts.
+ODD = re.compile(r"[^\n -~\u00a1-\u024f\u0370-\u03ff\u0400-\u052f\u2010-\u2027\u3041-\u30ff\u4e00-\u9fa5]|  | \n|\n |\n\n")
+#: Fixed value: the pattern that splits text before the merges of byte-level BPE.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def little_endian(ids: list[int]) -> bytes:
@@ -40,82 +41,52 @@ def little_endian(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-class Pieces(dict[str, bytes]):
-    """The ids of pieces that stand behind ``before``, each made when first asked for; emptied at ``limit`` pieces."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], before: str, tails: dict[str, bytes], limit: int):
-        super().__init__()
-        self.encode, self.before, self.tails, self.limit = encode, before, tails, limit
-
-    def __missing__(self, piece: str) -> bytes:
-        core = piece.rstrip(TAIL)
-        if core != piece and core and core[-1].isalnum():
-            tail = piece[len(core) :]
-            if tail not in self.tails:
-                if len(self.tails) >= self.limit:
-                    self.tails.clear()
-                self.tails[tail] = self.encode([tail])[0]
-            ids = self[core] + self.tails[tail]
-        else:
-            ids = self.encode([self.before + piece])[0]
-        if len(self) >= self.limit:
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
-class CachedTokenizer:
+class Coder:
     """Token ids of whole texts as little-endian unsigned 32-bit integers, equal to the tokenizer's own.
 
-    The pattern of byte-level BPE never joins text across the border before " x", around a lone line end, or
-    between a letter or digit and the punctuation after it, so texts whose white space is only such borders
-    are looked up piece by piece. Others, and those with a special token's string, go to the tokenizer whole.
-    A cache is emptied when it holds ``limit`` pieces, which bounds it to a few hundred bytes times that.
+    With ``ranks``, the file of the same vocabulary as ranks, plain texts are encoded by the ranks straight into
+    bytes, without a Python object for each id. Texts in which libraries may differ, and those with a special
+    token's string, go to the tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, ranks: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
-        tails: dict[str, bytes] = {}
-        self.first, self.inner = (Pieces(self.whole, before, tails, limit) for before in ("", " "))
-        self.newline = self.whole(["\n"])[0]
+        self.fast = None
+        if ranks and sys.byteorder == "little":
+            import tiktoken
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [little_endian(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            with open(ranks, "rb") as f:
+                merges = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if ODD.search(text) or any(x in text for x in PAIRS) or any(x in text for x in self.special):
-            return self.whole([text])[0]
-        first, inner = self.first, self.inner.__getitem__
-        lines = [x.split(" ") for x in text.split("\n")]
-        return self.newline.join([b"".join([first[x[0]], *map(inner, x[1:])]) for x in lines])
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        return [self.encode(t) for t in texts]
+        if self.fast is None or ODD.search(text) or any(x in text for x in self.special):
+            return little_endian(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        return self.fast.encode_to_numpy(text, disallowed_special=()).tobytes()
 
 
 @cache
-def coder_for(path: str) -> CachedTokenizer:
-    """One tokenizer for each file and Python worker, so that tasks go on with the pieces of those before them.
-
-    Tasks find it by its name in this module; a function that Spark ships by value would bring a new one.
-    """
-    return CachedTokenizer(path)
+def coder_for(path: str, ranks: str | None) -> Coder:
+    """One tokenizer for each file and Python worker. Tasks find it by its name in this module."""
+    return Coder(path, ranks)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, eos: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def tokenized(
+    docs: DataFrame, tokenizer: str, ranks: str | None = None, eos: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
     """doc_id, source, doc_tokens and ids (binary, little-endian unsigned 32 bits) with the end id."""
     end = np.asarray([eos], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_for(tokenizer)
+        encode = coder_for(tokenizer, ranks).encode
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [x + end for x in coder.encode_all([t or "" for t in part.column(2).to_pylist()])]
+                ids = [encode(t or "") + end for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "doc_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -123,29 +94,67 @@ def tokenized(docs: DataFrame, tokenizer: str, eos: int = 1, id_col: str = "doc_
     return rows.mapInArrow(run, f"doc_id {kind}, source string, doc_tokens long, ids binary")
 
 
+def bends(tokens: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple[float, float, float]]:
+    """v, tokens, slope: from each v on the stream holds tokens + slope * (v - that v), until the next one."""
+    ends = sorted((tokens[q] / weights[q], q) for q in tokens)
+    slope = sum(weights[q] for q in tokens)
+    out, at, held = [], 0.0, 0.0
+    for v, q in ends:
+        out.append((at, held, slope))
+        held, at = held + slope * (v - at), v
+        slope -= weights[q]
+    return out
+
+
+def stream_place(v: Column, tokens: Mapping[str, int], weights: Mapping[str, float]) -> Column:
+    """How many tokens the stream holds when quanta have reached v times each weight."""
+    out = None
+    for at, held, slope in bends(tokens, weights):
+        piece = F.lit(held) + F.lit(slope) * (v - F.lit(at))
+        out = piece if out is None else F.when(v > at, piece).otherwise(out)
+    return out if out is not None else v
+
+
 def stream_starts(meta: DataFrame, weights: Mapping[str, float] | None, window_tokens: int, seed: int = 7, chunk_rows: int = 2_000, group: int = 1024) -> DataFrame:
-    """rk, begin: where each document begins in the packed stream. meta: rk, doc_id, source, n."""
-    stats = meta.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"))
-    stats = written(stats, "queues")  # small, and of known size: broadcast below Spark's threshold only
-    share = F.col("tokens").cast("double")
-    if weights:
-        share = F.lit(0.0)
-        for name, w in weights.items():
-            share = F.when(F.col("source") == name, F.lit(float(w))).otherwise(share)
-        share = F.greatest(share, F.lit(1e-9))
-    total = stats.agg(F.sum(share)).first()[0] or 1.0
-    queues = stats.select("source", F.ceil(F.col("rows") / chunk_rows).cast("long").alias("chunks"), F.greatest(share / total * window_tokens, F.lit(1e-3)).alias("quantum"))
+    """rk, begin: where each document begins in the packed stream. meta: rk, doc_id, source, n.
 
+    With weights the queues are the sources that they name and one for all others, so that no more totals than
+    that reach the driver; without, each source is a queue and its weight is what it holds.
+    """
+    if weights:
+        named = F.col("source").isin(*weights)
+        meta = meta.withColumn("source", F.when(named, F.col("source")))
+    stats = written(meta.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")), "queues")
+    if weights:
+        totals = {r["source"]: r["tokens"] for r in stats.collect()}
+        least = min(weights.values())
+        share = {q: float(weights.get(q, least)) for q in totals}
+        weight = F.lit(float(least))
+        for q, w in share.items():
+            weight = F.when(F.col("source").eqNullSafe(F.lit(q)), F.lit(w)).otherwise(weight)
+        place = stream_place(F.col("upto") / weight, totals, share)
+    else:
+        total = stats.agg(F.sum("tokens")).first()[0] or 1
+        place = F.col("upto") / F.greatest("tokens", F.lit(1)) * float(total)
+
+    queues = stats.select(F.col("source").alias("queue"), "tokens", F.ceil(F.col("rows") / chunk_rows).cast("long").alias("chunks"))
     h = F.xxhash64("doc_id", F.lit(seed))
-    rows = meta.join(queues, "source").withColumn("h", h).withColumn("chunk", F.expr("(shiftrightunsigned(h, 33) * chunks) DIV 2147483648"))
-    sums = rows.groupBy("source", "chunk").agg(F.sum("n").alias("t"))
-    before = F.sum("t").over(Window.partitionBy("source").orderBy("chunk")) - F.col("t")
-    chunks = sums.select("source", "chunk", before.alias("before"))
+    rows = meta.join(queues, F.col("source").eqNullSafe(F.col("queue"))).drop("queue")
+    rows = rows.withColumn("h", h).withColumn("chunk", F.expr("(shiftrightunsigned(h, 33) * chunks) DIV 2147483648"))
+    # Repeated and null ids share a hash: a chunk that they crowd is dealt out again by row.
+    crowded = rows.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 4 * chunk_rows)
+    crowded = written(crowded.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.ceil(F.col("rows") / chunk_rows).alias("parts")), "crowded")
+    rows = rows.join(crowded, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")), "left")
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("rk"), F.col("parts")), F.lit(0))).drop("s", "c", "parts")
+    sums = rows.groupBy("source", "chunk", "part").agg(F.sum("n").alias("t"))
+    before = F.sum("t").over(Window.partitionBy("source").orderBy("chunk", "part")) - F.col("t")
+    chunks = written(sums.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.col("part").alias("p"), before.alias("before")), "chunks")
     # Unsigned order of the hash, as chunks have it.
-    order = Window.partitionBy("source", "chunk").orderBy(F.expr("shiftrightunsigned(h, 1)"), "h", "doc_id", "rk")
+    order = Window.partitionBy("source", "chunk", "part").orderBy(F.expr("shiftrightunsigned(h, 1)"), "h", "doc_id", "rk")
     upto = F.col("before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    sent = rows.join(chunks, ["source", "chunk"]).withColumn("upto", upto)
-    sent = sent.select("rk", "source", "n", "upto", F.ceil(F.col("upto") / F.col("quantum")).cast("long").alias("window"))
+    sent = rows.join(chunks, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")) & (F.col("part") == F.col("p"))).withColumn("upto", upto)
+    # The quanta of window w add up to w windows; what they cover is sent. A little less, for the rounding of shares.
+    sent = sent.select("rk", "source", "n", "upto", F.ceil(place / window_tokens - 1e-9).cast("long").alias("window"))
     sent = written(sent, "windows")
 
     sizes = sent.groupBy("window").agg(F.sum("n").alias("t")).withColumn("block", F.expr(f"window DIV {group}"))
@@ -160,6 +169,7 @@ def stream_starts(meta: DataFrame, weights: Mapping[str, float] | None, window_t
 def pack(
     docs: DataFrame,
     tokenizer: str,
+    ranks: str | None = None,
     length: int = 2048,
     eos: int = 1,
     weights: Mapping[str, float] | None = None,
@@ -171,13 +181,14 @@ def pack(
 ) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary).
 
-    All documents are packed; a null text is empty and has the end id alone. weights: target proportions of
-    the sources, which hold while a source has documents; without them the sources' own proportions, so
-    that all queues end together. Sequences are full but for the last one. Null sources are one queue named "".
-    Rows that repeat an id are documents of their own; null ids too. An empty table gives an empty result,
-    and other columns aren't read.
+    All documents are packed; a null text is empty and has the end id alone. tokenizer and ranks: see Coder.
+    weights: target proportions of the sources in every window; sources that it doesn't name are one queue of the
+    least weight. A queue that runs out leaves its share to the others. Without weights the sources' own
+    proportions, so that all queues end together. Sequences are full but for the last one. Null sources are
+    one queue named "". Rows that repeat an id are documents of their own; null ids too. An empty table gives an
+    empty result, and other columns aren't read.
     """
-    tokens = tokenized(docs, tokenizer, eos, id_col, text_col, source_col)
+    tokens = tokenized(docs, tokenizer, ranks, eos, id_col, text_col, source_col)
     store = written(tokens.withColumn("rk", F.monotonically_increasing_id()), "tokens")
     starts = stream_starts(store.select("rk", "doc_id", "source", F.col("doc_tokens").alias("n")), weights, window_sequences * length, seed)
     # A sort-merge join at every size: the starts grow with the documents and must not be broadcast.

@@ -40,13 +40,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pieces_by_domain(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents; the domains' target proportions hold in every window while they have documents."""
     import public_tokenizers
 
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    queued = docs.select("doc_id", "text", domain_of(F.col("source")).alias("source"))
+    vocabulary, ranks = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    pieces = pack(queued, vocabulary, ranks, weights=DOMAIN_WEIGHTS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_by_domain(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 
@@ -91,3 +92,26 @@ def check_packing(pieces, ids_of, length=2048):
             assert p.offset == at
             at += p.length
         assert at == length or k == max(by_seq)
+
+
+def round_robin(queues, weights, window):
+    """The queue and the number in it of each document sent, with exact fractions; what a window's quanta cover is sent in it."""
+    tokens = {q: sum(ns) for q, ns in queues.items()}
+    quanta, sent, at, out = dict.fromkeys(queues, Fraction(0)), dict.fromkeys(queues, 0), dict.fromkeys(queues, 0), []
+    while any(at[q] < len(ns) for q, ns in queues.items()):
+        rest = Fraction(window)
+        while rest > 0:  # a queue whose quanta cover all of it leaves the rest of its share to the others
+            lasting = [q for q in queues if quanta[q] < tokens[q]]
+            if not lasting:
+                break
+            each = rest / sum(weights[q] for q in lasting)
+            step = min(each, *((tokens[q] - quanta[q]) / weights[q] for q in lasting))
+            for q in lasting:
+                quanta[q] += step * weights[q]
+            rest -= step * sum(weights[q] for q in lasting)
+        for q in sorted(queues):
+            while at[q] < len(queues[q]) and sent[q] + queues[q][at[q]] <= quanta[q]:
+                sent[q] += queues[q][at[q]]
+                out.append((q, at[q]))
+                at[q] += 1
+    return out

@@ -6,13 +6,14 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import brute
 from glossa.llm import gam
 from glossa.llm import licenses as lic
 from glossa.llm import queries as Q
 from glossa.llm.minhash import Circulant, Shingles, near_duplicates
-from glossa.llm.packing import CachedTokenizer, pack
+from glossa.llm.packing import ODD, Coder, pack
 from glossa.llm.quality_rules import RULES, Measures, cascade_order
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -116,32 +117,42 @@ def test_packing(spark, sf_dir, texts, plain_tokenizer):
     brute.check_packing(Q.op3_packing(spark, sf_dir).collect(), ids)
 
 
-def test_packing_holds_proportions_in_every_window(spark):
-    """Two queues at 3 to 1: a window's share is off by one document at most while both last."""
-    rows = [(i, "w " * (20 + i % 7), "ab"[i % 2]) for i in range(800)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+def test_packing_order_is_that_of_deficit_round_robin(spark):
+    """Three queues that run out one after the other, one of them unnamed, in the order of a plain round-robin."""
+    random.seed(9)
+    rows = [(i, "w " * random.randint(1, 90), "aabbbbcd"[random.randrange(8)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
     got = pack(df, VOCABULARY, length=256, weights={"a": 3, "b": 1}, window_sequences=4).collect()
-    ids = {i: t for i, t, _ in rows}
-    source = {i: s for i, _, s in rows}
-    total = sum(r.length for r in got)
-    n_a = sum(r.length for r in got if source[r.doc_id] == "a")
-    both = n_a * 4 // 3
-    for w in range(both // 1024 - 2):
-        inside = [r for r in got if w * 4 <= r.sequence_id < w * 4 + 4]
-        a = sum(r.length for r in inside if source[r.doc_id] == "a")
-        assert abs(a - 768) <= 120, (w, a)
-    assert total == sum(r.length for r in got) and len(ids) == 800
+    begin = {r.doc_id: r.sequence_id * 256 + r.offset for r in got if r.start == 0}
+    n = {r.doc_id: r.doc_tokens for r in got}
+    queue = {i: {"a": "a", "b": "b"}.get(s, "") for i, _, s in rows}
+    order = {q: sorted((i for i in n if queue[i] == q), key=begin.get) for q in ("", "a", "b")}
+    want = brute.round_robin({q: [n[i] for i in ids] for q, ids in order.items()}, {"": 1, "a": 3, "b": 1}, 1024)
+    assert sorted(n, key=begin.get) == [order[q][k] for q, k in want]
+    assert sum(r.length for r in got) == sum(n.values()) and len(n) == 900
+
+
+def test_repeated_ids_are_dealt_out(spark):
+    df = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    got = pack(df, VOCABULARY, length=256)
+    assert got.agg(F.sum("length")).first()[0] == 90_000 and got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n <> 256").count() == 1
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["a", "b", "é", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", " ", "\x1c", "<|endoftext|>", "'s", "don't", "1", "½", ".", "!!", "###", "日本", "🙂", "́", " \n", "\n "]), max_size=10).map("".join))
-def test_cached_tokens_are_the_tokenizers(text):
-    coder = CODER
-    want = np.asarray(coder.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert coder.encode_all(["some other text.", text])[1] == want
+@given(st.lists(st.sampled_from(["a", "b", "é", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u2003", "\x1c", "<|endoftext|>", "'s", "don't", "1", "½", ".", "!!", "###", "日本", "🙂", "\u0301", " \n", "\n "]), max_size=10).map("".join))
+def test_tokens_are_the_tokenizers(text):
+    assert CODER.encode(text) == np.asarray(CODER.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_every_plain_character_is_split_alike():
+    plain = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and not ODD.search(c)]
+    texts = [" ".join(f"a{c}b 1{c}. {c}{c}" for c in plain[at : at + 50]) for at in range(0, len(plain), 50)]
+    assert len(plain) > 20_000 and not any(ODD.search(t) for t in texts if "\n" not in t)
+    for t in texts:
+        assert CODER.fast.encode_ordinary(t) == CODER.tok.encode(t, add_special_tokens=False).ids
 
 
-CODER = CachedTokenizer(VOCABULARY, limit=40)
+CODER = Coder(VOCABULARY, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def test_classifier_on_held_out_rows(spark, sf_dir):
