@@ -14,9 +14,8 @@ from glossa.llm.common import table, written
 from glossa.llm.line_dedup import line_dedup
 from glossa.llm.minhash import near_dedup
 from glossa.llm.mixing import mix
-from glossa.llm.packing import pack
 from glossa.llm.quality_rules import quality_filter
-from glossa.llm.queries import DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, domain_of
+from glossa.llm.queries import DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, domain_of, pieces_by_domain
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,11 +42,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
-    import public_tokenizers
-
-    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """Pieces of all documents in sequences of 2048 tokens, the domains in their target proportions."""
+    return pieces_by_domain(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("mixing", mixing), ("packing", packing)]
