@@ -1,14 +1,15 @@
 """Personal data: base kinds by pattern, and bootstrapped contextual extraction of further identifiers.
 
-Base entities and secrets are seeds. The words before an identifier-like token are a lexical pattern; patterns
-and the tokens that they precede make a bipartite graph. Patterns are scored by the share of their
-distinct tokens that are known identifiers, tokens by their best pattern, and so on for a few rounds. Tokens
-behind patterns of high confidence are identifiers too. All of it is DataFrame expressions.
+Base entities and secrets are seeds. The one, two and three words before an identifier-like token are its lexical
+patterns; patterns and the tokens that they precede make a bipartite graph. A pattern's confidence is the mean
+score of its distinct tokens: 1 for a known identifier, for an unseen token the mean confidence of its other
+patterns, and so on for a few rounds. Tokens behind patterns of high confidence are identifiers too. All of it is
+DataFrame expressions: matches are rows, and positions and overlaps are running sums and maxima over them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
@@ -19,11 +20,17 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SECRET = r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9])"
+#: What ends a token, besides white space.
+BREAKS = r"\"'<>()\[\]{}|,;:=#&$*"
+SECRET = (
+    r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
+    rf"|(?<=(?:password|passwd|secret|api_key)=)[^\x20\x09-\x0D%{BREAKS}]{{8,}}+"
+)
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
-#: Identifier-like tokens: runs without white space or quotes in which a digit stands.
-TOKEN = r"(?<![^\x20\x09-\x0D\"'<>()\[\]{}|,;:=#&$*])(?=[^\x20\x09-\x0D0-9\"'<>()\[\]{}|,;:=#&$*]{0,64}+[0-9])[^\x20\x09-\x0D\"'<>()\[\]{}|,;:=#&$*]{8,256}+(?![^\x20\x09-\x0D\"'<>()\[\]{}|,;:=#&$*])"
+#: Identifier-like tokens: whole runs of 8 characters or more without white space or breaks in which a digit stands.
+TOKEN = rf"(?<![^\x20\x09-\x0D{BREAKS}])(?=[^\x20\x09-\x0D0-9{BREAKS}]*+[0-9])[^\x20\x09-\x0D{BREAKS}]{{8,}}+"
 
 
 def _digits(s: Column) -> Column:
@@ -53,74 +60,90 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _checked(kind: str):
-    return lambda x: _valid(kind, x["m"])
+FOUND = "array<struct<kind:int,nth:int,gap:int,m:string,tail:string>>"
 
 
-def _of_kind(i: int):
-    return lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["stop"].alias("stop"))
-
-
-MATCH = "array<struct<start:bigint,stop:bigint,m:string,before:string>>"
-
-
-def matches(text: Column, pattern: str) -> Column:
-    """The non-overlapping matches from the left: start and stop in code points, the match, what stands before it.
-
-    The text between the matches and the matches themselves add up to the positions.
-    """
+def matches(text: Column, kind: int, pattern: str, reach: int) -> Column:
+    """The non-overlapping matches from the left: kind, number, code points since the last match, match, and the end of what stands between."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["between"])
-        stop = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("m"), F.right(x["between"], F.lit(48)).alias("before"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("between"))
-    init = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(MATCH).alias("out"))
-    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
+    zipped = F.filter(F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("between")), lambda x: x["m"].isNotNull())
+    return F.transform(
+        zipped,
+        lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("nth"), F.length(x["between"]).alias("gap"), x["m"].alias("m"), F.right(x["between"], F.lit(reach)).alias("tail")
+        ),
+    )
 
 
-def _context(before: Column) -> Column:
-    """The lexical pattern: the last two words before the token, lower-cased, digits as 0."""
-    last = F.regexp_extract(before, r"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]*[\x20\x09-\x0D]*)$", 1)
-    return F.regexp_replace(F.regexp_replace(F.lower(last), r"[\x20\x09-\x0D]+", " "), "[0-9]", "0")
+def patterns_before(before: Column, words: int = 3) -> Column:
+    """The last one, two, ... words before a token, lower-cased, digits as 0; a piece that touches the token is a word."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(before), r"[\x20\x09-\x0D]+", " "), "[0-9]", "0")
+    apart = F.when(plain.endswith(" "), " ").otherwise("")
+    each = F.array(*[F.concat(F.substring_index(F.rtrim(plain), " ", -k), apart) for k in range(1, words + 1)])
+    return F.filter(F.array_distinct(each), lambda x: F.trim(x) != "")
 
 
-def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rk, doc_id, an array of valid spans for each kind but id, and ``tokens``: identifier-like tokens with their context."""
+def found_entities(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
+    """rk, doc_id and found: the matches of all kinds, and as kind 5 identifier-like tokens."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("rk", F.monotonically_increasing_id())
     text = F.col("text")
-    none = F.array().cast(MATCH)
-    guard = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][ -]?[0-9]"), "phone": text.rlike(r"\+[0-9]"), "secret": text.rlike("[0-9A-Fa-f]{32}"), "token": text.rlike("[0-9]")}
-    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "secret": SECRET, "token": TOKEN}
     # The guards are cheap, and CASE leaves the dear branch alone where they fail.
-    rows = rows.withColumns({k: F.when(guard[k], matches(text, p)).otherwise(none) for k, p in patterns.items()})
-    spans = {k: F.filter(k, _checked(k)) for k in KINDS[:5]}
-    tokens = F.transform("token", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.rtrim(x["m"], F.lit(".!?%")).alias("token"), _context(x["before"]).alias("context")))
-    return rows.select("rk", "doc_id", *[F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias(k) for k, s in spans.items()], tokens.alias("tokens"))
+    guarded = [
+        (EMAIL, text.contains("@")),
+        (IP, text.rlike(r"[0-9]\.[0-9]")),
+        (CARD, text.rlike("[0-9][ -]?[0-9]")),
+        (PHONE, text.rlike(r"\+[0-9]")),
+        (SECRET, text.rlike("[0-9A-Fa-f]{32}|AKIA[0-9A-Z]|password=|passwd=|secret=|api_key=")),
+        (TOKEN, text.rlike("[0-9]")),
+    ]
+    arrays = [F.when(guard, matches(text, i, pattern, reach if i == 5 else 0)).otherwise(F.array().cast(FOUND)) for i, (pattern, guard) in enumerate(guarded)]
+    return rows.select("rk", "doc_id", F.concat(*arrays).alias("found"))
+
+
+def marked(found: DataFrame, reach: int) -> DataFrame:
+    """rk, kind, start, stop of valid spans, and of tokens (kind 5) also token, patterns and seed: whether it meets a span."""
+    rows = found.select("rk", F.explode("found").alias("x")).select("rk", "x.*").repartition("rk")
+    order = Window.partitionBy("rk", "kind").orderBy("nth")
+    stop = F.sum(F.col("gap") + F.length("m")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # A token has 8 characters at least, so this many tokens before it hold what its patterns can reach.
+    earlier = F.array_join(F.collect_list(F.concat("tail", "m")).over(order.rowsBetween(-(reach // 8 + 1), -1)), "")
+    before = F.when(F.col("kind") == 5, F.concat(earlier, "tail"))
+    rows = rows.withColumns({"start": stop - F.length("m"), "before": F.right(before, F.lit(reach))})
+    is_token = F.col("kind") == 5
+    valid = F.lit(True)
+    for i, kind in enumerate(KINDS[:4]):
+        valid = F.when(F.col("kind") == i, _valid(kind, F.col("m"))).otherwise(valid)
+    token = F.when(is_token, F.rtrim("m", F.lit(".!?%")))
+    rows = rows.where(valid).select("rk", "kind", "start", (F.col("start") + F.length(F.coalesce(token, "m"))).alias("stop"), token.alias("token"), F.when(is_token, patterns_before(F.col("before"))).alias("patterns"))
+    spans = lambda c: F.when(F.col("kind") < 5, F.col(c))
+    upto = Window.partitionBy("rk").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("rk").orderBy(F.desc("start"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"last": F.max(spans("stop")).over(upto), "next": F.min(spans("start")).over(since)})
+    seed = is_token & (F.coalesce(F.col("last") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("stop"), F.lit(False)))
+    return rows.withColumn("seed", seed).drop("last", "next")
 
 
 def pattern_scores(occurrences: DataFrame, rounds: int = 3) -> DataFrame:
-    """context, confidence, support: scores of the pattern-instance graph. occurrences: context, token, seed.
+    """pattern, confidence, support: scores of the pattern-instance graph. occurrences: patterns, token, seed.
 
-    An instance scores 1 when it is a seed, else as its best pattern. A pattern's confidence is the sum of its
-    distinct instances' scores over their number and one, its support the number of its seeds.
+    A token is known where it is a seed anywhere. A pattern's confidence is the mean score of its distinct
+    tokens, its support the number of its known ones. An unseen token without another pattern scores 0.
     """
-    edges = written(occurrences.groupBy("context", "token").agg(F.max(F.col("seed").cast("int")).alias("seed")), "edges")
-    seeds = edges.groupBy("token").agg(F.max("seed").alias("known"))
-    edges = written(edges.drop("seed").join(seeds, "token"), "graph")
+    each = occurrences.select(F.explode("patterns").alias("pattern"), "token", F.col("seed").cast("int").alias("seed"))
+    edges = written(each.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "edges")
+    known = written(edges.groupBy("token").agg(F.max("seed").alias("known")), "known")
+    edges = written(edges.drop("seed").join(known, "token"), "graph")
 
-    def patterns(scored: DataFrame) -> DataFrame:
-        return scored.groupBy("context").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.sum("known").alias("support"))
+    def scores_of(scored: DataFrame) -> DataFrame:
+        return written(scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("known").alias("support")), "scores")
 
-    scores = patterns(edges.withColumn("score", F.col("known").cast("double")))
+    scores = scores_of(edges.withColumn("score", F.col("known").cast("double")))
     for _ in range(rounds - 1):
-        best = edges.join(scores, "context").groupBy("token").agg(F.max("confidence").alias("best"))
-        scored = edges.join(best, "token").withColumn("score", F.greatest(F.col("known").cast("double"), F.col("best")))
-        scores = patterns(scored)
+        rated = written(edges.join(scores.select("pattern", "confidence"), "pattern"), "rated")
+        sums = written(rated.where("known = 0").groupBy("token").agg(F.sum("confidence").alias("total"), F.count(F.lit(1)).alias("k")).where("k > 1"), "sums")
+        others = (F.col("total") - F.col("confidence")) / (F.col("k") - 1)
+        score = F.when(F.col("known") == 1, 1.0).otherwise(F.coalesce(others, F.lit(0.0)))
+        scores = scores_of(rated.join(sums, "token", "left").withColumn("score", score))
     return scores
 
 
@@ -129,40 +152,46 @@ def find_personal_data(
     id_col: str = "doc_id",
     text_col: str = "text",
     rounds: int = 3,
-    confidence: float = 0.8,
+    confidence: float = 0.5,
     support: int = 5,
     min_digits: int = 4,
     min_length: int = 12,
+    reach: int = 64,
 ) -> DataFrame:
-    """One row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_id, n_spans.
 
     spans lists kind:start:stop of all kinds by start, then kind: the base kinds, ``secret`` (32 or more
-    hexadecimal digits) and ``id``: tokens of at least ``min_length`` characters and ``min_digits`` digits
-    behind a pattern of enough confidence and support, which overlap no other span. Positions are in code
-    points. Null texts are empty and have no spans: base_sha256 is then that of the empty string. Ids pass
-    through, null or repeated; other columns aren't read; an empty table gives an empty result.
+    hexadecimal digits, access key ids, and values assigned to a password or secret) and ``id``: tokens of at
+    least ``min_length`` characters and ``min_digits`` digits behind a pattern of enough confidence and support,
+    which overlap no other span. Patterns are taken from the last ``reach`` characters before a token. Positions
+    are in code points. Null texts are empty and have no spans: base_sha256 is then that of the empty string.
+    Ids pass through, null or repeated; other columns aren't read; an empty table gives an empty result.
     """
-    found = written(found_entities(docs, id_col, text_col), "entities")
-    kinds = KINDS[:5]
-    known = F.concat(*[F.transform(k, _of_kind(i)) for i, k in enumerate(kinds)])
-    rows = found.withColumn("known", known)
-    occ = rows.where(F.size("tokens") > 0).select("rk", "known", F.explode("tokens").alias("t")).select("rk", "t.*", "known")
-    stop = F.col("start") + F.length("token")
-    meets = F.exists("known", lambda k: (k["start"] < stop) & (k["stop"] > F.col("start")))
-    occ = occ.select("rk", "context", "token", "start", stop.alias("stop"), meets.alias("seed"))
-    good = pattern_scores(occ, rounds).where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("context")
-    unseen = occ.where(~F.col("seed") & (F.length("token") >= min_length) & (F.length(_digits(F.col("token"))) >= min_digits) & (F.col("context") != ""))
-    new = unseen.join(good, "context", "left_semi").groupBy("rk").agg(F.collect_list(F.struct("start", F.lit(5).alias("kind"), "stop")).alias("new"))
-    out = rows.join(new, "rk", "left").withColumn("all", F.concat("known", F.coalesce("new", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>"))))
+    found = written(found_entities(docs, id_col, text_col, reach), "entities")
+    marks = written(marked(found, reach), "marks")
+    tokens = marks.where("kind = 5")
+    scores = pattern_scores(tokens, rounds)
+    good = written(scores.where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("pattern"), "good")
+    unseen = tokens.where(~F.col("seed") & (F.length("token") >= min_length) & (F.length(_digits(F.col("token"))) >= min_digits))
+    new = unseen.select("rk", "start", "stop", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi").select("rk", F.lit(5).alias("kind"), "start", "stop").distinct()
+    spans = marks.where("kind < 5").select("rk", "kind", "start", "stop").unionByName(new)
+    spans = spans.groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("all"))
+    out = found.select("rk", "doc_id").join(spans, "rk", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")))
     names = F.array(*map(F.lit, KINDS))
 
-    def joined(spans: Column) -> Column:
-        return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    def joined(found_spans: Column) -> Column:
+        return F.array_join(F.transform(found_spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("all", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
 
-    base = F.filter("known", lambda s: s["kind"] < 4)
+    base = F.filter("all", lambda s: s["kind"] < 4)
     return out.select(
         F.col("doc_id").alias(id_col),
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]],
+        *map(count, range(4)),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("all")).alias("spans"),
+        count(4),
+        count(5),
+        F.size("all").cast("long").alias("n_spans"),
     )

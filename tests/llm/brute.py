@@ -7,6 +7,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import regex
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -115,3 +116,45 @@ def round_robin(queues, weights, window):
                 out.append((q, at[q]))
                 at[q] += 1
     return out
+
+
+BREAK = "\"'<>()[]{}|,;:=#&$*"
+SECRETS = r"(?<![A-Za-z0-9])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Za-z])[0-9A-Fa-f]{32,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=password=|passwd=|secret=|api_key=)[^\x20\x09-\x0D%" + re.escape(BREAK) + "]{8,}"
+
+
+def _patterns(before):
+    plain = re.sub("[0-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", before.lower()))
+    words, end = plain.rstrip(" ").split(" "), " " * plain.endswith(" ")
+    return {p for p in (" ".join(words[-k:]) + end for k in (1, 2, 3)) if p.strip(" ")}
+
+
+def personal_spans(texts, rounds=3, confidence=0.5, support=5, reach=64):
+    """The spans column for each id, discovered ones too."""
+    spans, tokens = {}, []
+    for i, t in texts.items():
+        t = t or ""
+        base = [x for x in personal_base(t)[2].split(",") if x]
+        found = [(int(a), KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in base)]
+        found += [(m.start(), 4, m.end()) for m in regex.finditer(SECRETS, t)]
+        spans[i] = found
+        for m in re.finditer(r"[^\x20\x09-\x0D" + re.escape(BREAK) + "]{8,}", t):
+            if re.search("[0-9]", m.group()):
+                token = m.group().rstrip(".!?%")
+                a, b = m.start(), m.start() + len(token)
+                tokens.append((i, a, b, token, _patterns(t[max(0, a - reach) : a]), any(x < b and y > a for x, _, y in found)))
+    known = {t for *_, t, _, seed in tokens if seed}
+    of = defaultdict(set)
+    at = defaultdict(set)
+    for *_, token, patterns, _ in tokens:
+        for p in patterns:
+            of[p].add(token)
+            at[token].add(p)
+    conf = {p: sum(t in known for t in ts) / len(ts) for p, ts in of.items()}
+    for _ in range(rounds - 1):
+        score = lambda t, p, c=conf: 1 if t in known else sum(c[q] for q in at[t] - {p}) / max(1, len(at[t]) - 1)
+        conf = {p: sum(score(t, p) for t in ts) / len(ts) for p, ts in of.items()}
+    good = {p for p, c in conf.items() if c >= confidence and len(of[p] & known) >= support}
+    for i, a, b, token, patterns, seed in tokens:
+        if not seed and len(token) >= 12 and len(re.sub("[^0-9]", "", token)) >= 4 and patterns & good:
+            spans[i].append((a, 5, b))
+    return {i: ",".join(f"{[*KINDS, 'secret', 'id'][k]}:{a}:{b}" for a, k, b in sorted(found)) for i, found in spans.items()}
