@@ -1,20 +1,24 @@
 """WARC archives with revisit records.
 
-Record headers are shuffled by payload digest; of records with equal payloads one is the response and the
-others become revisit records that refer to it. The deduplicated archives are written with fresh headers by
-Spark's own writer, one text row per record, and read back by a parser that follows Content-Length.
+Record headers, without bodies, are shuffled by payload digest; of records with equal payloads one is the response
+and the others become revisit records that refer to it by its record id. Bodies join what was found by id and
+digest. The deduplicated archives are written with fresh headers, one gzip member for each record, by Spark's own
+writer, and read back by a parser that follows Content-Length; revisits join their responses by record id.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
+import zlib
+from base64 import b32encode
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_or_empty
+from .common import fresh_path, text_or_empty, written
 
 #: Fixed values of the format.
 CRLF = "\r\n"
@@ -32,60 +36,103 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*digits)
 
 
-def resolve(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """pages with payload, payload_digest, payload_bytes, record_type and refers_to.
+def record_id(rid: Column, kind: Column, digest: Column) -> Column:
+    seed = F.md5(F.concat_ws(":", F.coalesce(rid.cast("string"), F.lit("")), kind, digest))
+    return F.regexp_replace(seed, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
+
+
+def plain_url(url: Column) -> Column:
+    """Without white space and control characters, which would end the header."""
+    return F.regexp_replace(url.cast("string"), r"[\x00-\x20\x7F]", "")
+
+
+def resolve(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", min_bytes: int = 0) -> DataFrame:
+    """rid, url, payload, payload_digest, payload_bytes, record_type, refers_to, refers_url: one row per row of pages.
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest id is the
     response, others revisit it; smaller ones are all responses. A null payload is an empty one. A null id
     comes after all others: such a record is a response only where no other has its payload. Rows that
     repeat the id of the response and its payload are responses too. Null urls stay out of the headers.
     """
-    own = F.struct("*").alias("page")
-    rows = pages.select(own).select(
-        "page", F.col(f"page.{id_col}").alias("rid"), text_or_empty(F.col(f"page.{payload_col}")).alias("payload")
-    )
+    url = plain_url(F.col(url_col)) if url_col else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_col).alias("rid"), url.alias("url"), text_or_empty(payload_col).alias("payload"))
     rows = rows.withColumns({"payload_digest": base32_sha1(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
-    heads = rows.select("payload_digest", "rid").groupBy("payload_digest").agg(F.max("rid").alias("original"))
-    joined = rows.join(heads, "payload_digest")
-    revisit = (F.col("payload_bytes") >= min_bytes) & ~F.col("rid").eqNullSafe(F.col("original"))
-    return joined.withColumns(
-        {"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("original"))}
-    )
+    heads = written(rows.where(F.col("payload_bytes") >= min_bytes).select("rid", "url", "payload_digest"), "heads")
+    # Minima and maxima are taken in each task first, so a digest that very many records share is no burden.
+    last = heads.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("rid", "url")).alias("x")).where("n > 1")
+    last = written(last.select("payload_digest", F.col("x.rid").alias("refers_to"), F.col("x.url").alias("refers_url")), "originals")
+    found = heads.join(last, "payload_digest").where(~F.col("rid").eqNullSafe(F.col("refers_to")))
+    found = written(found.select(F.col("rid").alias("of"), F.col("payload_digest").alias("digest"), "refers_to", "refers_url").distinct(), "revisits")
+    joined = rows.join(found.hint("merge"), F.col("rid").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("digest")), "left")
+    kind = F.when(F.col("digest").isNotNull(), "revisit").otherwise("response")
+    return joined.withColumn("record_type", kind).drop("of", "digest")
 
 
 def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
 
 
-def records(resolved: DataFrame, url_col: str = "url", date: str = "2020-01-01T00:00:00Z") -> DataFrame:
-    """One row ``value`` per record: fresh WARC headers and block, without the closing pair of line ends."""
-    url = F.regexp_replace(F.col(f"page.{url_col}"), r"[\x00-\x20\x7F]", "") if url_col else F.lit(None)
-    page_urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+def records(resolved: DataFrame, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
+    """One row ``value`` per record: fresh WARC headers and block, without the closing pair of line ends.
+
+    The id of a page is kept in the extension field Page-ID.
+    """
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     is_response = F.col("record_type") == "response"
     block = F.when(is_response, F.concat(http, F.col("payload"))).otherwise(http)
-    seed = F.md5(F.concat_ws(":", F.coalesce(F.col("rid").cast("string"), F.lit("")), "record_type", "payload_digest"))
-    uuid = F.regexp_replace(seed, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
+    block_bytes = F.octet_length(http) + F.when(is_response, F.col("payload_bytes")).otherwise(0)
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _header("WARC-Type", F.col("record_type")),
-        _header("WARC-Record-ID", uuid),
+        _header("WARC-Record-ID", record_id(F.col("rid"), F.col("record_type"), F.col("payload_digest"))),
         _header("WARC-Date", F.lit(date)),
-        _header("WARC-Target-URI", url),
-        _header("WARC-Concurrent-To", page_urn(F.col("rid"))),
+        _header("WARC-Target-URI", F.col("url")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _header("WARC-Profile", F.when(~is_response, F.lit(PROFILE))),
-        _header("WARC-Refers-To", page_urn(F.col("refers_to"))),
+        _header("WARC-Refers-To", F.when(~is_response, record_id(F.col("refers_to"), F.lit("response"), F.col("payload_digest")))),
+        _header("WARC-Refers-To-Target-URI", F.when(~is_response, F.col("refers_url"))),
+        _header("WARC-Refers-To-Date", F.when(~is_response, F.lit(date))),
+        _header("Page-ID", F.col("rid").cast("string")),
         _header("Content-Type", F.lit("application/http; msgtype=response")),
-        _header("Content-Length", F.octet_length(block).cast("string")),
+        _header("Content-Length", block_bytes.cast("string")),
         F.lit(CRLF),
     )
     return resolved.select(F.concat(head, block).alias("value"))
 
 
-def write_archives(recs: DataFrame, path: str, records_per_file: int = 1000) -> None:
-    """Gzip files of at most ``records_per_file`` records; the writer's line end closes each record."""
-    recs.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def gzip_members(record: bytes, most: int = 1 << 24) -> bytes:
+    """The record as a gzip member; one of 16 MB or more as several, so that each member ends with a zero byte, the last of its size."""
+    out = []
+    for at in range(0, len(record), most - 1):
+        coder = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(coder.compress(record[at : at + most - 1]) + coder.flush())
+    return b"".join(out)
+
+
+def write_archives(recs: DataFrame, path: str, file_bytes: int = 32_000_000) -> None:
+    """Files of gzip members, one for each record, of about ``file_bytes`` at most unless a single record is larger.
+
+    Rows of the text writer are runs of members up to a quarter of that. Its line end is the zero byte with which
+    every member ends, so that nothing stands between the members and the usual commit protocol holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        as_batch = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+        for b in batches:
+            for record in b.column(0):
+                member = gzip_members(record.as_py().encode("utf-8", "surrogatepass") + b"\r\n\r\n")
+                if held and size + len(member) > file_bytes // 4:
+                    yield as_batch()
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield as_batch()
+
+    packed = recs.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    packed.write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", 4).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -105,36 +152,43 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
         at += 4
 
 
-READ_SCHEMA = "rid string, url string, record_type string, refers_to string, payload_digest string, payload binary"
+READ_SCHEMA = "record_id string, page_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+
 
+def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
+    """One row per record of the archives under ``path``; digest and bytes are those of the payload that was read.
 
-def read_archives(spark, path: str) -> DataFrame:
-    """One row per record of the archives under ``path``; payload is null in revisit records."""
+    In revisit records payload and payload_bytes are null and the digest is the one stated. payloads: whether to
+    hand the payloads out too.
+    """
+    names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
+    schema = pa.schema([(n, {"payload": pa.binary(), "payload_bytes": pa.int64()}.get(n, pa.string())) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
-        schema = pa.schema([(n, pa.binary() if n == "payload" else pa.string()) for n in names])
-        page = lambda s: s and s.removeprefix("<urn:page:").removesuffix(">")
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for b in batches:
             for content in b.column(0):
                 rows: list[tuple] = []
                 held = 0
                 for h, block in parse_archive(gzip.decompress(content.as_py())):
-                    raw = bytes(block)
-                    payload = raw[raw.index(b"\r\n\r\n") + 4 :] if h["WARC-Type"] == "response" else None
-                    rows.append((page(h.get("WARC-Concurrent-To")), h.get("WARC-Target-URI"), h["WARC-Type"], page(h.get("WARC-Refers-To")), h["WARC-Payload-Digest"].removeprefix("sha1:"), payload))
-                    held += len(raw)
+                    payload = size = None
+                    digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if h["WARC-Type"] == "response":
+                        raw = bytes(block)
+                        payload = raw[raw.index(b"\r\n\r\n") + 4 :]
+                        size, digest = len(payload), b32encode(hashlib.sha1(payload).digest()).decode()
+                    rows.append((h["WARC-Record-ID"], h.get("Page-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], h.get("WARC-Refers-To"), digest, size, payload if payloads else None))
+                    held += len(block) if payloads else 500
                     if held > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        yield as_batch(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield as_batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(run, READ_SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ_SCHEMA)
 
 
-def warc_round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_bytes: int = 0) -> DataFrame:
+def warc_round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", min_bytes: int = 0) -> DataFrame:
     """Writes deduplicated archives in the shared folder and reads them back: one row per page.
 
     Columns: id, payload_bytes, payload_digest, record_type, refers_to; both payload figures of the full
@@ -143,19 +197,14 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    write_archives(records(resolve(pages, id_col, payload_col, min_bytes), url_col), path)
+    write_archives(records(resolve(pages, id_col, payload_col, url_col, min_bytes)), path)
     kind = pages.schema[id_col].dataType
-    back = read_archives(spark, path).select(
-        F.col("rid").cast(kind).alias(id_col),
-        "record_type",
-        F.col("refers_to").cast(kind).alias("refers_to"),
-        F.col("payload_digest").alias("said"),
-        F.when(F.col("payload").isNotNull(), base32_sha1(F.col("payload"))).alias("digest"),
-        F.octet_length("payload").cast("long").alias("bytes"),
-    )
-    cols = [id_col, "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    back = written(read_archives(spark, path, payloads=False).drop("payload", "url").withColumn("page_id", F.col("page_id").cast(kind)), "records")
     responses = back.where("record_type = 'response'")
-    full = responses.groupBy(F.col("digest").alias("said")).agg(F.max("bytes").alias("payload_bytes"))
-    revisits = back.where("record_type = 'revisit'").join(full, "said").withColumn("payload_digest", F.col("said"))
-    own = responses.withColumns({"payload_bytes": F.col("bytes"), "payload_digest": F.col("digest")})
-    return own.select(cols).unionByName(revisits.select(cols))
+    own = responses.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", F.lit(None).cast(kind).alias("refers_to"))
+    # Rows that repeat the response have its record id too; one of them is enough.
+    full = responses.groupBy(F.col("record_id").alias("at")).agg(F.max(F.struct("payload_bytes", "payload_digest", "page_id")).alias("full"))
+    full = written(full, "responses")
+    revisits = back.where("record_type = 'revisit'").join(full, F.col("refers_to") == F.col("at"))
+    revisits = revisits.select(F.col("page_id").alias(id_col), "full.payload_bytes", "full.payload_digest", "record_type", F.col("full.page_id").alias("refers_to"))
+    return own.unionByName(revisits)

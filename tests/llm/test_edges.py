@@ -12,7 +12,7 @@ from glossa.llm.mixing import mix
 from glossa.llm.packing import pack
 from glossa.llm.pii import find_personal_data
 from glossa.llm.quality_rules import judged, quality_filter
-from glossa.llm.warc import warc_round_trip
+from glossa.llm.warc import gzip_members, read_archives, records, resolve, warc_round_trip, write_archives
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 LONG = " ".join(f"word{i % 977}" for i in range(40_000))
@@ -125,3 +125,31 @@ def test_archives_of_odd_rows(spark):
     assert (got[2].record_type, got[1].record_type, got[1].refers_to, got[1].payload_bytes) == ("response", "revisit", 2, 15)
     assert got[1].payload_digest == got[2].payload_digest and got[4].payload_digest == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert (got[3].record_type, got[3].refers_to, got[None].record_type) == ("revisit", 4, "response")
+
+
+def test_archives_hold_a_member_for_each_record(spark, tmp_path):
+    import zlib
+
+    rows = [(i, f"http://h/{i}", f"page {i // 2} " + "é" * 300) for i in range(40)]
+    write_archives(records(resolve(spark.createDataFrame(rows, "page_id long, url string, html string"))), f"file://{tmp_path}/out", file_bytes=2000)
+    members = []
+    files = sorted((tmp_path / "out").glob("part-*"))
+    for f in files:
+        data = f.read_bytes()
+        while data:
+            one = zlib.decompressobj(31)
+            members.append(one.decompress(data))
+            assert one.eof
+            data = one.unused_data
+    assert len(members) == 40 and all(m.startswith(b"WARC/1.1") and m.endswith(b"\r\n\r\n") for m in members) and len(files) > 2
+    back = {r.page_id: r for r in read_archives(spark, f"file://{tmp_path}/out").collect()}
+    assert back["3"].payload.decode() == rows[3][2] and back["2"].payload is None
+    assert all(r.refers_to == back[str(int(k) + 1)].record_id for k, r in back.items() if r.record_type == "revisit")
+
+
+def test_a_large_record_is_several_members():
+    import gzip
+
+    record = bytes(range(256)) * 100
+    out = gzip_members(record, most=1000)
+    assert gzip.decompress(out) == record and out.endswith(b"\x00")
