@@ -79,6 +79,15 @@ def test_repeated_row_keeps_one(spark):
     assert sorted((r.doc_id, r.kept) for r in exact_dedup(df).collect()) == [(2, False), (2, True), (3, False)]
 
 
+def test_a_salted_content_is_one_group(spark):
+    """Half of the rows have one text, some with the same or no id: the runs of the salts meet again."""
+    rows = [(i if i % 5 else None, "the  same\ttext") for i in range(600)] + [(1, "the same text")] * 50 + [(1000 + i, f"own {i}") for i in range(600)]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    same = [r for r in got if r.group_size > 1]
+    assert len(got) == 1250 and {(r.keep_id, r.group_size) for r in same} == {(1, 650)} and len({r.text_sha256 for r in same}) == 1
+    assert sum(r.kept for r in same) == 1 and all(r.kept and r.keep_id == r.doc_id for r in got if r.group_size == 1)
+
+
 def test_near_copies_keep_one_row_of_each_component(docs):
     kept = near_dedup(docs).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "3", "4", "None", "5", "7", "8"])
