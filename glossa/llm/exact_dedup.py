@@ -40,10 +40,12 @@ def content_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         salt = F.when(F.col("h").isin(*hot), F.pmod(F.xxhash64("rk"), F.lit(salts)).cast("int")).otherwise(0)
     rows = docs.select(F.col(id_col).alias("id"), squeezed(text_or_empty(text_col)).alias("norm")).withColumn("rk", F.monotonically_increasing_id())
     keyed = rows.withColumns({"h": F.xxhash64("norm"), "head": F.substring("norm", 1, prefix)}).withColumn("salt", salt).drop("rk")
-    ranged = keyed.repartitionByRange("head", "h", "salt")
+    key = ["head", "h", "salt"] if hot else ["head", "h"]
+    ranged = keyed.repartitionByRange(*key)
     # The range partitioning keeps a run in one task, so the windows need no further shuffle: Spark sorts by the
     # whole key and compares neighbours in full.
-    run = Window.partitionBy("head", "h", "salt", "norm")
+    order = Window.partitionBy(*key, "norm").orderBy(F.col("id").asc_nulls_last())
+    run = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.min(F.struct(F.col("id").isNull().alias("missing"), F.col("id").alias("id"), F.col("salt").alias("salt")))
     return ranged.select(
         "id",
@@ -52,7 +54,7 @@ def content_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("h").isin(*hot).alias("salted") if hot else F.lit(False).alias("salted"),
         first.over(run).alias("run_first"),
         F.count(F.lit(1)).over(run).alias("run_size"),
-        F.row_number().over(run.orderBy(F.col("id").asc_nulls_last())).alias("nth"),
+        F.row_number().over(order).alias("nth"),
     )
 
 
