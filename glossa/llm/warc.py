@@ -100,16 +100,16 @@ def records(resolved: DataFrame, date: str = "2020-01-01T00:00:00Z") -> DataFram
     return resolved.select(F.concat(head, block).alias("value"))
 
 
-def gzip_members(record: bytes, most: int = 1 << 24) -> bytes:
+def gzip_members(record: bytes, level: int = 6, most: int = 1 << 24) -> bytes:
     """The record as a gzip member; one of 16 MB or more as several, so that each member ends with a zero byte, the last of its size."""
     out = []
     for at in range(0, len(record), most - 1):
-        coder = zlib.compressobj(6, zlib.DEFLATED, 31)
+        coder = zlib.compressobj(level, zlib.DEFLATED, 31)
         out.append(coder.compress(record[at : at + most - 1]) + coder.flush())
     return b"".join(out)
 
 
-def write_archives(recs: DataFrame, path: str, file_bytes: int = 32_000_000) -> None:
+def write_archives(recs: DataFrame, path: str, file_bytes: int = 32_000_000, level: int = 3) -> None:
     """Files of gzip members, one for each record, of about ``file_bytes`` at most unless a single record is larger.
 
     Rows of the text writer are runs of members up to a quarter of that. Its line end is the zero byte with which
@@ -122,7 +122,7 @@ def write_archives(recs: DataFrame, path: str, file_bytes: int = 32_000_000) ->
         as_batch = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
         for b in batches:
             for record in b.column(0):
-                member = gzip_members(record.as_py().encode("utf-8", "surrogatepass") + b"\r\n\r\n")
+                member = gzip_members(record.as_py() + b"\r\n\r\n", level)
                 if held and size + len(member) > file_bytes // 4:
                     yield as_batch()
                     held, size = [], 0
@@ -131,7 +131,7 @@ def write_archives(recs: DataFrame, path: str, file_bytes: int = 32_000_000) ->
         if held:
             yield as_batch()
 
-    packed = recs.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    packed = recs.select(F.col("value").cast("binary")).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     packed.write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", 4).text(path)
 
 
