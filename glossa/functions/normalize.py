@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .jis import CHARS, row
+
 HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
 KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
 BOTH = HIRAGANA + KATAKANA
@@ -85,15 +87,19 @@ dakuten, handakuten = mapped(DAKUTEN), mapped(HANDAKUTEN)
 to_hira, to_kata = mapped(KATA_TO_HIRA), mapped(HIRA_TO_KATA)
 no_space, no_long_vowel = deleted(WIDE_SPACE), deleted(LONG)
 
-#: The characters that JIS X 0208 text may hold here: what isn't in it can't be looked up.
-UNENCODABLE = "[—～－]"
+#: What encodes as an ASCII character besides that character itself.
+ASCII_TWINS = {"¥": "＼", "‾": "〜"}
+TO_WIDE = ASCII_WIDE | HALF_KANA | ASCII_TWINS
 
 
 def full_width(s: Column) -> Column:
-    """ASCII and half-width katakana in full width, tabs as spaces, no space at either end; null if nothing is left or it is too long."""
-    wide = F.translate(F.translate(s, "\t", " "), "".join(ASCII_WIDE | HALF_KANA), "".join((ASCII_WIDE | HALF_KANA).values()))
+    """ASCII and half-width katakana in full width, tabs as spaces, no space at either end.
+
+    Null if nothing is left, if it is longer than 127 characters, or if JIS X 0208 lacks one of its characters.
+    """
+    wide = F.translate(F.translate(s, "\t", " "), "".join(TO_WIDE), "".join(TO_WIDE.values()))
     bare = F.regexp_replace(wide, f"^{WIDE_SPACE}+|{WIDE_SPACE}+$", "")
-    return F.when((F.length(bare) > 0) & (F.length(bare) <= 127) & ~bare.rlike(UNENCODABLE), bare)
+    return F.when((F.length(bare) > 0) & (F.length(bare) <= 127) & (F.translate(bare, CHARS, "") == ""), bare)
 
 
 def latin(s: Column) -> Column:
@@ -102,14 +108,13 @@ def latin(s: Column) -> Column:
     return F.when((F.length(bare) > 0) & (F.length(bare) <= 255) & bare.rlike("^[\\x{00}-\\x{FF}]*$"), bare)
 
 
-ALPHA = "[０-９Ａ-Ｚａ-ｚ]"
-KANA = "[ぁ-ゖァ-ヶ]"
-#: Row 1 and 2 of the character set hold symbols, the long-vowel mark among them; they decide nothing.
-NEUTRAL = "[　-〃々-〇〈-】〔〕ー・゛゜´｀¨＾￣＿ヽヾゝゞ！-／：-＠［-｀｛-～‐―‖…‥‘’“”±×÷≠∞∴♂♀°′″℃￥∥−〜]"
+#: Row 3 of the character set holds digits and letters, rows 4 and 5 kana. Row 1 holds symbols, the long-vowel mark
+#: among them, which decide nothing. None of them has a meaning of its own in a pattern.
+ALPHA, KANA, NEUTRAL = f"[{row(3)}]", f"[{row(4)}{row(5)}]", f"[{row(1)}]"
 
 
 def word_class(s: Column) -> Column:
-    """alphabet, kana or other: symbols count for nothing, and mixed or bare-symbol words are other."""
+    """alphabet, kana or other: symbols of row 1 count for nothing, and mixed or bare-symbol words are other."""
     alpha, kana = s.rlike(ALPHA), s.rlike(KANA)
     rest = F.length(F.regexp_replace(s, f"{ALPHA}|{KANA}|{NEUTRAL}", "")) > 0
     return F.when(kana & ~alpha & ~rest, "kana").when(alpha & ~kana & ~rest, "alphabet").otherwise("other")

@@ -2,6 +2,7 @@
 
 Input: entry (its number) and bytes, an entry's bytes from its position on, 64 KiB at most. A token is a character, an
 escape with its argument, or a region that is skipped whole. All rules are in one pattern over hexadecimal digits.
+Characters take two bytes (JIS X 0208, GB 2312 or private), in Latin books one, or two if they are private.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import gaiji_name
+from ..functions.jis import GB
 from ..functions.present import subscript
 from ..sources.discs import jis_char
 
@@ -20,22 +22,32 @@ OPTIONAL = [*range(0x1A, 0x20), 0xE0]
 SKIPS = {c: c + 0x20 for c in [*range(0x35, 0x39), 0x3A, 0x3B, *range(0x3D, 0x40), 0x49, 0x4E, *range(0x70, 0x90)]} | {c: c + 1 for c in [0xE4, *range(0xE6, 0xFF, 2)]} | {0x14: 0x15}
 
 
-def token_pattern(epwing: bool = True) -> str:
+#: The most bytes that an entry is read for.
+MOST = 1 << 16
+
+
+def token_pattern(epwing: bool = True, latin: bool = False) -> str:
     """One alternative for each kind of token, over upper-case hexadecimal digits, in the order in which they are tried."""
     skip = [f"1F{a:02X}(?:(?!1F{b:02X}|1F03)..)*+(?:1F{b:02X})?+" for a, b in SKIPS.items()]
     fixed = [f"1F{c:02X}.{{{2 * n}}}" for c, n in ARGUMENTS.items()]
     optional = [f"1F{c:02X}" + ("...." if epwing else "(?:(?:0.|1[0-9A-E])..)?+") for c in OPTIONAL]
     special = ["1F4B.{12}(?:1F6B)?+", "1F4200..", "1F.."]
-    return "|".join([*skip, *fixed, *optional, *special, "[2-9A-F]...", ".."])
+    chars = ["[2-6].|7[0-9A-E]|[A-F].", "....", ".."] if latin else ["[2-9A-F]...", ".."]
+    return "|".join([*skip, *fixed, *optional, *special, *chars])
 
 
-def tokens(entries: DataFrame, epwing: bool = True) -> DataFrame:
-    """entry, pos, at (byte place in the entry), token (hexadecimal)."""
-    found = F.regexp_extract_all(F.hex("bytes"), F.lit(token_pattern(epwing)), F.lit(0))
+def tokens(entries: DataFrame, epwing: bool = True, latin: bool = False) -> DataFrame:
+    """entry, pos, at (byte place in the entry), token (hexadecimal), chars (how many characters it holds: in a skipped region some)."""
+    pattern = token_pattern(epwing, latin)
+    found = F.regexp_extract_all(F.hex("bytes"), F.lit(pattern), F.lit(0))
     each = entries.select("entry", F.posexplode(found).alias("pos", "token"))
     order = Window.partitionBy("entry").orderBy("pos")
     before = F.coalesce(F.sum(F.length("token") / 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return each.withColumn("at", before.cast("long"))
+    escape = F.startswith("token", F.lit("1F"))
+    inner = F.regexp_extract_all(F.expr("substring(token, 5)"), F.lit(pattern), F.lit(0))
+    skipped = escape & F.substring("token", 3, 2).isin(*(f"{c:02X}" for c in SKIPS))
+    chars = F.when(skipped, F.size(F.filter(inner, lambda x: ~F.startswith(x, F.lit("1F"))))).when(escape, 0).otherwise(1)
+    return each.withColumns({"at": before.cast("long"), "chars": chars})
 
 
 def _code(token: Column) -> Column:
@@ -43,7 +55,7 @@ def _code(token: Column) -> Column:
     return F.when(F.startswith(token, F.lit("1F")), F.substring(token, 3, 2))
 
 
-def events(toks: DataFrame, stop: tuple[int, int] | None = None, heading: bool = False) -> DataFrame:
+def events(toks: DataFrame, stop: tuple[int, int] | None = None, heading: bool = False, latin: bool = False) -> DataFrame:
     """tokens with kind, shown text, its place in the output, and only up to the entry's end; stops keep a row of kind ``stop``.
 
     stop: the escape and argument that begin the next entry. Without one, an entry ends where the keyword escape that opened
@@ -55,7 +67,7 @@ def events(toks: DataFrame, stop: tuple[int, int] | None = None, heading: bool =
     code = F.col("code")
     lead = F.conv(F.substring("token", 1, 2), 16, 10).cast("int")
     rows = toks.withColumn("code", _code(t)).withColumn("lead", lead)
-    rows = rows.withColumn("printed", F.sum(F.col("code").isNull().cast("int")).over(before))
+    rows = rows.withColumn("printed", F.sum("chars").over(before))
     opener = F.first(F.when(code == "41", t), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("opener", opener)
     hit = (t == f"1F{stop[0] & 0xFF:02X}{stop[1]:04X}") if stop else (t == F.col("opener"))
@@ -67,11 +79,18 @@ def events(toks: DataFrame, stop: tuple[int, int] | None = None, heading: bool =
     narrow = F.last(F.when(code == "04", True).when(code == "05", False), True).over(upto)
     rows = rows.withColumn("narrow", F.coalesce(narrow, F.lit(False)))
     number = F.conv(F.substring("token", 1, 4), 16, 10).cast("long")
-    trail = number % 256
-    jis = code.isNull() & F.col("lead").between(0x21, 0x7E) & trail.between(0x21, 0x7E) & (F.length(t) == 4)
-    gaiji = code.isNull() & F.col("lead").between(0xA1, 0xFE) & trail.between(0x21, 0x7E) & (F.length(t) == 4)
-    kind = F.when(jis, "char").when(gaiji, "gaiji").when(F.col("ends").isNotNull(), "stop").when(code == "0A", "newline").when(code.isNotNull(), "escape").otherwise("stray")
-    shown = F.when(jis, jis_char(number)).when(gaiji, F.concat(F.lit("<gaiji="), gaiji_name(F.col("narrow"), number), F.lit(">"))).when(kind == "newline", "\n").otherwise("")
+    trail, pair = number % 256, F.length(t) == 4
+    jis = code.isNull() & pair & F.col("lead").between(0x21, 0x7E) & trail.between(0x21, 0x7E)
+    gb = code.isNull() & pair & F.col("lead").between(0x21, 0x7E) & trail.between(0xA1, 0xFE)
+    gaiji = code.isNull() & pair & F.col("lead").between(0xA1, 0xFE) & trail.between(0x21, 0x7E)
+    char = F.when(jis, jis_char(number)).when(gb, F.substring(F.lit(GB), ((F.col("lead") - 0x21) * 94 + trail - 0xA1 + 1).cast("int"), F.lit(1)))
+    name = gaiji_name(F.lit(True) if latin else F.col("narrow"), number)
+    if latin:
+        gaiji, char = code.isNull() & pair, F.when(code.isNull() & (F.length(t) == 2), F.decode(F.unhex(t), "ISO-8859-1"))
+    kind = F.when(char.isNotNull(), "char").when(gaiji, "gaiji").when(F.col("ends").isNotNull(), "stop").when(code == "0A", "newline").when(code.isNotNull(), "escape").otherwise("stray")
+    shown = F.when(char.isNotNull(), char).when(gaiji, F.concat(F.lit("<gaiji="), name, F.lit(">"))).when(kind == "newline", "\n").otherwise("")
+    if latin:
+        rows = rows.withColumn("narrow", F.lit(True))
     rows = rows.withColumns({"kind": kind, "shown": shown, "number": F.when(gaiji, number)})
     # Subscript regions are shown as a whole, where they end.
     opens = F.sum(F.when(code == "06", 1).otherwise(0)).over(upto)
@@ -80,10 +99,10 @@ def events(toks: DataFrame, stop: tuple[int, int] | None = None, heading: bool =
     within = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("sub"), F.struct("pos", "shown"))).over(Window.partitionBy("entry", "region"))), lambda x: x["shown"]), "")
     rows = rows.withColumn("shown", F.when(code == "07", subscript(within)).when(F.col("sub"), "").otherwise(F.col("shown")))
     start = F.coalesce(F.sum(F.length("shown")).over(before), F.lit(0))
-    return rows.withColumn("start", start.cast("int")).drop("over", "region", "sub", "printed", "opener", "lead")
+    return rows.withColumn("start", start.cast("int")).drop("over", "region", "sub", "printed", "opener", "lead", "chars")
 
 
-def entry_texts(ev: DataFrame) -> DataFrame:
+def entry_texts(ev: DataFrame, most: int = MOST) -> DataFrame:
     """entry, text, stop (none, soft or hard), next (byte place of what follows), unknown (private codes in use)."""
     grouped = ev.groupBy("entry").agg(
         F.array_sort(F.collect_list(F.struct("pos", "shown"))).alias("parts"),
@@ -92,8 +111,9 @@ def entry_texts(ev: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("kind") == "gaiji", gaiji_name(F.col("narrow"), F.col("number"))))).alias("unknown"),
     )
     text = F.array_join(F.transform("parts", lambda p: p["shown"]), "")
-    # A stream that ends without an escape ends hard as well.
-    return grouped.select("entry", text.alias("text"), F.coalesce("ends", F.lit("hard")).alias("stop"), "next", F.array_join("unknown", ",").alias("unknown"))
+    # A stream that ends without an escape ends hard as well; one that is cut at the most bytes doesn't end.
+    stop = F.coalesce("ends", F.when(F.col("next") >= most, "none").otherwise("hard"))
+    return grouped.select("entry", text.alias("text"), stop.alias("stop"), "next", F.array_join("unknown", ",").alias("unknown"))
 
 
 def spans(ev: DataFrame, opens: str, closes: str) -> DataFrame:

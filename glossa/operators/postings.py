@@ -10,20 +10,33 @@ from pyspark.sql import functions as F
 WORD = "[A-Za-z]+"
 
 
+def entry_words(docs: DataFrame, text: str = "doc_id", body: str = "text") -> DataFrame:
+    """text, words: the distinct upper-cased words of an entry."""
+    words = F.array_distinct(F.regexp_extract_all(F.translate(F.coalesce(F.col(body), F.lit("")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(WORD), F.lit(0)))
+    return docs.select(F.col(text).alias("text"), words.alias("words"))
+
+
 def postings(docs: DataFrame, text: str = "doc_id", body: str = "text") -> DataFrame:
     """keyword, text: one row for each distinct upper-cased word of an entry."""
-    words = F.array_distinct(F.regexp_extract_all(F.translate(F.coalesce(F.col(body), F.lit("")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(WORD), F.lit(0)))
-    return docs.select(F.col(text).alias("text"), F.explode(words).alias("keyword"))
+    return entry_words(docs, text, body).select("text", F.explode("words").alias("keyword"))
+
+
+def asked_postings(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """The postings of the words that some query asks for; entries: text, words."""
+    return entries.select("text", F.explode("words").alias("keyword")).join(queries.select("keyword").distinct(), "keyword", "left_semi")
 
 
-def keyword_and(queries: DataFrame, posts: DataFrame) -> DataFrame:
-    """query, text: entries that use all words of a query. queries: query, keyword, one row per distinct word.
+def keyword_and(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """query, text: entries that use all words of a query. queries: query, nth, keyword, one row per distinct word; entries: text, words.
 
-    Postings of other words are dropped by the join; counts are taken before the shuffle.
+    The list of each query's rarest word is walked, and its entries are tested for the other words, so that a
+    common word's list never meets the queries.
     """
-    wanted = queries.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
-    met = posts.join(queries, "keyword").groupBy("query", "text").agg(F.count(F.lit(1)).alias("met"))
-    return met.join(wanted, "query").where("met = need").select("query", "text")
+    posts = asked_postings(queries, entries)
+    drivers = rarest(queries, document_frequency(posts)).where("df > 0").select("query", F.col("driver").alias("keyword"))
+    wanted = queries.groupBy("query").agg(F.collect_list("keyword").alias("wanted"))
+    found = posts.join(drivers, "keyword").join(wanted, "query").join(entries, "text")
+    return found.where(F.size(F.array_except("wanted", "words")) == 0).select("query", "text")
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:

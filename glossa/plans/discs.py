@@ -319,6 +319,24 @@ def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.spans(E.events(E.tokens(streams(spark, sf_dir))), "43", "63")
 
 
+@query("SELECT p_partkey AS entry, p_name || 'é' || chr(10) || p_type || '<gaiji=h8041>' AS text, 'hard' AS stop, (length(p_name) + length(p_type) + 7)::BIGINT AS next, 'h8041' AS unknown FROM part")
+def text_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a Latin book: a byte a character, and private characters of two."""
+    ascii_hex = lambda c: F.hex(F.encode(F.col(c), "ISO-8859-1"))
+    body = F.concat(F.lit("1F02"), ascii_hex("p_name"), F.lit("E91F0A"), ascii_hex("p_type"), F.lit("80411F03"), ascii_hex("p_name"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.unhex(body).alias("bytes"))
+    return E.entry_texts(E.events(E.tokens(rows, latin=True), latin=True))
+
+
+@query("SELECT p_partkey AS entry, CASE WHEN p_size % 2 = 0 THEN '啊' ELSE '座' END || 'ａ' AS text, CASE WHEN p_size % 3 = 0 THEN 'none' ELSE 'hard' END AS stop, CASE WHEN p_size % 3 = 0 THEN 12 ELSE 4 END::BIGINT AS next, '' AS unknown FROM part")
+def text_gb2312(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters with the high bit in the second byte alone; entries that are cut where no escape ends them end by nothing."""
+    char = F.when(F.col("p_size") % 2 == 0, "30A1").otherwise("57F9")
+    body = F.concat(char, F.lit("2361"), F.when(F.col("p_size") % 3 == 0, "1F06" * 4).otherwise("1F03"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.unhex(body).alias("bytes"))
+    return E.entry_texts(E.events(E.tokens(rows)), most=12)
+
+
 @query("SELECT p_brand, arg_max(p_name, p_partkey) AS p_name FROM part GROUP BY p_brand")
 def src_index_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several records with one number the last counts."""

@@ -12,11 +12,13 @@ from ..functions.normalize import mapped
 from .corpora import sql_map
 from .registry import query, table
 
-FIRST_LINE = "string_split(text, chr(10))[1]"
+LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)"
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.split("text", "\n")[0].alias("line"))
+    """Every line of every document."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query(f"SELECT p_partkey, {sql_map(sql_map(chr(39) + '①−' + chr(39) + ' || p_name', ASCII_WIDE), P.FULL)} AS shown FROM part")
@@ -55,20 +57,20 @@ def pres_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", P.readable(s).alias("shown"))
 
 
-@query(f"SELECT doc_id, (length({FIRST_LINE}) + 4)::INT AS width FROM documents")
+@query(f"SELECT doc_id, line_no, (length(line) + 4)::INT AS width FROM {LINES}")
 def pres_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of first lines with two wide characters and a combining one."""
-    return _lines(spark, sf_dir).select("doc_id", P.display_width(F.concat("line", F.lit("辞́書"))).cast("int").alias("width"))
+    """The columns of lines with two wide characters and a combining one."""
+    return _lines(spark, sf_dir).select("doc_id", "line_no", P.display_width(F.concat("line", F.lit("辞́書"))).cast("int").alias("width"))
 
 
-@query(f"SELECT doc_id, CASE WHEN length({FIRST_LINE}) <= 16 THEN {FIRST_LINE} || CASE WHEN length({FIRST_LINE}) < 15 THEN '辞' ELSE '' END ELSE left({FIRST_LINE}, 16) END AS shown FROM documents")
+@query(f"SELECT doc_id, line_no, CASE WHEN length(line) <= 16 THEN line || CASE WHEN length(line) < 15 THEN '辞' ELSE '' END ELSE left(line, 16) END AS shown FROM {LINES}")
 def pres_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select("doc_id", P.truncate(F.concat("line", F.lit("辞")), 16).alias("shown"))
+    return _lines(spark, sf_dir).select("doc_id", "line_no", P.truncate(F.concat("line", F.lit("辞")), 16).alias("shown"))
 
 
-@query(f"SELECT doc_id, rpad({FIRST_LINE}, 24, ' ') AS shown FROM documents")
+@query(f"SELECT doc_id, line_no, rpad(line, 24, ' ') AS shown FROM {LINES}")
 def pres_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select("doc_id", P.pad(F.col("line"), 24).alias("shown"))
+    return _lines(spark, sf_dir).select("doc_id", "line_no", P.pad(F.col("line"), 24).alias("shown"))
 
 
 @query("SELECT p_partkey, string_split(p_name, ' ')[1] || CASE WHEN length(string_split(p_name, ' ')[1]) < 6 THEN ' ' ELSE '' END || '|' || CASE WHEN length(string_split(p_name, ' ')[2]) <= 6 THEN string_split(p_name, ' ')[2] ELSE left(string_split(p_name, ' ')[2], 6) || '|' || substr(string_split(p_name, ' ')[2], 7) END AS shown FROM part")

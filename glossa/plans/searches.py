@@ -147,20 +147,20 @@ def win_next_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POSTS = f"(SELECT doc_id AS text, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{LOWER}', '{UPPER}'), '[A-Z]+'))) AS keyword FROM documents)"
-#: A query for each benchmark item: its first three distinct words.
-ASKED = f"(SELECT query, keyword, min(n) AS nth FROM (SELECT item_id AS query, unnest(regexp_extract_all(translate(text, '{LOWER}', '{UPPER}'), '[A-Z]+')[1:3]) AS keyword, unnest([0, 1, 2]) AS n FROM benchmark) WHERE keyword IS NOT NULL GROUP BY ALL)"
+#: A query for each benchmark item: all its distinct words.
+ASKED = f"(SELECT query, keyword, min(n) AS nth FROM (SELECT item_id AS query, unnest(w) AS keyword, unnest(range(len(w))) AS n FROM (SELECT item_id, regexp_extract_all(translate(text, '{LOWER}', '{UPPER}'), '[A-Z]+') AS w FROM benchmark)) GROUP BY ALL)"
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    words = F.slice(F.regexp_extract_all(F.translate("text", LOWER, UPPER), F.lit("[A-Z]+"), F.lit(0)), 1, 3)
+    words = F.regexp_extract_all(F.translate("text", LOWER, UPPER), F.lit("[A-Z]+"), F.lit(0))
     each = b.select(F.col("item_id").alias("query"), F.posexplode(words).alias("n", "keyword"))
     return each.groupBy("query", "keyword").agg(F.min("n").alias("nth"))
 
 
 @query(f"SELECT query, text FROM {POSTS} p JOIN (SELECT *, count(*) OVER (PARTITION BY query) AS need FROM {ASKED}) q USING (keyword) GROUP BY query, text HAVING count(*) = any_value(need)")
 def keyword_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.keyword_and(asked(spark, sf_dir).select("query", "keyword"), W.postings(table(spark, sf_dir, "documents")))
+    return W.keyword_and(asked(spark, sf_dir), W.entry_words(table(spark, sf_dir, "documents")))
 
 
 @query(f"SELECT keyword, count(*) AS df FROM {POSTS} GROUP BY keyword")
@@ -170,7 +170,8 @@ def keyword_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT query, arg_min(keyword, (df, nth)) AS driver, min(df) AS df FROM (SELECT query, nth, q.keyword, coalesce(df, 0) AS df FROM {ASKED} q LEFT JOIN (SELECT keyword, count(*) AS df FROM {POSTS} GROUP BY keyword) f ON q.keyword = f.keyword) GROUP BY query")
 def keyword_rarest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.rarest(asked(spark, sf_dir), W.document_frequency(W.postings(table(spark, sf_dir, "documents"))))
+    queries = asked(spark, sf_dir)
+    return W.rarest(queries, W.document_frequency(W.asked_postings(queries, W.entry_words(table(spark, sf_dir, "documents")))))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE starts_with(o_orderstatus, 'F') AND starts_with(o_orderpriority, '2-')")

@@ -35,22 +35,23 @@ _rule("norm_handakuten", N.handakuten, sql_map("x", N.HANDAKUTEN))
 _rule("norm_reverse", F.reverse, "reverse(x)")
 
 
-def _typed(name: Column, brand: Column, kind: Column) -> Column:
-    """What a person might type: blanks at the ends, symbols, and half-width katakana."""
-    return F.concat(F.lit(" \t"), name, F.lit("-"), brand, F.lit('"`~ｶﾞｯﾊﾟｰ'), kind, F.lit("　 "))
+def _typed(key: Column, name: Column, brand: Column, kind: Column) -> Column:
+    """What a person might type: blanks at the ends, symbols, half-width katakana, and characters that can't be looked up."""
+    odd = F.when(key % 5 == 0, "☆").when(key % 5 == 1, "é").when(key % 5 == 2, "🙂").when(key % 5 == 3, "¥").otherwise("")
+    return F.concat(F.lit(" \t"), name, F.lit("-"), brand, odd, F.lit('"`~ｶﾞｯﾊﾟｰ'), kind, F.lit("　 "))
 
 
-TYPED = "(' ' || chr(9) || p_name || '-' || p_brand || '\"`~ｶﾞｯﾊﾟｰ' || p_type || '　 ')"
-WIDE_SQL = f"regexp_replace({sql_map(f'translate({TYPED}, chr(9), chr(32))', N.ASCII_WIDE | N.HALF_KANA)}, '^　+|　+$', '', 'g')"
+TYPED = "(' ' || chr(9) || p_name || '-' || p_brand || CASE p_partkey % 5 WHEN 0 THEN '☆' WHEN 1 THEN 'é' WHEN 2 THEN '🙂' WHEN 3 THEN '¥' ELSE '' END || '\"`~ｶﾞｯﾊﾟｰ' || p_type || '　 ')"
+WIDE_SQL = f"regexp_replace({sql_map(f'translate({TYPED}, chr(9), chr(32))', N.TO_WIDE)}, '^　+|　+$', '', 'g')"
 
 
-@query(f"SELECT p_partkey, CASE WHEN length({WIDE_SQL}) BETWEEN 1 AND 127 AND NOT regexp_matches({WIDE_SQL}, '{N.UNENCODABLE}') THEN {WIDE_SQL} END AS word FROM part")
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 5 NOT IN (1, 2) AND length({WIDE_SQL}) BETWEEN 1 AND 127 THEN {WIDE_SQL} END AS word FROM part")
 def norm_fullwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", N.full_width(_typed(F.col("p_name"), F.col("p_brand"), F.col("p_type"))).alias("word"))
+    return p.select("p_partkey", N.full_width(_typed(F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), F.col("p_type"))).alias("word"))
 
 
-MIXED = f"(SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {KANA_SQL} WHEN 1 THEN {sql_map('p_name', N.ASCII_WIDE)} WHEN 2 THEN {KANA_SQL} || '本' ELSE {sql_map('p_brand', N.ASCII_WIDE)} || 'ー' END AS x FROM part)"
+MIXED = f"(SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {KANA_SQL} || '☆' WHEN 1 THEN {sql_map('p_name', N.ASCII_WIDE)} WHEN 2 THEN {KANA_SQL} || '本' ELSE {sql_map('p_brand', N.ASCII_WIDE)} || 'ー' END AS x FROM part)"
 
 
 @query(
@@ -62,19 +63,21 @@ def norm_word_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     k, n = kana(F.col("p_name")), F.col("p_partkey") % 4
     wide = N.mapped(N.ASCII_WIDE)
-    x = F.when(n == 0, k).when(n == 1, wide(F.col("p_name"))).when(n == 2, F.concat(k, F.lit("本"))).otherwise(F.concat(wide(F.col("p_brand")), F.lit("ー")))
+    x = F.when(n == 0, F.concat(k, F.lit("☆"))).when(n == 1, wide(F.col("p_name"))).when(n == 2, F.concat(k, F.lit("本"))).otherwise(F.concat(wide(F.col("p_brand")), F.lit("ー")))
     return p.select("p_partkey", N.word_class(x).alias("word_class"))
 
 
 @query(
-    f"""SELECT doc_id, {sql_map("x", N.UPPER_LATIN)} AS word FROM (
-        SELECT doc_id, regexp_replace(string_split(text, chr(10))[1], '^[ \\t]+|[ \\t]+$', '', 'g') AS x FROM documents)
+    f"""SELECT doc_id, line_no, {sql_map("x", N.UPPER_LATIN)} AS word FROM (
+        SELECT doc_id, line_no, regexp_replace(line, '^[ \\t]+|[ \\t]+$', '', 'g') AS x FROM (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents))
         WHERE length(x) BETWEEN 1 AND 255 AND regexp_matches(x, '^[\\x{{00}}-\\x{{FF}}]*$')"""
 )
 def norm_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines that are Latin-1 words, upper-cased as Latin books do: ß and ÿ stay."""
-    d = table(spark, sf_dir, "documents").select("doc_id", N.latin(F.split("text", "\n")[0]).alias("x"))
-    return d.where("x IS NOT NULL").select("doc_id", N.upper_latin(F.col("x")).alias("word"))
+    """Lines that are Latin-1 words, upper-cased as Latin books do: ß and ÿ stay."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    d = d.select("doc_id", F.col("line_no").cast("long").alias("line_no"), N.latin(F.col("line")).alias("x"))
+    return d.where("x IS NOT NULL").select("doc_id", "line_no", N.upper_latin(F.col("x")).alias("word"))
 
 
 @query(f"SELECT p_partkey, {sql_map(sql_map('p_name', N.ASCII_WIDE), N.UPPER_WIDE)} AS word FROM part")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import PAGE, be_uint, cell_after, glyph_address
+from ..functions.jis import JIS
 from ..functions.normalize import KANA_STYLE
 
 #: What an index is, by its number.
@@ -26,15 +27,6 @@ def part(data: Column, at: Column | int, n: Column | int) -> Column:
     return F.substring(data, (as_col(at) + 1).cast("int"), as_col(n).cast("int"))
 
 
-def _jis_table() -> str:
-    """The characters of the 94 by 94 cells in their order, one a cell; cells without a character hold U+FFFD."""
-    cells = [bytes([0xA1 + r, 0xA1 + c]).decode("euc_jp", "replace") for r in range(94) for c in range(94)]
-    return "".join(x if len(x) == 1 else "�" for x in cells)
-
-
-JIS = _jis_table()
-
-
 def jis_char(code: Column) -> Column:
     """The character of a two-byte code."""
     index = (F.floor(code / 256) - 0x21) * 94 + code % 256 - 0x21

@@ -34,12 +34,12 @@ def test_equivalent_words(spark, a, b):
     assert value(spark, folded(a)) == value(spark, folded(b))
 
 
-@pytest.mark.parametrize(("s", "kind"), [("かな", "kana"), ("カナー", "kana"), ("ａｂｃ１", "alphabet"), ("本", "other"), ("本ａ", "other"), ("ー・", "other"), ("かａ", "other")])
+@pytest.mark.parametrize(("s", "kind"), [("かな", "kana"), ("カナー", "kana"), ("ａｂｃ１", "alphabet"), ("本", "other"), ("本ａ", "other"), ("ー・", "other"), ("かａ", "other"), ("あ☆", "kana"), ("◎ａ≦", "alphabet"), ("◆あ", "other")])
 def test_word_class(spark, s, kind):
     assert value(spark, N.word_class(F.lit(s))) == kind
 
 
-@pytest.mark.parametrize("s", ["", "  ", "　", "a" * 128, "—"])
+@pytest.mark.parametrize("s", ["", "  ", "　", "a" * 128, "—", "é", "a🙂", "한", "①"])
 def test_words_that_cannot_be_looked_up(spark, s):
     assert value(spark, N.full_width(F.lit(s))) is None
 
@@ -194,6 +194,12 @@ def test_stray_bytes_and_stops(spark):
     assert [got[i].stop for i in range(4)] == ["soft", "soft", "hard", "hard"]
 
 
+def test_skipped_characters_count(spark):
+    """A stop code behind nothing but a skipped region ends the entry; behind an empty one it doesn't."""
+    got = decoded(spark, "1F3523611F551F0900012362", "1F351F551F09000123621F090001", stop=(0x1F09, 1))
+    assert (got[0].text, got[0].stop, got[1].text) == ("", "soft", "ｂ")
+
+
 def test_known_stop_code(spark):
     got = decoded(spark, "1F090001 2361 1F090002 2362 1F090001 2363".replace(" ", ""), stop=(0x1F09, 1))
     assert got[0].text == "ａｂ" and got[0].stop == "soft" and got[0].next == 16
