@@ -69,8 +69,43 @@ class Collection:
         first = hits.groupBy("query", "subbook", "text", "own").agg(F.min(F.struct("ord", "heading")).alias("x")).select("query", "subbook", "text", "x.heading", "x.ord")
         return K.limited(first, ["query", "subbook"], limit) if limit is not None else first
 
+    def keyword_search(self, words: DataFrame, index: str = "keyword", limit: int | None = 30) -> DataFrame:
+        """Entries whose text uses all words of a query: query, subbook, text, ord, rank. words: query, nth, word.
+
+        In each subbook hits stand in the order of its rarest word's list, the first typed one's among equals. A
+        subbook without one of the words has no hits; words that can't be written in its characters have none.
+        """
+        folded = canonical(full_width(F.col("word")), PLAIN_STYLE)
+        asked = words.select("query", "nth", folded.alias("keyword")).where("keyword IS NOT NULL").groupBy("query", "keyword").agg(F.min("nth").alias("nth"))
+        need = words.groupBy("query").agg(F.countDistinct(F.coalesce(folded, F.lit(""))).alias("need"))
+        rows = self.entries("keyword").where((F.col("name") == index) & (F.col("kind") != "header"))
+        posts = rows.select("subbook", F.when(F.col("kind") == "member", F.col("group_key")).otherwise(F.col("key")).alias("keyword"), "text", "ord")
+        # Counts are taken in each task first; only the lists of asked words go on.
+        posts = posts.join(asked.select("keyword").distinct(), "keyword", "left_semi").groupBy("subbook", "keyword", "text").agg(F.min("ord").alias("ord"))
+        sizes = posts.groupBy("subbook", "keyword").agg(F.count(F.lit(1)).alias("df"))
+        rated = asked.join(sizes, "keyword")
+        met = posts.join(rated, ["subbook", "keyword"]).groupBy("query", "subbook", "text").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("df", "nth", "ord")).alias("x"))
+        found = met.join(need, "query").where("met = need").select("query", "subbook", "text", "x.ord")
+        return K.limited(found, ["query", "subbook"], limit) if limit is not None else found
+
+    def own_texts(self, name: str, stop: tuple[int, int] | None = None) -> DataFrame:
+        """The text at the start of an index that is itself a text: ``copyright``, ``menu``, ``text``. Columns as texts()."""
+        starts = self.indexes.where(F.col("name") == name)
+        return self.texts(starts.select("subbook", ((F.col("start_page") - 1) * PAGE).alias("location")), stop=stop)
+
+    def menu(self) -> DataFrame:
+        """The lines of each subbook's menu that lead on: subbook, start, end (places in the menu's text), page, offset."""
+        starts = self.indexes.where("name = 'menu'")
+        rows = self.bytes_at(starts.select("subbook", ((F.col("start_page") - 1) * PAGE).alias("location")))
+        return E.spans(E.events(E.tokens(rows)), "42", "62").select("entry.subbook", "start", "end", "page", "offset")
+
     def texts(self, places: DataFrame, heading: bool = False, stop: tuple[int, int] | None = None) -> DataFrame:
-        """Entries at places (subbook, location): subbook, location, text, stop, next, unknown.
+        """Entries at places (subbook, location): subbook, location, text, stop, next, unknown."""
+        out = E.entry_texts(E.events(E.tokens(self.bytes_at(places)), stop, heading))
+        return out.select("entry.subbook", "entry.location", "text", "stop", (F.col("entry.location") + F.col("next")).alias("next"), "unknown")
+
+    def bytes_at(self, places: DataFrame) -> DataFrame:
+        """entry (subbook, location) and bytes from there on.
 
         Pages are put together in chunks of 64 KiB, and an entry takes its own chunk and the next, by equality joins.
         """
@@ -81,9 +116,7 @@ class Collection:
         after = chunks.select("subbook", (F.col("chunk") - 1).alias("chunk"), F.col("own").alias("more"))
         met = met.join(after, ["subbook", "chunk"], "left")
         data = F.substring(F.concat("own", F.coalesce("more", F.lit(""))), (F.col("location") % MOST * 2 + 1).cast("int"), F.lit(2 * MOST))
-        rows = met.select(F.struct("subbook", "location").alias("entry"), F.unhex(data).alias("bytes"))
-        out = E.entry_texts(E.events(E.tokens(rows), stop, heading))
-        return out.select("entry.subbook", "entry.location", "text", "stop", (F.col("entry.location") + F.col("next")).alias("next"), "unknown")
+        return met.select(F.struct("subbook", "location").alias("entry"), F.unhex(data).alias("bytes"))
 
 
 def opened(spark: SparkSession, path: str) -> Collection:
@@ -96,7 +129,7 @@ def opened(spark: SparkSession, path: str) -> Collection:
     disc = F.when(S.plain_name(F.col("name")) == "catalogs", "EPWING").otherwise("EB")
     subbooks = D.catalog(heads.select("book", disc.alias("disc"), "content")).withColumn("subbook", F.concat_ws("/", "book", "directory"))
 
-    data = named.where(S.plain_name(F.col("name")).isin("start", "honmon")).withColumn("in_data", F.lower("book").endswith("/data"))
+    data = named.where(S.plain_name(F.col("name")).isin("start", "honmon", "honmon2")).withColumn("in_data", F.lower("book").endswith("/data"))
     data = data.withColumn("home", F.lower(F.when(F.col("in_data"), F.regexp_replace("book", "/[^/]*$", "")).otherwise(F.col("book"))))
     packed = F.lower("name").rlike(r"\.ebz\.?(;[0-9]+)?$")
     best = F.row_number().over(Window.partitionBy("home").orderBy(packed, F.desc("in_data"), "name"))

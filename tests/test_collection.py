@@ -31,6 +31,29 @@ def honmon():
     return table.ljust(2048, b"\0") + leaf.ljust(2048, b"\0") + text, at
 
 
+def with_keywords():
+    """The same disc with a keyword index on page 3 and a copyright and a menu on pages 4 and 5; entries begin on page 6."""
+    data, at = honmon()
+    at = {w: x + 3 * 2048 for w, x in at.items()}
+    rows = {"RED": ["ABLE", "CABLE", "BAKER"], "SHEEP": ["CABLE"], "BIG": ["BAKER", "CABLE"]}
+    leaf, n = b"", 0
+    for word, texts in sorted(rows.items()):
+        if len(texts) == 1:
+            leaf += bytes([0, 2 * len(word)]) + jis(word) + place(at[texts[0]]) * 2
+        else:
+            leaf += bytes([0x80, 2 * len(word)]) + len(texts).to_bytes(4, "big") + jis(word) + place(at[texts[0]])
+            leaf += b"".join(b"\xc0" + place(at[t]) for t in texts)
+            n += len(texts)
+        n += 1
+    leaf = b"\xb0\x00" + n.to_bytes(2, "big") + leaf
+    record = lambda i, page: (bytes([i, 0]) + page.to_bytes(4, "big") + (1).to_bytes(4, "big") + b"\2\0\0\0").ljust(16, b"\0")
+    table = b"\0\x03\0\0\x02".ljust(16, b"\0") + record(0x80, 3) + record(0x02, 4) + record(0x01, 5)
+    target = int(str(at["BAKER"] // 2048 + 1), 16).to_bytes(4, "big") + int(str(at["BAKER"] % 2048), 16).to_bytes(2, "big")
+    menu = jis("to ") + bytes.fromhex("1F420000") + jis("BAKER") + bytes.fromhex("1F62") + target + bytes.fromhex("1F03")
+    pages = [table, data[2048:4096], leaf, jis("FREE") + bytes.fromhex("1F03"), menu]
+    return b"".join(p.ljust(2048, b"\0") for p in pages) + data[4096:], at
+
+
 def ebzip(data):
     cuts = [data[i : i + 2048].ljust(2048, b"\0") for i in range(0, len(data), 2048)]
     slices = [zlib.compress(c) for c in cuts]
@@ -41,13 +64,29 @@ def ebzip(data):
     return b"EBZip\x10\0\0\0" + len(data).to_bytes(5, "big") + bytes(8) + b"".join(offsets) + b"".join(slices)
 
 
-@pytest.mark.parametrize("packed", [False, True])
-def test_a_disc_from_end_to_end(spark, tmp_path, packed):
-    data, at = honmon()
+def laid_out(tmp_path, data, name):
     (tmp_path / "book" / "WORDS" / "DATA").mkdir(parents=True)
     entry = b"\0\0" + jis("Words").ljust(80, b"\0") + b"WORDS   " + bytes(4) + (1).to_bytes(2, "big")
     (tmp_path / "book" / "CATALOGS").write_bytes(b"\0\1".ljust(16, b"\0") + entry.ljust(164, b"\0"))
-    (tmp_path / "book" / "WORDS" / "DATA" / ("HONMON.EBZ" if packed else "HONMON;1")).write_bytes(ebzip(data) if packed else data)
+    (tmp_path / "book" / "WORDS" / "DATA" / name).write_bytes(data)
+    return str(tmp_path)
+
+
+def test_keywords_menu_and_copyright_of_a_disc(spark, tmp_path):
+    data, at = with_keywords()
+    c = opened(spark, laid_out(tmp_path, data, "HONMON"))
+    words = [(1, 0, "red"), (1, 1, "Sheep"), (2, 0, "red"), (2, 1, "big"), (3, 0, "red"), (4, 0, "big"), (4, 1, "none"), (5, 0, "é")]
+    hits = c.keyword_search(spark.createDataFrame(words, "query int, nth int, word string")).orderBy("query", "rank").collect()
+    assert [(r.query, r.text) for r in hits] == [(1, at["CABLE"]), (2, at["BAKER"]), (2, at["CABLE"]), (3, at["ABLE"]), (3, at["CABLE"]), (3, at["BAKER"])]
+    assert [r.text for r in c.own_texts("copyright").collect()] == ["ＦＲＥＥ"] and c.own_texts("text").count() == 0
+    line = c.menu().first()
+    assert (line.start, line.end, (line.page - 1) * 2048 + line.offset) == (3, 8, at["BAKER"])
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_a_disc_from_end_to_end(spark, tmp_path, packed):
+    data, at = honmon()
+    laid_out(tmp_path, ebzip(data) if packed else data, "HONMON.EBZ" if packed else "HONMON;1")
     c = opened(spark, str(tmp_path))
     assert [(r.title, r.directory, r.disc) for r in c.subbooks.collect()] == [("Ｗｏｒｄｓ", "WORDS", "EPWING")]
     assert [(r.name, r.start_page, r.end_page) for r in c.indexes.collect()] == [("word_asis", 2, 2)]
