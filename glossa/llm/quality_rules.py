@@ -1,15 +1,18 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and selectivity are estimated on a bounded sample; rules then run in the order of
-rejections per second, and a document meets no further rule after one rejects it. The order changes the
+Each rule's cost and selectivity are estimated on a bounded sample; rules then run in the order of rejections per
+second, and a document meets no further rule after one rejects it. Each next rule is rated on the texts of the
+sample that the rules before it leave, and measures that those have taken cost it nothing. The order changes the
 work, never the verdict: a document is kept when no rule rejects it.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from copy import copy
 from functools import cached_property
 
 import pyarrow as pa
@@ -20,6 +23,9 @@ from .common import WS_CHARS
 SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
+DIGITS = bytes(range(48, 58))
+#: From a word's first letter to its end; all that isn't ASCII counts as a letter.
+LETTER_ON = re.compile(rb"[A-Za-z\x80-\xff][^\x20\t-\r]*")
 
 
 class Measures:
@@ -56,6 +62,14 @@ class Measures:
     def n_lower(self) -> int:
         return len(self.raw) - len(self.raw.translate(None, LOWER))
 
+    @cached_property
+    def n_digits(self) -> int:
+        return len(self.raw) - len(self.raw.translate(None, DIGITS))
+
+    @cached_property
+    def n_letter_words(self) -> int:
+        return len(LETTER_ON.findall(self.raw))
+
     @cached_property
     def lines(self) -> list[str]:
         return [x for x in self.text.split("\n") if x.strip(WS_CHARS)]
@@ -91,39 +105,46 @@ RULES: dict[str, Rule] = {
     "capitals": lambda m: m.n_upper > m.n_lower,
     "repeated_lines": lambda m: m.n_dup_lines >= 4 and 10 * m.n_dup_lines > 3 * m.n_lines,
     "word_length": lambda m: 2 * m.word_chars < 5 * m.n_words or m.word_chars > 12 * m.n_words,
+    "digits": lambda m: 10 * m.n_digits > 3 * m.word_chars,
+    "few_letters": lambda m: 10 * m.n_letter_words < 6 * m.n_words,
 }
 BASE = ("few_words", "repetition")
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def estimate(docs: DataFrame, text_col: str = "text", sample_rows: int = 400, rules: dict[str, Rule] = RULES) -> dict[str, tuple[float, float]]:
-    """Seconds and share of rejections of each rule, over a bounded sample of at most ``sample_rows`` texts.
+def cascade_order(docs: DataFrame, text_col: str = "text", sample_rows: int = 400, rules: dict[str, Rule] = RULES, given: Sequence[str] = ()) -> list[str]:
+    """Rule names in their order, by a bounded sample of at most ``sample_rows`` texts.
 
-    take() stops after the few partitions that it needs. Each rule is timed on fresh measures.
+    Next comes the rule with the most rejections per second of the texts that are left; where none rejects any,
+    the cheapest. given: measures that are taken of every text anyway. take() stops after the few partitions it needs.
     """
     texts = docs.select(text_col).sample(0.02, seed=5).take(sample_rows) or docs.select(text_col).take(sample_rows)
-    out = {}
-    for name, rule in rules.items():
-        each = [Measures(x[0]) for x in texts]
-        began = time.perf_counter()
-        hits = sum(map(rule, each))
-        out[name] = (time.perf_counter() - began) / max(1, len(each)), hits / max(1, len(each))
-    return out
-
-
-def cascade_order(docs: DataFrame, text_col: str = "text", sample_rows: int = 400, rules: dict[str, Rule] = RULES) -> list[str]:
-    """Rule names, the most rejections per second first; rules that reject nothing follow, the cheapest first."""
-    seen = estimate(docs, text_col, sample_rows, rules)
-    return sorted(rules, key=lambda name: (-seen[name][1] / (seen[name][0] + 1e-9), seen[name][0]))
+    left, order = [Measures(x[0]) for x in texts], []
+    for m in left:
+        for c in given:
+            getattr(m, c)
+    while len(order) < len(rules):
+        tried = {}
+        for name in rules:
+            if name not in order:
+                own = [copy(m) for m in left]  # with the measures taken so far
+                began = time.perf_counter()
+                hits = [rules[name](m) for m in own]
+                tried[name] = (sum(hits), time.perf_counter() - began + 1e-9, [m for m, hit in zip(own, hits, strict=True) if not hit])
+        best = min(tried, key=lambda name: (-tried[name][0] / tried[name][1], tried[name][1]))
+        order.append(best)
+        left = tried[best][2]
+    return order
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 400) -> DataFrame:
     """One row per input row: id, the measures, base_failed and kept.
 
-    Null texts have no words and fail. Ids pass through, null or repeated; an empty table gives an empty
+    The measures are columns, so all of them are taken; the rules beyond the base run in their order and short-circuit,
+    and what only they measure is taken where one of them asks for it. Null texts have no words and fail. Ids pass through, null or repeated; an empty table gives an empty
     result. Whole texts are read, however long; other columns aren't.
     """
-    order = [x for x in cascade_order(docs, text_col, sample_rows) if x not in BASE]
+    order = cascade_order(docs, text_col, sample_rows, {k: r for k, r in RULES.items() if k not in BASE}, COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -144,6 +144,7 @@ SQL: dict[str, str] = {
         ), m AS (
             SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
                    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                   length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words,
                    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n_lower,
                    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
                    list_transform(range(1, len(w) - 1), lambda i: {'a': w[i], 'b': w[i + 1], 'c': w[i + 2]}) AS wins
@@ -153,14 +154,15 @@ SQL: dict[str, str] = {
         rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
         s AS (
             SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-                   coalesce(n, 0)::BIGINT AS n_repeat_words, n_upper, n_lower, len(lines) AS n_lines
+                   coalesce(n, 0)::BIGINT AS n_repeat_words, n_upper, n_lower, n_digits, n_letter_words, len(lines) AS n_lines
             FROM m LEFT JOIN rep USING (doc_id)
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR n_upper > n_lower
                     OR (n_dup_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)
-                    OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words) AS kept
+                    OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words
+                    OR 10 * n_digits > 3 * word_chars OR 10 * n_letter_words < 6 * n_words) AS kept
         FROM s""",
     "op6_warc_revisit": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -174,9 +176,7 @@ SQL: dict[str, str] = {
         FROM q""",
     "op8_line_dedup": r"""
         WITH l AS (
-            SELECT doc_id, coalesce(source, '') AS host, unnest(list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' 	
-
-')), lambda x: x <> ''))) AS line
+            SELECT doc_id, coalesce(source, '') AS host, unnest(list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''))) AS line
             FROM documents
         ), bad AS (
             SELECT host, list(line) AS bad
@@ -185,13 +185,11 @@ SQL: dict[str, str] = {
             WHERE pages >= 3 AND pages > 0.05 * total GROUP BY host
         ), s AS (
             SELECT documents.*, string_split(text, chr(10)) AS lines,
-                   list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), trim(x, ' 	
-
-'))) AS good
+                   list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS good
             FROM documents LEFT JOIN bad ON coalesce(source, '') = host
         )
         SELECT doc_id, CASE WHEN len(good) < len(lines) THEN array_to_string(good, chr(10)) ELSE text END AS text, lang, source, n_chars,
                coalesce(len(lines) - len(good), 0)::BIGINT AS n_lines_dropped
-        FROM s""".replace(r"' \t\n\x0b\x0c\r'", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"),
+        FROM s""",
     "op10_mixing": MIX_SQL,
 }
