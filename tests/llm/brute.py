@@ -1,9 +1,10 @@
 """Plain versions of what SQL can't express, over lists of rows."""
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -158,3 +159,39 @@ def personal_spans(texts, rounds=3, confidence=0.5, support=5, reach=64):
         if not seed and len(token) >= 12 and len(re.sub("[^0-9]", "", token)) >= 4 and patterns & good:
             spans[i].append((a, 5, b))
     return {i: ",".join(f"{[*KINDS, 'secret', 'id'][k]}:{a}:{b}" for a, k, b in sorted(found)) for i, found in spans.items()}
+
+
+def license_labels(texts, templates, slack=8, least=0.6):
+    """labels and score for each id: every template is tried at every start of every text."""
+    words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)) for i, t in texts.items()}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w]))
+    out = {}
+    for i, ws in words.items():
+        best = {}
+        stands = lambda key, at, ws=ws: at >= 0 and ws[at : at + len(key)] == key
+        for t in templates:
+            want = [w.decode() for w in t.words]
+            keys = [(at, [w.decode() for w in key]) for at, key in t.keys]
+            if not all(any(stands(key, p) for p in range(len(ws))) for _, key in keys):
+                continue
+            if t.base:
+                best[t.label] = 1.0
+                continue
+            anchor = max(sorted({w for _, key in keys for w in key}), key=idf)
+            own = next(k for k in keys if anchor in k[1])
+            for start in range(-len(want), len(ws)):
+                if stands(own[1], start + own[0]) and all(any(stands(key, start + at + s) for s in range(-slack, slack + 1)) for at, key in keys if key != own[1]):
+                    near = sum(w in ws[max(0, start + j - slack) : max(0, start + j + slack + 1)] for j, w in enumerate(want))
+                    if near >= least * len(want):
+                        best[t.label] = max(best.get(t.label, 0), near / len(want))
+        out[i] = ",".join(sorted(best)), max(best.values(), default=0.0)
+    return out
+
+
+def additive_score(model, x):
+    """The score of one row of features, by comparing with every edge."""
+    place = lambda edges, v: sum(v >= e for e in edges)
+    total = model.base + sum(t[place(e, v)] for t, e, v in zip(model.tables, model.edges, x, strict=True))
+    total += sum(t[place(model.coarse[f], x[f])][place(model.coarse[g], x[g])] for (f, g), t in model.pairs.items())
+    return 1 / (1 + math.exp(-total))

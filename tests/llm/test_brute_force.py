@@ -47,6 +47,23 @@ def test_license_templates(spark):
     assert got[1].score == 1.0 and got[3].score == 0.0 and (got[4].n_base, got[4].first_word, got[4].last_word) == (2, 9, 13)
 
 
+def test_license_labels_and_scores(spark, texts):
+    """Whole documents, and notices with words lost, added and changed, against trying everything everywhere."""
+    random.seed(4)
+    rows = dict(texts)
+    for k in range(150):
+        label, notice, _ = random.choice(lic.NOTICES)
+        ws = notice.split()
+        for _ in range(random.randint(0, 4)):
+            at = random.randrange(len(ws))
+            ws[at : at + 1] = random.choice([[], [ws[at], "x"], ["y"]])
+        rows[10_000 + k] = " ".join([*["a"] * random.randint(0, 5), *(w.upper() for w in ws), *random.choice(lic.NOTICES)[1].split()[: random.randint(0, 9)]])
+    got = {r.doc_id: (r.labels, r.score) for r in lic.license_scan(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)).collect()}
+    want = brute.license_labels(rows, lic.TEMPLATES)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in rows) and sum(v[0] != "" for v in want.values()) > 60
+
+
 def test_personal_data(spark, sf_dir, texts):
     for r in Q.op7_personal_data(spark, sf_dir).collect():
         counts, digest, names = brute.personal_base(texts[r.doc_id])
@@ -183,6 +200,13 @@ def test_classifier_on_held_out_rows(spark, sf_dir):
     assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in rows.values())
 
 
+def test_scores_are_those_of_plain_lookups(spark, sf_dir, texts):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = gam.train(docs, labels)
+    got = {r.doc_id: r.score for r in gam.score(docs, model).collect()}
+    assert all(abs(got[k] - brute.additive_score(model, gam.features(t))) < 1e-9 for k, t in texts.items())
+
+
 def test_interactions_are_learnt():
     draw = np.random.default_rng(2)
     x = draw.normal(size=(3000, len(gam.NAMES)))

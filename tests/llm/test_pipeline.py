@@ -52,3 +52,20 @@ def test_one_full_copy_leaves_near_dedup(spark, sf_dir):
     kept = stages["near_dedup"](spark, docs, sf_dir).collect()
     assert [r.doc_id for r in kept if r.text == own[0]] == [0]
     assert sorted(r.doc_id for r in kept) == [0, *range(30, 90), *range(103, 109)]
+
+
+def test_odd_rows_pass_through_every_stage(spark, sf_dir):
+    """Nulls, rows without words and repeated rows; and an empty table, which gives an empty one at each stage."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    long = lambda k: "\n".join(" ".join(f"w{k}x{j}y{i}".translate(letters) for i in range(12)) for j in range(8))
+    rows = [(1, None, None, None), (2, "", "en", "src1"), (3, " \n\t", None, "src1"), (None, long(99), None, None), (None, None, "en", None)]
+    rows += [(10 + i, long(i // 2), "en", "src1") for i in range(20)] + [(10, long(0), "en", "src1")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    none = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, none = written(stage(spark, docs, sf_dir), name), written(stage(spark, none, sf_dir), name)
+        assert none.isEmpty()
+        if name == "near_dedup":
+            assert sorted(str(r.doc_id) for r in docs.collect()) == sorted([*map(str, range(10, 30, 2)), "None"])
+    pieces, nothing = (corpus_pipeline.STAGES[-1][1](spark, d, sf_dir) for d in (docs, none))
+    assert nothing.isEmpty() and {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
