@@ -1,6 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing, each stage written and reread.
 
-Each stage works on all rows that the one before it kept. Empty input passes through every stage.
+Each stage works on all rows that the one before it kept. Empty input passes through every stage. The quality rules
+reject null and empty texts; null ids, languages and sources are values like others, and rows that repeat an id and its
+text leave near-dedup as one.
 """
 
 from __future__ import annotations
