@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import running_total
 from .stored import written
 
 
 def stride(df: DataFrame, by: list[str], order: str, step: int, trials: int | None = None) -> DataFrame:
-    """Every step-th row of each group from the first on, the first ``trials`` of them."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    out = df.withColumn("__n", n).where(F.col("__n") % step == 0)
+    """Every step-th row of each group from the first on, the first ``trials`` of them. order: a unique number."""
+    out = running_total(df, by, order, F.lit(1), "__n").where(F.col("__n") % step == 0)
     return (out.where(F.col("__n") < step * trials) if trials else out).drop("__n")
 
 

@@ -5,15 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, removed when the application ends; cuts the lineage."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which is removed when the application ends.
+
+    Where the session names no folder, only a local session may use the machine's own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.gettempdir()}"
     path = f"{shared.rstrip('/')}/glossa-{label}-{uuid.uuid4().hex}"
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder; cuts the lineage."""
+    path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stored import fresh_path
 from ..streaming import lookups as S
 from .corpora import HEADWORDS, headwords
 from .registry import query
@@ -19,15 +18,16 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path + "*")
 
 
-def drained(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there, into a table of the warehouse that ends with the session."""
-    name = f"glossa_stream_{uuid.uuid4().hex}"
-    where = spark.conf.get("spark.checkpoint.dir", "")
-    writer = out.writeStream.outputMode(mode).queryName(name).format("memory").trigger(availableNow=True)
-    if where:
-        writer = writer.option("checkpointLocation", f"{where.rstrip('/')}/{name}")
-    writer.start().awaitTermination()
-    return spark.table(name)
+def drained(spark: SparkSession, out: DataFrame) -> DataFrame:
+    """Runs a stream of whole results over all that is there; each batch replaces the table of the one before it."""
+    path = fresh_path(spark, "stream")
+
+    def replace(batch: DataFrame, _number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result")
+
+    writer = out.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/result")
 
 
 def typed(events: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ TYPED = "(SELECT ts, user_id, event_id, upper(left(event_type, (user_id % 3 + 1)
 @query(f"SELECT word, strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM {TYPED} GROUP BY ALL")
 def stream_busy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.busy_words(typed(stream_of(spark, sf_dir, "events")), delay="100 days")
-    return drained(spark, out, "complete").select("word", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    return drained(spark, out).select("word", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 @query(f"SELECT t.word, count(*) AS hits FROM {TYPED} t JOIN (SELECT DISTINCT key FROM {HEADWORDS}) h ON starts_with(key, t.word) GROUP BY ALL")
@@ -50,4 +50,4 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of words joined to the static index; hits are counted by word."""
     keys = S.beginnings(headwords(spark, sf_dir).select("key").distinct())
     out = S.answered(typed(stream_of(spark, sf_dir, "events")).select("word"), keys)
-    return drained(spark, out.groupBy("word").agg(F.count(F.lit(1)).alias("hits")), "complete")
+    return drained(spark, out.groupBy("word").agg(F.count(F.lit(1)).alias("hits")))
