@@ -52,6 +52,11 @@ def glyph_address(index: Column, size: Column) -> Column:
     return (F.floor(index / per) * 1024 + index % per * size).cast("long")
 
 
+def pbm(data: Column, width: Column, height: Column) -> Column:
+    """A bitmap as the bytes of a binary PBM file."""
+    return F.concat(F.encode(F.concat(F.lit("P4\n"), width.cast("string"), F.lit(" "), height.cast("string"), F.lit("\n")), "US-ASCII"), data)
+
+
 def raster(data: Column, width: Column) -> Column:
     """A bitmap as rows of · and █: each byte's bits, cut into rows of whole bytes."""
     bits = F.translate(

@@ -115,9 +115,13 @@ def parsed_position(s: Column) -> Column:
 CATEGORIES = {"百": ["百科", "ペディア", "ブリタニカ", "encyclop"], "英": ["英和", "和英", "英英", "英語", "thesaurus", "dictionary", "roget"]}
 
 
+#: What a title that says nothing stands for.
+DEFAULT = "国"
+
+
 def title_category(title: Column) -> Column:
     folded = F.translate(fold_width(title), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.lit("国")
+    out = F.lit(DEFAULT)
     for category, words in reversed(CATEGORIES.items()):
         out = F.when(folded.rlike("|".join(map(re.escape, words))), category).otherwise(out)
     return out

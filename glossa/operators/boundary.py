@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .entries import read_end, stop_token
 from .runs import running_total
 from .stored import written
 
@@ -28,14 +31,63 @@ def sampled_starts(index: DataFrame, limit: int = 1200) -> DataFrame:
 def candidates(escapes: DataFrame, starts: int | None = None, least: float = 0.5) -> DataFrame:
     """subbook, code, argument, offset, share: escapes that stand at one offset of enough starts.
 
-    escapes: subbook, start, offset, code, argument.
+    escapes: subbook, start, offset, code, argument; a null code says that nothing stands there, and the start still counts.
     """
     total = escapes.groupBy("subbook").agg(F.countDistinct("start").alias("total"))
-    each = escapes.groupBy("subbook", "code", "argument", "offset").agg(F.count(F.lit(1)).alias("n"))
+    each = escapes.where("code IS NOT NULL").groupBy("subbook", "code", "argument", "offset").agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / (F.lit(starts) if starts else F.col("total"))
     return each.join(total, "subbook").withColumn("share", share).where(F.col("share") >= least).drop("total")
 
 
+def prologue(starts: DataFrame) -> DataFrame:
+    """The escapes around entry starts, as candidates() takes them. starts: subbook, start, bytes (twelve from four before the start on, or null)."""
+    each = starts.select("subbook", "start", F.explode(F.array(*map(F.lit, (-4, 0, 4)))).alias("offset"), "bytes")
+    four = F.hex(F.substring("bytes", F.col("offset") + 5, F.lit(4)))
+    there = four.rlike("^1F(09|41)....$")
+    number = lambda at: F.when(there, F.conv(F.substring(four, at, 4), 16, 10).cast("long"))
+    return each.select("subbook", "start", "offset", number(1).alias("code"), number(5).alias("argument"))
+
+
+def spread(starts: DataFrame, trials: int) -> DataFrame:
+    """At most ``trials`` of each subbook's sampled starts, evenly. starts: subbook, start; a sample has a bounded number."""
+    own = Window.partitionBy("subbook")
+    n = F.count(F.lit(1)).over(own)
+    nth = F.row_number().over(own.orderBy("start")) - 1
+    step = F.greatest(F.lit(1), F.floor(n / trials))
+    return starts.withColumns({"nth": nth, "step": step}).where("nth % step = 0 AND nth DIV step < " + str(int(trials))).select("subbook", "start")
+
+
+def followed(candidates: DataFrame, seeds: DataFrame, known: DataFrame, shapes: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int = 25) -> DataFrame:
+    """subbook, code, argument, offset, start, good: chained(), with each entry read from its bytes when a chain comes to it.
+
+    known: subbook, start; shapes: subbook, shape, all of one length in a subbook: a place is an entry's start if it is known or
+    begins with a shape. fetch gives subbook, start and bytes for places (subbook, start). A step reads the places that the step
+    before came to, seeds times candidates at most, and is written before the next.
+    """
+    key = ["subbook", "code", "argument", "offset"]
+    marks = known.select("subbook", "start", F.lit(True).alias("known")).distinct()
+    shapes = shapes.select("subbook", "shape", F.octet_length("shape").alias("width"))
+    widths = shapes.groupBy("subbook").agg(F.max("width").alias("width"))
+    ahead = candidates.select(*key).join(seeds.select("subbook", "start").distinct(), "subbook").withColumn("came_from", F.lit(None).cast("long"))
+    reads = seen = None
+    for step in range(int(depth) + 1):
+        rows = ahead.join(fetch(ahead.select("subbook", "start").distinct()), ["subbook", "start"], "left")
+        rows = rows.join(marks, ["subbook", "start"], "left").join(widths, "subbook", "left").withColumn("shape", F.substring("bytes", F.lit(1), F.col("width")))
+        rows = rows.join(shapes.select("subbook", "shape", F.lit(True).alias("fits")), ["subbook", "shape"], "left")
+        good = F.lit(step == 0) | F.coalesce("known", "fits", F.lit(False))
+        end = read_end(F.col("bytes"), stop_token(F.col("code"), F.col("argument"))) if step < depth else F.lit(None).cast("struct<stop:string,next:bigint>")
+        level = written(rows.select(*key, "start", "came_from", good.alias("good"), end.alias("end")), "reads")
+        judged = level.where("came_from IS NOT NULL").select(*key, F.col("came_from").alias("start"), "good")
+        reads = judged if reads is None else reads.unionByName(judged)
+        fresh = level if seen is None else level.join(seen, [*key, "start"], "left_anti")
+        seen = level.select(*key, "start") if seen is None else seen.unionByName(level.select(*key, "start"))
+        to = F.col("start") + F.col("end.next") - 4 - F.col("offset")
+        ahead = written(fresh.where("good AND end.stop = 'soft'").select(*key, to.alias("start"), F.col("start").alias("came_from")).distinct(), "ahead")
+        if ahead.isEmpty():
+            break
+    return reads.distinct()
+
+
 def signatures(shapes: DataFrame) -> DataFrame:
     """subbook, shape, n: shapes of entry starts that are frequent enough: twice, and one start in 200. shapes: subbook, start, shape."""
     total = shapes.groupBy("subbook").agg(F.count(F.lit(1)).alias("total"))

@@ -55,10 +55,35 @@ def _code(token: Column) -> Column:
     return F.when(F.startswith(token, F.lit("1F")), F.substring(token, 3, 2))
 
 
-def events(toks: DataFrame, stop: tuple[int, int] | None = None, heading: bool = False, latin: bool = False) -> DataFrame:
+def stop_token(code: Column, argument: Column) -> Column:
+    """An escape with its argument, as the token that it is read as."""
+    return F.concat(F.lpad(F.hex(code), 4, "0"), F.lpad(F.hex(argument), 4, "0"))
+
+
+def read_end(data: Column, stop: Column) -> Column:
+    """(stop, next) of an entry's bytes, as in entry_texts, without its text: one fold over its tokens. stop: the token that ends it."""
+    found = F.regexp_extract_all(F.hex(data), F.lit(token_pattern()), F.lit(0))
+
+    def step(acc: Column, t: Column) -> Column:
+        code = _code(t)
+        soft = (acc["printed"] & (t == stop)) | (code == "6C") | ((code == "4B") & (F.length(t) == 20))
+        ends = F.when(code == "03", "hard").when(soft, "soft")
+        inner = F.regexp_extract_all(F.substring(t, F.lit(5), F.length(t)), F.lit(token_pattern()), F.lit(0))
+        skipped = code.isin(*(f"{c:02X}" for c in SKIPS))
+        chars = F.when(code.isNull(), True).when(skipped, F.exists(inner, lambda x: ~F.startswith(x, F.lit("1F")))).otherwise(False)
+        after = acc["at"] + F.floor(F.length(t) / 2)
+        moved = F.struct(F.when(ends == "hard", acc["at"]).otherwise(after).alias("at"), (acc["printed"] | chars).alias("printed"), ends.alias("stop"))
+        return F.when(acc["stop"].isNotNull(), acc).otherwise(moved)
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("printed"), F.lit(None).cast("string").alias("stop"))
+    kind = lambda acc: F.coalesce(acc["stop"], F.when(acc["at"] >= MOST, "none").otherwise("hard"))
+    return F.aggregate(found, start, step, lambda acc: F.struct(kind(acc).alias("stop"), acc["at"].alias("next")))
+
+
+def events(toks: DataFrame, stop: tuple[int, int] | Column | None = None, heading: bool = False, latin: bool = False) -> DataFrame:
     """tokens with kind, shown text, its place in the output, and only up to the entry's end; stops keep a row of kind ``stop``.
 
-    stop: the escape and argument that begin the next entry. Without one, an entry ends where the keyword escape that opened
+    stop: the escape and argument that begin the next entry, or a column with their token. Without one, an entry ends where the keyword escape that opened
     it comes again. Neither counts before the first character, nor in headings, which a line end ends.
     """
     order = Window.partitionBy("entry").orderBy("pos")
@@ -70,7 +95,10 @@ def events(toks: DataFrame, stop: tuple[int, int] | None = None, heading: bool =
     rows = rows.withColumn("printed", F.sum("chars").over(before))
     opener = F.first(F.when(code == "41", t), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("opener", opener)
-    hit = (t == f"1F{stop[0] & 0xFF:02X}{stop[1]:04X}") if stop else (t == F.col("opener"))
+    if isinstance(stop, Column):
+        hit = t == F.coalesce(stop, F.col("opener"))
+    else:
+        hit = (t == f"1F{stop[0] & 0xFF:02X}{stop[1]:04X}") if stop else (t == F.col("opener"))
     ends = ~F.lit(heading) & (F.coalesce(F.col("printed"), F.lit(0)) > 0) & F.coalesce(hit, F.lit(False))
     hard = code == "03"
     soft = ends | (code == "6C") | ((code == "4B") & (F.length(t) == 20)) | (F.lit(heading) & (code == "0A"))

@@ -53,6 +53,19 @@ def rarest(queries: DataFrame, frequencies: DataFrame) -> DataFrame:
     return rated.groupBy("query").agg(F.min_by("keyword", F.struct("df", "nth")).alias("driver"), F.min("df").alias("df"))
 
 
+def multi_lists(hits: DataFrame, asked: DataFrame) -> DataFrame:
+    """query, text, heading, ord: texts that stand in the lists of all fields that a query asks for.
+
+    hits: query, field_no, text, heading, ord, the lists' entries that fit their words; asked: query, field_no, one row
+    per field. Order and heading are those of the query's first field, where a text stands first. A field without hits
+    leaves its query none. Lists shrink to one row a text in each task before they meet.
+    """
+    need = asked.groupBy("query").agg(F.countDistinct("field_no").alias("need"))
+    each = hits.groupBy("query", "text", "field_no").agg(F.min(F.struct("ord", "heading")).alias("x"))
+    met = each.groupBy("query", "text").agg(F.count(F.lit(1)).alias("met"), F.min_by("x", "field_no").alias("x"))
+    return met.join(need, "query").where("met = need").select("query", "text", "x.heading", "x.ord")
+
+
 def multi_and(entries: DataFrame, fields: list[tuple[str, str]], exact: bool = False) -> DataFrame:
     """Entries whose every asked field begins with (or is) its word; blank and "-" fields aren't asked."""
     asked = [(f, w) for f, w in fields if w.strip() not in ("", "-")]

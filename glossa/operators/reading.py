@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.present import fold_width
+from ..functions.present import DEFAULT, fold_width, title_category
 
 
 def headword_size(indexes: DataFrame) -> DataFrame:
@@ -15,17 +15,31 @@ def headword_size(indexes: DataFrame) -> DataFrame:
 
 
 def content_category(headings: DataFrame, n: int = 8) -> DataFrame:
-    """subbook, category: 英 where most of the first n headings are Latin, null where half or fewer are.
+    """subbook, category: 英 where most of the first n headings are in the letters A to Z alone, null where half or fewer are.
 
     headings: subbook, ord, heading, of the as-is index; each task keeps n rows a subbook before the shuffle.
     """
     from .lookup import limited
 
-    latin = fold_width(F.col("heading")).rlike("^[A-Za-z]").cast("int")
+    others = F.regexp_replace(fold_width(F.col("heading")), "[A-Za-z]", "")
+    latin = ((F.length(others) < F.length("heading")) & ~others.rlike(r"\p{L}")).cast("int")
     first = limited(headings, ["subbook"], n)
     return first.groupBy("subbook").agg(F.when(F.avg(latin) > 0.5, "英").alias("category"))
 
 
+def category(books: DataFrame, headings: DataFrame) -> DataFrame:
+    """subbook, category: what the title says; where it says nothing, what the first headings are written in. books: subbook, title."""
+    said = title_category(F.col("title"))
+    silent = said == DEFAULT
+    own = content_category(headings).withColumnRenamed("category", "own")
+    return books.join(own, "subbook", "left").select("subbook", F.when(silent, F.coalesce("own", said)).otherwise(said).alias("category"))
+
+
+def as_typed(books: DataFrame, typed: DataFrame) -> DataFrame:
+    """The books that someone named, with ``place``: the order is theirs. typed: name, place, numbered as they were given."""
+    return books.join(typed, "name")
+
+
 def category_rank(category: Column) -> Column:
     return F.when(category == "英", 0).when(category == "国", 1).when(category == "百", 2).otherwise(3)
 

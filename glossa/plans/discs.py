@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import ASCII_WIDE
@@ -12,6 +12,7 @@ from ..operators.private_chars import latest
 from ..sources import discs as D
 from ..sources import files as S
 from ..sources import textfiles as T
+from ..sources.collection import Collection
 from .corpora import sql_map
 from .registry import query, table
 
@@ -105,6 +106,17 @@ def src_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.catalog(books).drop("disc")
 
 
+@query("SELECT p_partkey // 40 AS book, (p_partkey % 40)::INT AS code, width, slot, left(width, 1) || p_partkey || slot AS name FROM part, (SELECT unnest(['wide', 'narrow']) AS width), (SELECT unnest([0, 1, 2, 3])::INT AS slot) WHERE slot <> p_partkey % 5")
+def src_catalog_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The font names of EPWING catalogs; most subbooks lack one size."""
+    slot = lambda w, i: F.when(F.col("p_partkey") % 5 == i, "0" * 16).otherwise(F.rpad(F.hex(F.concat(F.lit(w), F.col("p_partkey").cast("string"), F.lit(str(i)))), 16, "0"))
+    fonts = F.concat(*[slot(w, i) for w in "wn" for i in range(4)])
+    entry = F.concat(F.lit("00" * 100), fonts)
+    books = joined(parts(spark, sf_dir), ["leaf"], "p_partkey", entry)
+    books = books.select(F.col("leaf").alias("book"), F.lit("EPWING").alias("disc"), F.unhex(F.concat(be(F.col("n"), 2), F.lit("00" * 14), F.col("hex"))).alias("content"))
+    return D.catalog_fonts(books).drop("disc")
+
+
 IDS = list(D.INDEX_NAMES)
 
 
@@ -121,7 +133,7 @@ def src_index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT p_partkey // 40 AS book, (p_partkey % 40)::INT AS field_no, {sql_map("string_split(p_name, ' ')[1]", ASCII_WIDE)} AS label, k AS nth, ([145, 1])[k + 1]::BIGINT AS index_id, p_partkey + k + 1 AS start_page, k = 0 AS is_index
+    f"""SELECT p_partkey // 40 AS book, (p_partkey % 40)::INT AS field_no, {sql_map("string_split(p_name, ' ')[1]", ASCII_WIDE)} AS label, k AS nth, ([145, 1])[k + 1]::BIGINT AS index_id, p_partkey + k + 1 AS start_page, p_partkey + k + 1 AS end_page, k = 0 AS is_index
         FROM part, (SELECT unnest([0, 1])::INT AS k) WHERE k <= p_size % 2"""
 )
 def src_multi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,3 +353,49 @@ def text_gb2312(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_index_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several records with one number the last counts."""
     return latest(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey").select("p_brand", "p_name")
+
+
+APPENDICES = """(SELECT p_partkey, 1 AS near, '/c/appendix' AS directory FROM part WHERE p_partkey % 4 = 0
+    UNION ALL SELECT p_partkey, 2, '/c/appendix/B' || p_size FROM part WHERE p_partkey % 5 = 0
+    UNION ALL SELECT p_partkey, 3, '/c/appendix/x' || p_size FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, 3, '/c/appendix/y' || p_size FROM part WHERE p_partkey % 6 = 0
+    UNION ALL SELECT p_partkey, 4, '/c/appendix/y/z' FROM part WHERE p_partkey % 7 = 0)"""
+
+
+@query(
+    f"""WITH a AS (SELECT p_partkey, near, min(directory || '/S' || p_partkey || '.app') AS path, count(*) AS n FROM {APPENDICES} WHERE near < 4 GROUP BY ALL),
+        b AS (SELECT p_partkey, arg_min(path, near) AS path, arg_min(n, near) AS n FROM a GROUP BY p_partkey)
+        SELECT p_partkey AS subbook, CASE WHEN n = 1 THEN path END AS path, coalesce(n, 0) AS found, CASE WHEN n IS NULL THEN 'no appendix' WHEN n > 1 THEN 'several appendices' END AS error FROM part LEFT JOIN b USING (p_partkey)"""
+)
+def src_appendix_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subbook for each part, and files beside the books, in the book's directory, and in others."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    books = p.select(k.alias("subbook"), F.concat(F.lit("/c/b"), size).alias("book"), F.concat(F.lit("s"), k.cast("string")).alias("directory"), F.lit(None).cast("string").alias("where"))
+    places = [F.when(k % 4 == 0, F.lit("")), F.when(k % 5 == 0, F.concat(F.lit("/B"), size)), F.when(k % 3 == 0, F.concat(F.lit("/x"), size)), F.when(k % 6 == 0, F.concat(F.lit("/y"), size)), F.when(k % 7 == 0, F.lit("/y/z"))]
+    listing = p.select(F.explode(F.array_compact(F.array(*places))).alias("at"), F.concat(F.lit("S"), k.cast("string"), F.lit(".app")).alias("name"))
+    return T.appendix_of(books, listing.select(F.concat(F.lit("/c/appendix"), "at").alias("directory"), "name"))
+
+
+@query(
+    """SELECT subbook, CASE WHEN odd THEN 8001 ELSE 7945 END::BIGINT AS code, CASE WHEN odd THEN 256 ELSE 1 END::BIGINT AS argument
+        FROM (SELECT p_brand AS subbook, right(p_brand, 1)::INT % 2 = 1 AS odd, count(*) AS n FROM part GROUP BY ALL) WHERE n >= 8"""
+)
+def stop_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subbook for each brand, an entry for each part. Entries begin with an indent and a keyword; odd brands indent within entries as well."""
+    odd = F.substring("p_brand", -1, 1).cast("int") % 2 == 1
+    p = table(spark, sf_dir, "part").withColumn("nth", (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long"))
+    entry = F.concat(F.lit("1F0900011F410100" + "2422" * 3 + "1F61" + "2424" * 24), F.when(odd & (F.col("nth") % 4 == 0), "1F090001" + "2426" * 8).otherwise(""), F.lit("2424" * 24))
+    # Leaves begin on page 1, texts on page 1025, and a page of texts takes what begins on it.
+    size, first = F.length(entry) / 2, 1024 * 2048
+    at = F.sum(size).over(Window.partitionBy("p_brand").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)) - size
+    p = p.withColumns({"at": (at + first).cast("long"), "entry": entry, "leaf": F.floor(F.col("nth") / 100) + 1})
+    record = F.concat(be(F.col("nth"), 4), be(F.floor(F.col("at") / 2048) + 1, 4), be(F.col("at") % 2048, 2), F.lit("000000010000"))
+    own = joined(p, ["p_brand", "leaf"], "nth", record)
+    leaf_pages = own.select(F.col("p_brand").alias("subbook"), F.col("leaf").alias("page"), F.rpad(F.concat(F.lit("A004"), be(F.col("n"), 2), F.col("hex")), 4096, "0").alias("hex"))
+    texts = joined(p, ["p_brand"], "nth", F.col("entry")).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("hex") / 4096))))
+    text_pages = texts.select(F.col("p_brand").alias("subbook"), (F.col("nth") + 1025).alias("page"), F.rpad(F.substring("hex", (F.col("nth") * 4096 + 1).cast("int"), F.lit(4096)), 4096, "0").alias("hex"))
+    pages = leaf_pages.unionByName(text_pages).select("subbook", "page", F.unhex("hex").alias("bytes"))
+    indexes = own.groupBy(F.col("p_brand").alias("subbook")).agg(F.max("leaf").alias("end_page")).select("subbook", F.lit("word_asis").alias("name"), F.lit(1).cast("long").alias("start_page"), "end_page")
+    books = indexes.select("subbook")
+    return Collection(spark, books, pages, indexes).stop_codes(depth=8).select("subbook", "code", "argument")

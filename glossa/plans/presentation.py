@@ -169,3 +169,10 @@ def font_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", C.raster(data, F.lit(8)).alias("shown"))
 
 
+@query("SELECT p_partkey, '50340A3' || (p_size % 10) || '2032310A' || upper(hex(rpad(p_name, 21, 'x'))) AS file FROM part")
+def font_pbm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bitmaps of one byte a row, made of names, as files in hexadecimal."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.hex(C.pbm(F.encode(F.rpad("p_name", 21, "x"), "US-ASCII"), F.col("p_size") % 10, F.lit(21))).alias("file"))
+
+

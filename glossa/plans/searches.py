@@ -297,6 +297,25 @@ def gaiji_dq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The order file names every third source.
+FIELDS = "(SELECT DISTINCT dense_rank() OVER (ORDER BY o_orderstatus, left(o_orderpriority, 1)) AS query, left(o_orderpriority, 1) AS p, o_orderstatus AS s FROM orders)"
+
+
+@query(f"""SELECT query, text, heading, rank FROM (SELECT query, o_orderkey AS text, o_orderkey * 10 AS heading, row_number() OVER (PARTITION BY query ORDER BY o_orderkey)::INT AS rank
+    FROM {FIELDS} f JOIN orders ON starts_with(o_orderpriority, p) AND o_orderstatus = s) WHERE rank <= 30""")
+def multi_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by their priority's beginning and their status: each field has its own list, with its own headings and order."""
+    o = table(spark, sf_dir, "orders")
+    key, status, first = F.col("o_orderkey"), F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
+    pairs = o.select(status.alias("s"), first.alias("p")).distinct()
+    numbered = pairs.select("s", "p", F.dense_rank().over(Window.partitionBy().orderBy("s", "p")).cast("long").alias("query"))  # as many as pairs of values
+    asked = numbered.select("query", F.posexplode(F.array("p", "s")).alias("field_no", "word"))
+    index = o.select(key.alias("text"), F.posexplode(F.array("o_orderpriority", status)).alias("field_no", "key"))
+    index = index.withColumns({"heading": F.col("text") * 10 + F.col("field_no"), "ord": F.when(F.col("field_no") == 0, F.col("text")).otherwise(-F.col("text"))})
+    hits = K.matched(asked.select(F.struct("query", "field_no").alias("query"), "word"), index).where("query.field_no = field_no")
+    found = W.multi_lists(hits.select("query.query", "field_no", "text", "heading", "ord"), asked)
+    return K.limited(found, ["query"], 30).select("query", "text", "heading", "rank")
+
+
 ORDER = "(SELECT name, row_number() OVER (ORDER BY name DESC) - 1 AS rank FROM (SELECT DISTINCT source AS name FROM documents WHERE source LIKE '%3' OR source LIKE '%7'))"
 
 
@@ -327,10 +346,34 @@ def agg_headword_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.headword_size(p.select(F.col("p_brand").alias("subbook"), name.alias("name"), F.col("p_partkey").alias("start_page"), (F.col("p_partkey") + F.col("p_size")).alias("end_page")))
 
 
-@query("SELECT source AS subbook, CASE WHEN avg(latin) > 0.5 THEN '英' END AS category FROM (SELECT source, CASE WHEN regexp_matches(text, '^[A-Za-z]') THEN 1 ELSE 0 END AS latin, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 8 GROUP BY source")
-def agg_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+LATIN = "CASE WHEN regexp_matches(heading, '[A-Za-z]') AND NOT regexp_matches(regexp_replace(heading, '[A-Za-z]', '', 'g'), '\\p{L}') THEN 1 ELSE 0 END"
+CONTENT = f"(SELECT source AS subbook, CASE WHEN avg({LATIN}) > 0.5 THEN '英' END AS category FROM (SELECT source, string_split(text, chr(10))[1] AS heading, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 8 GROUP BY source)"
+
+
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return R.content_category(d.select(F.col("source").alias("subbook"), F.col("doc_id").alias("ord"), F.split("text", "\n")[0].alias("heading")))
+    return d.select(F.col("source").alias("subbook"), F.col("doc_id").alias("ord"), F.split("text", "\n")[0].alias("heading"))
+
+
+@query(f"SELECT subbook, category FROM {CONTENT}")
+def agg_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.content_category(headings(spark, sf_dir))
+
+
+@query(f"SELECT s.subbook, CASE WHEN right(s.subbook, 1) = '4' THEN '百' WHEN right(s.subbook, 1) = '2' THEN '英' ELSE coalesce(category, '国') END AS category FROM (SELECT DISTINCT source AS subbook FROM documents) s JOIN {CONTENT} c USING (subbook)")
+def book_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that end in 4 are an encyclopedia's, those in 2 a dictionary's; of the others the headings decide."""
+    kind = F.when(F.col("subbook").endswith("4"), " Encyclopedia").when(F.col("subbook").endswith("2"), " Dictionary").otherwise("")
+    books = headings(spark, sf_dir).select("subbook").distinct()
+    return R.category(books.withColumn("title", F.concat("subbook", kind)), headings(spark, sf_dir))
+
+
+@query(f"SELECT name, place, category FROM {SOURCES} JOIN (SELECT source AS name, max(doc_id) AS place FROM documents WHERE doc_id % 3 = 0 GROUP BY source) USING (name)")
+def order_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some sources, named in the order of their last documents."""
+    typed = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").groupBy(F.col("source").alias("name")).agg(F.max("doc_id").alias("place"))
+    return R.as_typed(sources(spark, sf_dir), typed).select("name", "place", "category")
+
 
 
 #: Escapes at entry starts, made of events: one subbook a user, the type is the code.

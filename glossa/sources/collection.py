@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import PAGE, be_uint
 from ..functions.normalize import KANA_STYLE, PLAIN_STYLE, canonical, full_width
+from ..operators import boundary as B
 from ..operators import entries as E
 from ..operators import lookup as K
+from ..operators.postings import multi_lists
 from ..operators.private_chars import latest
 from ..operators.runs import grouped_entries
+from ..operators.stored import written
 from . import discs as D
 from . import files as S
 
@@ -28,7 +31,7 @@ MOST = CHUNK_PAGES * PAGE
 class Collection:
     """Tables of all books under a path.
 
-    subbooks: book, disc, subbook, title, directory, index_page. pages: subbook, page, bytes. indexes: subbook, index_id, name,
+    subbooks: book, disc, subbook, title, directory, index_page. pages: subbook, page, bytes. indexes: subbook, nth, index_id, name,
     start_page, end_page, flags and what they apply to.
     """
 
@@ -39,8 +42,12 @@ class Collection:
 
     def entries(self, layout: str = "word") -> DataFrame:
         """Index entries: subbook, name, ord, kind, key, group_key, text and heading (locations). keyword and multi have their own layouts."""
-        names = F.col("name").isin("keyword", "cross") if layout == "keyword" else F.col("name").startswith("word_") | F.col("name").startswith("endword_")
-        wanted = self.indexes.where(names)
+        if layout == "multi":
+            wanted = self.multi_fields().where("name IS NOT NULL")
+        elif layout == "keyword":
+            wanted = self.indexes.where(F.col("name").isin("keyword", "cross"))
+        else:
+            wanted = self.indexes.where(F.col("name").startswith("word_") | F.col("name").startswith("endword_"))
         # An index is a run of pages: it is exploded to meet the pages by equality.
         each = wanted.select("subbook", "name", F.explode(F.sequence("start_page", "end_page")).alias("page"))
         leaves = each.join(self.pages, ["subbook", "page"]).where(be_uint(F.substring("bytes", 1, 1)).bitwiseAND(F.lit(0x80)) > 0)
@@ -88,6 +95,62 @@ class Collection:
         found = met.join(need, "query").where("met = need").select("query", "subbook", "text", "x.ord")
         return K.limited(found, ["query", "subbook"], limit) if limit is not None else found
 
+    def multi_fields(self) -> DataFrame:
+        """The fields of each multi search: subbook, multi_no, field_no, label, and name, start_page, end_page of their index, null where they have none.
+
+        The index's name has the field's two numbers and says whether its words are folded as kana. A field's last index counts.
+        """
+        number = (F.row_number().over(Window.partitionBy("subbook").orderBy("nth")) - 1).alias("multi_no")
+        tables = self.indexes.where("name = 'multi'").select("subbook", number, F.col("start_page").alias("page"))
+        each = D.multi_table(tables.join(self.pages, ["subbook", "page"]).drop("page"))
+        index = F.when(F.col("is_index") & (F.col("start_page") > 0) & (F.col("end_page") >= F.col("start_page")), F.struct("nth", "index_id", "start_page", "end_page"))
+        fields = each.groupBy("subbook", "multi_no", "field_no", "label").agg(F.max(index).alias("x"))
+        kana = F.when(F.col("x.index_id").isin(0xA1, 0xB1), "kana").otherwise("asis")
+        name = F.when(F.col("x").isNotNull(), F.concat_ws("/", "multi_no", "field_no", kana))
+        return fields.select("subbook", "multi_no", "field_no", "label", name.alias("name"), "x.start_page", "x.end_page")
+
+    def multi_search(self, words: DataFrame, exact: bool = False, limit: int | None = 30) -> DataFrame:
+        """Entries that fit all filled fields: query, subbook, text, heading, ord, rank. words: query, multi_no, field_no, word.
+
+        Blank words aren't asked, and fields that a subbook's search doesn't have aren't either; a field without an index has no hits.
+        Order and headings are those of the first filled field.
+        """
+        folded = lambda kana, word: F.when(kana, canonical(word, KANA_STYLE)).otherwise(canonical(word, PLAIN_STYLE))
+        filled = words.where("trim(word) <> ''").join(self.multi_fields().select("subbook", "multi_no", "field_no", "name"), ["multi_no", "field_no"])
+        asked = filled.select(F.struct("query", "subbook").alias("query"), "field_no", "name", folded(F.col("name").endswith("/kana"), full_width(F.col("word"))).alias("word"))
+        rows = self.entries("multi").where("kind <> 'header'").withColumn("key", F.when(F.col("kind") == "member", F.col("group_key")).otherwise(F.col("key")))
+        keys = rows.withColumn("folded", F.when(F.col("name").endswith("/kana"), canonical(F.col("key"), KANA_STYLE)).otherwise(F.col("key")))
+        one = asked.where("word IS NOT NULL AND name IS NOT NULL").select(F.struct("query", "field_no", F.col("name").alias("index")).alias("query"), "word")
+        met = K.matched(one, keys, "folded", exact).where((F.col("query.query.subbook") == F.col("subbook")) & (F.col("query.index") == F.col("name")))
+        found = multi_lists(met.select("query.query", "query.field_no", "text", "heading", "ord"), asked)
+        found = found.select("query.query", "query.subbook", "text", "heading", "ord")
+        return K.limited(found, ["query", "subbook"], limit) if limit is not None else found
+
+    def stop_codes(self, sample: int = 1200, trials: int = 60, depth: int = 25) -> DataFrame:
+        """The escape that ends each subbook's entries, found by reading: subbook, code, argument, offset, score.
+
+        Candidates are escapes that stand around the starts of most of ``sample`` entries of the headword indexes; each is followed
+        from ``trials`` entries on for ``depth`` entries, and the first before the start among the best is taken. Subbooks
+        with fewer than 8 starts have no row. Text chunks are written once, and each step joins its few places to them.
+        """
+        index = self.entries().where("kind <> 'header'").select("subbook", "name", "ord", F.col("text").alias("start"))
+        starts = written(B.sampled_starts(index, sample), "starts")
+        starts = starts.join(starts.groupBy("subbook").agg(F.count(F.lit(1)).alias("n")).where("n >= 8"), "subbook", "left_semi")
+        chunks = written(self.chunks().join(starts.select("subbook").distinct(), "subbook", "left_semi"), "chunks")
+        before = starts.where("start >= 4").select("subbook", (F.col("start") - 4).alias("location"))
+        around = self.bytes_at(before, 128, chunks).select("entry.subbook", (F.col("entry.location") + 4).alias("start"), "bytes")
+        around = written(starts.join(around, ["subbook", "start"], "left"), "around")
+        found = written(B.candidates(B.prologue(around)), "candidates")
+        width = found.where("offset >= 0").groupBy("subbook").agg((F.max("offset") + 4).alias("width"))
+        shapes = around.join(width, "subbook").select("subbook", "start", F.substring("bytes", F.lit(5), F.col("width")).alias("shape"))
+        shapes = B.signatures(shapes).where(F.hex("shape").rlike("^(1F......)+$"))
+
+        def fetch(places: DataFrame) -> DataFrame:
+            rows = self.bytes_at(places.select("subbook", F.col("start").alias("location")), E.MOST, chunks)
+            return rows.select("entry.subbook", F.col("entry.location").alias("start"), "bytes")
+
+        return B.chosen(B.scored(B.followed(found, B.spread(starts, trials), starts, written(shapes, "shapes"), fetch, depth)))
+
     def own_texts(self, name: str, stop: tuple[int, int] | None = None) -> DataFrame:
         """The text at the start of an index that is itself a text: ``copyright``, ``menu``, ``text``. Columns as texts()."""
         starts = self.indexes.where(F.col("name") == name)
@@ -99,23 +162,33 @@ class Collection:
         rows = self.bytes_at(starts.select("subbook", ((F.col("start_page") - 1) * PAGE).alias("location")))
         return E.spans(E.events(E.tokens(rows)), "42", "62").select("entry.subbook", "start", "end", "page", "offset")
 
-    def texts(self, places: DataFrame, heading: bool = False, stop: tuple[int, int] | None = None) -> DataFrame:
-        """Entries at places (subbook, location): subbook, location, text, stop, next, unknown."""
-        out = E.entry_texts(E.events(E.tokens(self.bytes_at(places)), stop, heading))
-        return out.select("entry.subbook", "entry.location", "text", "stop", (F.col("entry.location") + F.col("next")).alias("next"), "unknown")
-
-    def bytes_at(self, places: DataFrame) -> DataFrame:
-        """entry (subbook, location) and bytes from there on.
+    def texts(self, places: DataFrame, heading: bool = False, stop: tuple[int, int] | DataFrame | None = None) -> DataFrame:
+        """Entries at places (subbook, location): subbook, location, text, stop, next, unknown.
 
-        Pages are put together in chunks of 64 KiB, and an entry takes its own chunk and the next, by equality joins.
+        stop: the escape and argument that end entries, or those of each subbook (subbook, code, argument), as stop_codes() gives them.
         """
+        rows = self.bytes_at(places)
+        if isinstance(stop, DataFrame):
+            own = stop.select("subbook", E.stop_token(F.col("code"), F.col("argument")).alias("token"))
+            rows = rows.select("entry.*", "bytes").join(own, "subbook", "left").select(F.struct("subbook", "location", "token").alias("entry"), "bytes")
+            stop = F.col("entry.token")
+        out = E.entry_texts(E.events(E.tokens(rows), stop, heading))
+        return out.select("entry.subbook", "entry.location", "text", "stop", (F.col("entry.location") + F.col("next")).alias("next"), "unknown")
+
+    def chunks(self) -> DataFrame:
+        """The pages put together in chunks of 64 KiB: subbook, chunk, own (hexadecimal)."""
         chunks = self.pages.groupBy("subbook", F.floor((F.col("page") - 1) / CHUNK_PAGES).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("page", F.hex("bytes").alias("h")))).alias("x"))
-        chunks = chunks.select("subbook", "chunk", F.array_join(F.transform("x", lambda v: v["h"]), "").alias("own"))
+        return chunks.select("subbook", "chunk", F.array_join(F.transform("x", lambda v: v["h"]), "").alias("own"))
+
+    def bytes_at(self, places: DataFrame, most: int = E.MOST, chunks: DataFrame | None = None) -> DataFrame:
+        """entry (subbook, location) and up to ``most`` bytes from there on, 64 KiB at most: from its own chunk and the next, by equality joins."""
+        chunks = self.chunks() if chunks is None else chunks
         asked = places.select("subbook", "location").distinct().withColumn("chunk", F.floor(F.col("location") / MOST))
         met = asked.join(chunks, ["subbook", "chunk"])
         after = chunks.select("subbook", (F.col("chunk") - 1).alias("chunk"), F.col("own").alias("more"))
         met = met.join(after, ["subbook", "chunk"], "left")
-        data = F.substring(F.concat("own", F.coalesce("more", F.lit(""))), (F.col("location") % MOST * 2 + 1).cast("int"), F.lit(2 * MOST))
+        first = F.substring("own", (F.col("location") % MOST * 2 + 1).cast("int"), F.lit(2 * most))
+        data = F.substring(F.concat(first, F.coalesce(F.substring("more", 1, 2 * most), F.lit(""))), 1, 2 * most)
         return met.select(F.struct("subbook", "location").alias("entry"), F.unhex(data).alias("bytes"))
 
 
@@ -132,7 +205,8 @@ def opened(spark: SparkSession, path: str) -> Collection:
     data = named.where(S.plain_name(F.col("name")).isin("start", "honmon", "honmon2")).withColumn("in_data", F.lower("book").endswith("/data"))
     data = data.withColumn("home", F.lower(F.when(F.col("in_data"), F.regexp_replace("book", "/[^/]*$", "")).otherwise(F.col("book"))))
     packed = F.lower("name").rlike(r"\.ebz\.?(;[0-9]+)?$")
-    best = F.row_number().over(Window.partitionBy("home").orderBy(packed, F.desc("in_data"), "name"))
+    # A data directory comes before the subbook's own, honmon before honmon2, and a plain file before a compressed one.
+    best = F.row_number().over(Window.partitionBy("home").orderBy(F.desc("in_data"), S.plain_name(F.col("name")), packed, "name"))
     data = data.withColumn("best", best).where("best = 1")
     own = subbooks.select("subbook", F.lower("subbook").alias("home")).join(data, "home").select("subbook", "content")
     magic = F.substring("content", 1, 5) == F.lit(b"EBZip")
@@ -144,5 +218,7 @@ def opened(spark: SparkSession, path: str) -> Collection:
     pages = plain.unionByName(unpacked)
 
     tables = pages.join(subbooks.select("subbook", F.col("index_page").alias("page")), ["subbook", "page"]).drop("page")
-    indexes = latest(D.index_table(tables), ["subbook", "index_id"], "nth").drop("nth")
+    # Of several indexes with one number the last counts, but a subbook may have many multi searches.
+    listed = D.index_table(tables).withColumn("own", F.when(F.col("name") == "multi", F.col("nth")))
+    indexes = latest(listed, ["subbook", "index_id", "own"], "nth").drop("own")
     return Collection(spark, subbooks, pages, indexes)

@@ -14,6 +14,8 @@ INDEX_NAMES = {
     0x00: "text", 0x01: "menu", 0x02: "copyright", 0x10: "image_menu", 0x16: "search_title",
     0x70: "endword_kana", 0x71: "endword_asis", 0x72: "endword_alphabet", 0x80: "keyword", 0x81: "cross",
     0x90: "word_kana", 0x91: "word_asis", 0x92: "word_alphabet", 0xD8: "sound", 0xFF: "multi",
+    0xF1: "font_wide_16", 0xF2: "font_narrow_16", 0xF3: "font_wide_24", 0xF4: "font_narrow_24",
+    0xF5: "font_wide_30", 0xF6: "font_narrow_30", 0xF7: "font_wide_48", 0xF8: "font_narrow_48",
 }
 #: Where each style's two bits stand.
 STYLE_BITS = {"katakana": 22, "lower": 20, "mark": 18, "long_vowel": 16, "double_consonant": 14, "contracted_sound": 12, "small_vowel": 10, "voiced_consonant": 8, "p_sound": 6}
@@ -46,11 +48,16 @@ def ascii_name(data: Column) -> Column:
 
 
 def catalog(books: DataFrame, content: str = "content", disc: str = "disc") -> DataFrame:
-    """The subbooks of each catalog: code, title, directory, index_page. An EB entry has 40 bytes, an EPWING one 164."""
+    """The subbooks of each catalog: code, title, directory, index_page. An EB entry has 40 bytes, an EPWING one 164.
+
+    A catalog that lists none, or that ends within an entry, is an error.
+    """
     c, epwing = F.col(content), F.col(disc) == "EPWING"
     size, title = F.when(epwing, 164).otherwise(40), F.when(epwing, 80).otherwise(30)
-    count = be_uint(part(c, 0, 2))
-    each = books.where((count > 0)).withColumn("code", F.explode(F.sequence(F.lit(0), (F.least(count, F.lit(50)) - 1).cast("int"))))
+    count = F.least(be_uint(part(c, 0, 2)), F.lit(50))
+    whole = F.octet_length(c) >= 16 + count * size
+    checked = F.when((count > 0) & whole, count).otherwise(F.raise_error("catalog: no subbooks, or a truncated entry").cast("long"))
+    each = books.withColumn("code", F.explode(F.sequence(F.lit(0), (checked - 1).cast("int"))))
     at = F.lit(16) + F.col("code") * size
     name = at + 2 + title
     return each.select(
@@ -62,6 +69,18 @@ def catalog(books: DataFrame, content: str = "content", disc: str = "disc") -> D
     )
 
 
+def catalog_fonts(books: DataFrame, content: str = "content", disc: str = "disc") -> DataFrame:
+    """The font files that EPWING catalogs name: code (of the subbook), width, slot (0 to 3, by size), name. Empty slots have no row."""
+    c = F.col(content)
+    each = books.where(F.col(disc) == "EPWING").withColumn("code", F.explode(F.sequence(F.lit(0), (F.least(be_uint(part(c, 0, 2)), F.lit(50)) - 1).cast("int"))))
+    # Where the names of wide and narrow fonts begin, in an entry after its title.
+    widths = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), F.lit(at).alias("at")) for w, at in (("wide", 18), ("narrow", 50))]))
+    each = each.withColumn("w", widths).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    name = part(c, F.lit(16) + F.col("code") * 164 + 82 + F.col("w.at") + F.col("slot") * 8, 8)
+    rows = each.select(*[x for x in books.columns if x != content], "code", "w.width", "slot", be_uint(F.substring(name, 1, 1)).alias("first"), ascii_name(name).alias("name"))
+    return rows.where("first BETWEEN 1 AND 127").drop("first")
+
+
 def style_flags(flags: Column) -> Column:
     """The nine styles of 24 bits; the mark style is the other way round, 0 for deleting."""
     two = lambda n: F.shiftrightunsigned(flags, n).bitwiseAND(F.lit(3))
@@ -110,7 +129,7 @@ def index_table(pages: DataFrame, content: str = "bytes") -> DataFrame:
 
 
 def multi_table(pages: DataFrame, content: str = "bytes") -> DataFrame:
-    """The fields of a multi-search page and each field's records: field_no, label, index_id, start_page, is_index.
+    """The fields of a multi-search page and each field's records: field_no, label, index_id, start_page, end_page, is_index.
 
     Fields stand one after the other, each with its number of records, so their places are summed up along the page.
     """
@@ -135,6 +154,7 @@ def multi_table(pages: DataFrame, content: str = "bytes") -> DataFrame:
         "nth",
         index_id.alias("index_id"),
         be_uint(part(c, at + 2, 4)).alias("start_page"),
+        (be_uint(part(c, at + 2, 4)) + be_uint(part(c, at + 6, 4)) - 1).alias("end_page"),
         index_id.isin(*FIELD_IDS).alias("is_index"),
     )
 
@@ -194,8 +214,10 @@ def glyphs(fonts: DataFrame, content: str = "content") -> DataFrame:
     return each.select(*[x for x in fonts.columns if x != content], cell_after(start, F.col("i")).alias("code"), part(c, glyph_address(F.col("i"), size) + PAGE, size).alias("data"))
 
 
-def subbook(subbooks: DataFrame, which: Column) -> DataFrame:
-    """Subbooks that a name means: by directory, whatever the case, or by exact title."""
+def subbook(subbooks: DataFrame, which: Column | int) -> DataFrame:
+    """Subbooks that a name means: by directory, whatever the case, or by exact title; or by their number."""
+    if isinstance(which, int):
+        return subbooks.where(F.col("code") == which)
     return subbooks.where((F.lower("directory") == F.lower(which)) | (F.col("title") == which))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,51 @@ def lines_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return whole.select("path", F.posexplode(F.split("value", "\r?\n", -1)).alias("line_no", "line"))
 
 
+#: The character sets of appendices, in the order in which they are tried.
+CHARSETS = ("iso2022_jp", "euc_jp", "utf-8")
+
+
+def decoded_lines(spark: SparkSession, paths: str | list[str], charsets: tuple[str, ...] = CHARSETS) -> DataFrame:
+    """The numbered lines of small files, in the first of the character sets that their bytes are valid in; none valid is an error."""
+
+    @F.pandas_udf("string")
+    def decoded(content: pd.Series) -> pd.Series:
+        def one(data: bytes) -> str:
+            for name in charsets:
+                try:
+                    return data.decode(name)
+                except UnicodeDecodeError:
+                    continue
+            raise ValueError(f"none of {', '.join(charsets)}")
+
+        return content.map(one)
+
+    files = spark.read.format("binaryFile").load(paths).select("path", decoded("content").alias("value"))
+    return files.select("path", F.posexplode(F.split("value", "\r\n?|\n", -1)).alias("line_no", "line"))
+
+
+def appendix_of(subbooks: DataFrame, listing: DataFrame) -> DataFrame:
+    """subbook, path, found, error: each subbook's own appendix file. subbooks: subbook, book, directory, where (a directory or a
+    file, null for the directory ``appendix`` beside the book); listing: directory, name, of files.
+
+    A file is its own answer. In a directory the file is named like the subbook's directory and stands in it, else in the directory
+    there that is named like the book, else in any directory there; of those several are an error, as one can't choose. No case counts.
+    """
+    beside = F.concat(F.regexp_replace("book", "/[^/]*/?$", ""), F.lit("/appendix"))
+    asked = subbooks.select("subbook", "directory", F.lower(F.regexp_extract("book", "([^/]*)/?$", 1)).alias("paired"), F.regexp_replace(F.coalesce("where", beside), "/+$", "").alias("where"))
+    files = listing.select(F.lower("name").alias("file"), F.col("directory").alias("home"), F.concat_ws("/", "directory", "name").alias("path"))
+    named = asked.join(files.where("file LIKE '%.app'"), F.col("file") == F.concat(F.lower("directory"), F.lit(".app")))
+    inside = F.when(F.col("home") == F.col("where"), "").when(F.startswith("home", F.concat("where", F.lit("/"))), F.expr("lower(substring(home, length(`where`) + 2))"))
+    near = F.when(F.col("inside") == "", 1).when(F.col("inside") == F.col("paired"), 2).when(~F.contains("inside", F.lit("/")), 3)
+    ranked = named.withColumn("inside", inside).select("subbook", near.alias("near"), "path").where("near IS NOT NULL")
+    itself = asked.join(files, F.col("where") == F.col("path")).select("subbook", F.lit(0).alias("near"), "path")
+    each = ranked.unionByName(itself).groupBy("subbook", "near").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n"))
+    best = each.groupBy("subbook").agg(F.min(F.struct("near", "path", "n")).alias("x"))
+    one = (F.col("x.near") < 3) | (F.col("x.n") == 1)
+    error = F.when(F.col("x").isNull(), "no appendix").when(~one, "several appendices")
+    return asked.select("subbook").join(best, "subbook", "left").select("subbook", F.when(one, F.col("x.path")).alias("path"), F.coalesce("x.n", F.lit(0)).alias("found"), error.alias("error"))
+
+
 def gaiji_map(lines: DataFrame) -> DataFrame:
     """path, line_no, narrow, code, replacement, error: h or z, four hexadecimal digits, white space, the replacement.
 
