@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import gam
 from .common import table
+from .divergence import divergence
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
@@ -17,6 +19,7 @@ from .mixing import mix
 from .packing import pack
 from .pii import find_personal_data
 from .quality_rules import judged
+from .sharding import numbered, placed
 from .warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,8 +87,43 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), domain_of(F.col("source")), DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS)
 
 
+#: Shards of equal weight, and the same with one more.
+SHARDS = dict.fromkeys(range(16), 1)
+GROWN = dict.fromkeys(range(17), 1)
+
+
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text its size and CRC alone are shuffled."""
+    at = placed(table(spark, sf_dir, "documents"), SHARDS, GROWN)
+    rows = at.select("doc_id", "size", "text_crc32", "law", "shard", "grown_shard")
+    return numbered(rows, "shard", ["doc_id", "size", "text_crc32"], "slot")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_packing, op4_minhash, op5_quality_rules, op6_warc_revisit, op7_personal_data, op8_line_dedup, op9_quality_classifier, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_exact_dedup,
+        op3_packing,
+        op4_minhash,
+        op5_quality_rules,
+        op6_warc_revisit,
+        op7_personal_data,
+        op8_line_dedup,
+        op9_quality_classifier,
+        op10_mixing,
+        op11_sharding,
+        op12_hard_negatives,
+        op13_source_divergence,
+    )
 }
 
 
@@ -192,4 +230,60 @@ SQL: dict[str, str] = {
                coalesce(len(lines) - len(good), 0)::BIGINT AS n_lines_dropped
         FROM s""",
     "op10_mixing": MIX_SQL,
+    "op11_sharding": r"""
+        WITH crc AS (
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(0, 256) r(i))
+        ), d AS (
+            SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce('k' || doc_id::VARCHAR, '-') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), s AS (
+            SELECT doc_id, size::BIGINT AS size,
+                   xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, size - 1), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT)),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32,
+                   list_transform(range(0, 17), lambda s: {'draw': substr(md5(s || ':' || key), 1, 13), 'shard': -s}) AS draws
+            FROM d, crc
+        ), p AS (
+            SELECT doc_id, size, text_crc32, 'key' AS law, (-list_max(draws[1:16]).shard)::INT AS shard, (-list_max(draws).shard)::INT AS grown_shard FROM s
+        )
+        SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, size, text_crc32) - 1 AS slot FROM p""",
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS rk, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.rk, a.vec_id AS anchor_id, b.rk AS other, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+            FROM v a JOIN v b ON a.rk <> b.rk WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT rk, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rk ORDER BY score DESC, vec_id, other) AS nth FROM s WHERE same
+        ), n AS (
+            SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.rk, nth ORDER BY s.score DESC, s.vec_id, other) AS rank
+            FROM p JOIN s ON p.rk = s.rk AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score WHERE nth <= 5
+        )
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rk, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), g AS (SELECT DISTINCT lang, source FROM d),
+        t AS (SELECT rk, lang, source, unnest(w) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT rk) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+        l AS (SELECT lang, count(*) AS v, sum(total) AS big FROM k GROUP BY lang),
+        s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS sum FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT s.lang, s.source, k.term, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (s.sum + v) AS p, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (total + 1)) // (big + v) AS q
+            FROM s JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), allp AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+        ), terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+        r AS (
+            SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM allp
+            UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms) WHERE rank <= 200
+        )
+        SELECT * FROM r""",
 }
