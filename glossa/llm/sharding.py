@@ -53,17 +53,19 @@ def numbered(rows: DataFrame, by: str, order: Sequence[str], name: str) -> DataF
     Rows that are equal in all columns may stand in either order. They are spread by a salt, as one of them may be
     repeated very often.
     """
-    sort = [F.col(by).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order]]
-    salt = F.xxhash64(F.monotonically_increasing_id())
-    ranged = rows.withColumn("__salt", salt).repartitionByRange(*sort, "__salt").withColumn("__part", F.spark_partition_id())
+    # Callers' columns travel as one, so that none of them meets the names used here.
+    row = lambda c: F.col(f"row.`{c}`")
+    sort = [row(by).asc_nulls_last(), *[row(c).asc_nulls_last() for c in order], F.col("salt")]
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    ranged = packed.repartitionByRange(*sort).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*sort)
     # The range partitioning is kept in a table: its counts and its rows then come from the same partitions.
-    kept = written(ranged.sortWithinPartitions(*sort, "__salt").drop("__salt").withColumn("__at", F.monotonically_increasing_id()), "ranged")
-    counts = kept.groupBy("__part", by).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__from"))
+    kept = written(ranged.select("row", "part", row(by).alias("by"), F.monotonically_increasing_id().alias("at")), "ranged")
+    counts = kept.groupBy("part", "by").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     # One row for each partition and the few groups in it, whatever the number of rows.
-    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = written(counts.select("__part", F.col(by).alias("__by"), "__from", F.coalesce(before, F.lit(0)).alias("__before")), "starts")
-    found = kept.join(starts, (kept["__part"] == starts["__part"]) & kept[by].eqNullSafe(starts["__by"]))
-    return found.select(*[kept[c] for c in rows.columns], (F.col("__before") + F.col("__at") - F.col("__from")).alias(name))
+    before = F.sum("n").over(Window.partitionBy("by").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = written(counts.select("part", "by", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift")), "starts")
+    found = kept.join(starts, (kept["part"] == starts["part"]) & kept["by"].eqNullSafe(starts["by"])).select(kept["row"], (kept["at"] + starts["shift"]).alias("number"))
+    return found.select(*[row(c).alias(c) for c in rows.columns], F.col("number").alias(name))
 
 
 def placed(docs: DataFrame, weights: Mapping[int, float], grown: Mapping[int, float] | None = None, key: Column | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
