@@ -95,11 +95,12 @@ def mix(
     rows that repeat an id are drawn together. Null names count as empty ones, a null id as an empty
     string, a null text as an empty one; documents without words fill no budget: they come with a full or partial
     epoch of their leaf, and not at all from a leaf without tokens. An empty table gives an empty result.
-    Columns named domain or epoch are replaced.
+    Columns named domain or epoch are replaced, others
+    keep their values; long texts are read for their words alone.
     """
     part = lambda c: F.coalesce(F.col(f"doc.`{c}`").cast("string"), F.lit(""))
     # The expression for the domain reads docs' own columns.
-    at = docs.withColumn("__domain", F.coalesce(domain.cast("string"), F.lit(""))).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("__domain").alias("domain"))
+    at = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(domain.cast("string"), F.lit("")).alias("domain"))
     keyed = at.select("doc", "domain", part(lang_col).alias("language"), part(source_col).alias("leaf"), part(id_col).alias("id"))
     n_tokens = F.regexp_count(text_or_empty(F.col(f"doc.`{text_col}`")), F.lit(WORD)).cast("long")
     light = written(keyed.select("domain", "language", "leaf", "id", n_tokens.alias("n_tokens")), "tokens")

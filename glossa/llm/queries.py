@@ -74,8 +74,8 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row is a page, as its SQL counts them."""
-    return line_dedup(table(spark, sf_dir, "documents"), copies_once=False)
+    """The rows of a host with the same text are one page."""
+    return line_dedup(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ def _case(column: str, weights: dict[str, int]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
 
 
-MIX_SQL = f"""
+MIX_SQL = rf"""
         WITH d AS (
             SELECT *, CASE WHEN source IN ({", ".join(f"'{x}'" for x in WEB)}) THEN 'web' WHEN source IN ({", ".join(f"'{x}'" for x in BOOKS)}) THEN 'books' ELSE 'forums' END AS domain,
                    coalesce(lang, '') AS language, coalesce(source, '') AS leaf,
@@ -213,13 +213,14 @@ SQL: dict[str, str] = {
                CASE WHEN page_id <> last THEN last END AS refers_to
         FROM q""",
     "op8_line_dedup": r"""
-        WITH l AS (
-            SELECT doc_id, coalesce(source, '') AS host, unnest(list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''))) AS line
-            FROM documents
+        WITH h AS (SELECT DISTINCT coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+        l AS (
+            SELECT host, unnest(list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''))) AS line
+            FROM h
         ), bad AS (
             SELECT host, list(line) AS bad
             FROM (SELECT host, line, count(*) AS pages FROM l GROUP BY ALL)
-            JOIN (SELECT coalesce(source, '') AS host, count(*) AS total FROM documents GROUP BY ALL) USING (host)
+            JOIN (SELECT host, count(*) AS total FROM h GROUP BY ALL) USING (host)
             WHERE pages >= 3 AND pages > 0.05 * total GROUP BY host
         ), s AS (
             SELECT documents.*, string_split(text, chr(10)) AS lines,

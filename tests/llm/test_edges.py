@@ -128,6 +128,21 @@ def test_a_whole_branch_in_want_reaches_the_others(spark):
     assert sorted((s, sum(r.source == s for r in got)) for s in "ab") == [("a", 1), ("b", 59)]
 
 
+@pytest.mark.parametrize("name", ["quality_filter", "line_dedup", "mixing"])
+def test_columns_with_clashing_names_keep_their_values(spark, name):
+    names = [*CLASHES, "__domain", "o", "full", "rest", "doc", "lines", "good", "digest", "keys", "pages", "row", "of"]
+    text = " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60) for w in ("plain", "word", "number"))
+    df = spark.createDataFrame([(i, text + f" {i}", "en", "s1") for i in range(9)], "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    got = OPERATORS[name](df.withColumns({c: F.lit("mine") for c in names})).collect()
+    assert got and all(r[c] == "mine" for r in got for c in names if not (name == "mixing" and c in ("domain", "epoch")))
+
+
+def test_copies_of_a_text_are_one_page_of_their_host(spark):
+    rows = [(i, "head\nsame text", "h") for i in range(30)] + [(100 + i, f"own {i}\nmore", "h") for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[3] == "head\nsame text" and got[107] == "own 7"
+
+
 def test_archives_of_odd_rows(spark):
     rows = [(1, "http://a\r\nX: y", "p\r\n\r\nWARC/1.1 q"), (2, None, "p\r\n\r\nWARC/1.1 q"), (3, "http://c", None), (4, "http://d", ""), (None, None, "z")]
     got = {r.page_id: r for r in warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
