@@ -134,47 +134,80 @@ class Turned:
         plain = self.ints.astype(np.float64)
         self.y = plain @ turn
         self.norm = np.sqrt((plain**2).sum(axis=1))
+        self.top = float(np.abs(self.ints).max(initial=0))
         self.rest = {k: np.sqrt((self.y[:, k:] ** 2).sum(axis=1)) for k in stages}
 
 
-def best(a: Turned, v: Turned, allowed: np.ndarray, low: np.ndarray, high: np.ndarray, most: int, ids: np.ndarray, no_id: np.ndarray, stages: tuple[int, ...]) -> tuple[np.ndarray, ...]:
-    """Places i, j and scores of each a's ``most`` best allowed rows of v with a score from low to high; equal ones by id."""
-    dim = a.y.shape[1]
-    slack = 256 * max(dim, 1) * 2.0**-52
-    live: tuple[np.ndarray, np.ndarray] | None = None
-    part, done = np.zeros(allowed.shape), 0
-    for k in stages:
-        if live is None:
-            part = part + a.y[:, done:k] @ v.y[:, done:k].T
-            reach = a.rest[k][:, None] * v.rest[k][None, :] + slack * a.norm[:, None] * v.norm[None, :]
-            up, down = part + reach, part - reach
-            sure = np.where(allowed & (down >= low[:, None]) & (up <= high[:, None]), down, -np.inf)
-            floor = low.astype(np.float64)
-            if sure.shape[1] > most:  # a row's most-th best lower bound: nothing that stays below can be among its best
-                floor = np.maximum(floor, np.partition(sure, sure.shape[1] - most, axis=1)[:, sure.shape[1] - most])
-            keep = allowed & (up >= floor[:, None]) & (down <= high[:, None])
-            done = k
-            if keep.sum() * 4 < keep.size:
-                live = np.nonzero(keep)
-                part = part[live]
-            else:
-                allowed = keep
-        else:
-            i, j = live
-            part = part + np.einsum("ij,ij->i", a.y[i, done:k], v.y[j, done:k])
-            reach = a.rest[k][i] * v.rest[k][j] + slack * a.norm[i] * v.norm[j]
-            keep = (part + reach >= floor[i]) & (part - reach <= high[i])
-            live, part, done = (i[keep], j[keep]), part[keep], k
-    i, j = live if live is not None else np.nonzero(allowed)
-    score = np.concatenate([np.zeros(0, np.int64), *(exact(a.ints[i[c : c + 65536]], v.ints[j[c : c + 65536]]) for c in range(0, len(i), 65536))])
-    inside = (score >= low[i]) & (score <= high[i])
-    i, j, score = i[inside], j[inside], score[inside]
+def products(a: Turned, v: Turned) -> np.ndarray | None:
+    """All inner products of whole numbers, as doubles that hold them exactly; none where doubles don't."""
+    if a.top * v.top * max(1, a.ints.shape[1]) >= 2.0**53:
+        return None
+    return a.ints.astype(np.float64) @ v.ints.T.astype(np.float64)
+
+
+def first_ones(i: np.ndarray, j: np.ndarray, score: np.ndarray, most: int, ids: np.ndarray, no_id: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ``most`` best of each i: higher scores first, then smaller ids, no ids last."""
     order = np.lexsort((j, ids[j], no_id[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     first = np.arange(len(i)) - np.searchsorted(i, i) < most
     return i[first], j[first], score[first]
 
 
+def floor_of(values: np.ndarray, low: np.ndarray, most: int) -> np.ndarray:
+    """A row's ``most``-th largest value, or its low end: nothing below can be among its best."""
+    if values.shape[1] <= most:
+        return low.astype(np.float64)
+    at = values.shape[1] - most
+    return np.maximum(low, np.partition(values, at, axis=1)[:, at])
+
+
+def best(a: Turned, v: Turned, allowed: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]], most: int, ids: np.ndarray, no_id: np.ndarray, stages: tuple[int, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each range (low, high of each a): places i, j and scores of each a's ``most`` best allowed rows of v in the range.
+
+    After each stage of leading components the rows whose bounds miss all ranges, or stay below a range's best, are left
+    out. If few are left they go on as pairs; where the components don't say much, all products are taken at once.
+    """
+    slack = 256 * max(a.y.shape[1], 1) * 2.0**-52
+    part, done, live = np.zeros(allowed.shape), 0, None
+    for k in stages:
+        part = part + a.y[:, done:k] @ v.y[:, done:k].T
+        reach = a.rest[k][:, None] * v.rest[k][None, :] + slack * a.norm[:, None] * v.norm[None, :]
+        up, down, done = part + reach, part - reach, k
+        widest = np.minimum.reduce([low for low, _ in ranges]), np.maximum.reduce([high for _, high in ranges])
+        rough = allowed & (up >= widest[0][:, None]) & (down <= widest[1][:, None])
+        # The ranges' own bests are only worth finding where many bounds are narrow.
+        if rough.sum() * 4 < rough.size or np.median(reach) * 4 < np.ptp(part):
+            keeps, floors = [], []
+            for low, high in ranges:
+                sure = np.where(rough & (down >= low[:, None]) & (up <= high[:, None]), down, -np.inf)
+                floors.append(floor_of(sure, low, most))
+                keeps.append(rough & (up >= floors[-1][:, None]) & (down <= high[:, None]))
+            rough = np.logical_or.reduce(keeps)
+            if rough.sum() * 4 < rough.size:
+                live = np.nonzero(rough)
+                break
+        allowed = rough
+    whole = None if live is not None else products(a, v)
+    if whole is not None:
+        for low, high in ranges:
+            inside = np.where(allowed & (whole >= low[:, None]) & (whole <= high[:, None]), whole, -np.inf)
+            i, j = np.nonzero(inside >= np.maximum(floor_of(inside, low, most), -(2.0**53))[:, None])
+            yield first_ones(i, j, whole[i, j].astype(np.int64), most, ids, no_id)
+        return
+    i, j = live if live is not None else np.nonzero(allowed)
+    if live is not None:
+        part = part[i, j]
+        for k in (x for x in stages if x > done):
+            part = part + np.einsum("ij,ij->i", a.y[i, done:k], v.y[j, done:k])
+            reach = a.rest[k][i] * v.rest[k][j] + slack * a.norm[i] * v.norm[j]
+            keep = np.logical_or.reduce([(part + reach >= floor[i]) & (part - reach <= high[i]) for floor, (_, high) in zip(floors, ranges)])
+            i, j, part, done = i[keep], j[keep], part[keep], k
+    score = np.concatenate([np.zeros(0, np.int64), *(exact(a.ints[i[c : c + 65536]], v.ints[j[c : c + 65536]]) for c in range(0, len(i), 65536))])
+    for low, high in ranges:
+        at = (score >= low[i]) & (score <= high[i])
+        yield first_ones(i[at], j[at], score[at], most, ids, no_id)
+
+
 def anchors_of(packed: DataFrame, every: int) -> DataFrame:
     """The rows whose id ``every`` divides, one row each."""
 
@@ -223,11 +256,11 @@ def searched(pairs: DataFrame, turn: np.ndarray, same: bool, most: int, stages:
                     a = Turned(ints, turn, stages)
                     equal = np.array([x["label"] for x in some])[:, None] == rows.labels[None, :]
                     allowed = equal & (np.array([x["rk"] for x in some])[:, None] != rows.rk[None, :]) if same else ~equal
-                    for nth in range(max((len(x["low"]) for x in some), default=0)):
-                        has = np.array([nth < len(x["low"]) for x in some])
-                        low = np.array([x["low"][nth] if nth < len(x["low"]) else 0 for x in some], np.int64)
-                        high = np.array([x["high"][nth] if nth < len(x["high"]) else -1 for x in some], np.int64)
-                        i, j, score = best(a, held, allowed & has[:, None], low, high, most, rows.ids, rows.no_id, stages)
+                    n = max((len(x["low"]) for x in some), default=0)
+                    # An anchor with fewer ranges than others has empty ones.
+                    end = lambda x, name, nth, none: x[name][nth] if nth < len(x[name]) else none
+                    ranges = [tuple(np.array([end(x, name, nth, none) for x in some], np.int64) for name, none in (("low", 2**62), ("high", -(2**62)))) for nth in range(n)]
+                    for nth, (i, j, score) in enumerate(best(a, held, allowed, ranges, most, rows.ids, rows.no_id, stages)):
                         rk = np.array([x["rk"] for x in some], np.int64)[i]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(rk), pa.array(np.full(len(i), nth, np.int32)), pa.array(rows.rk[j]), pa.array(rows.ids[j], mask=rows.no_id[j]), pa.array(score)],

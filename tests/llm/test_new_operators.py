@@ -100,7 +100,7 @@ def test_bounds_leave_most_products_out():
     sizes, plain = [], H.exact
     try:
         H.exact = lambda x, y: sizes.append(len(x)) or plain(x, y)
-        i, j, s = best(a, v, np.ones((20, 2000), bool), np.full(20, -(2**62)), np.full(20, 2**62), 5, np.arange(2000), np.zeros(2000, bool), (8, 16))
+        [(i, j, s)] = best(a, v, np.ones((20, 2000), bool), [(np.full(20, -(2**62)), np.full(20, 2**62))], 5, np.arange(2000), np.zeros(2000, bool), (8, 16))
     finally:
         H.exact = plain
     full = ints[:20] @ ints.T
@@ -135,8 +135,8 @@ def test_divergence_equals_plain_counting(spark):
     words = ["a", "B", "ab", "abc", "é", "éa", "漢字", "漢", "😀x", "x" * 3000, "x" * 2999 + "y", *(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))]
     rows = [(random.choice(["en", "fr", None]), random.choice(["s1", "s2", "s3", None, "é"]), " 1,".join(random.choices(words, k=random.randint(0, 60)))) for _ in range(150)]
     rows += [("de", "one", "a a a"), ("de", "one", "a b"), ("xx", "p", "few words"), ("xx", "q", None), ("xx", "r", "few"), ("en", "bare", ""), ("en", "bare", "123 4"), ("en", "long", "alpha " * 300_000 + "omega")]
-    df = spark.createDataFrame(rows, "lang string, source string, text string").withColumns({c: F.lit("x") for c in ("term", "item", "value", "rank", "block", "n", "part")}).repartition(4)
-    for limits in ({}, {"most_terms": 3, "block_leaves": 7}):
+    df = spark.createDataFrame(rows, "lang string, source string, text string").withColumns({c: F.lit("x") for c in ("term", "item", "value", "rank", "block", "piece", "n", "part")}).repartition(4)
+    for limits in ({}, {"most_terms": 3, "block_counts": 24}):
         got = sorted((r.lang, r.source, r.part, r["item"], r.value, r.rank) for r in divergence(df, **limits).collect())
         assert got == plain_divergence(rows, limits.get("most_terms", 200))
     assert divergence(df.where("false")).count() == 0
