@@ -14,6 +14,7 @@ that meet in a leaf.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -181,6 +182,8 @@ def counted(docs: DataFrame, lang_col: str, source_col: str, text_col: str, most
     rows = docs.select(*[text_or_empty(F.col(c).cast("string")).alias(x) for c, x in ((lang_col, "lang"), (source_col, "source"))], text_or_empty(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Leaves are many lists without cycles: looking for cycles among them would take as long as making them.
+        gc.disable()
         tally = Tally()
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
@@ -199,14 +202,18 @@ def entries_of(sources: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndar
     return sources.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), names.indices.to_numpy(zero_copy_only=False).astype(np.int64), names.dictionary.to_pylist(), counts.flatten().to_numpy(zero_copy_only=False)
 
 
-def merged(leaves: DataFrame, least_docs: int = 3, block_leaves: int = 16_384) -> DataFrame:
-    """Kept leaves: block, lang, term, total, sources, counts, written. A block's leaves are one range of the order."""
+def merged(leaves: DataFrame, least_docs: int = 3, block_counts: int = 1_000_000) -> DataFrame:
+    """Kept leaves: block, lang, term, total, sources, counts. A block's leaves are one range of a language's order.
+
+    Tasks cut their leaves into pieces of about an eighth of ``block_counts`` counts, and neighbouring pieces make a block, so
+    that there are as many blocks as there are leaves for, in however many partitions they were merged.
+    """
     ranged = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 40
+        first, seen = TaskContext.get().partitionId() << 40, 0
         held: pa.Table | None = None
         for b in chain(batches, [None]):
             # The last leaf of a batch may go on in the next.
@@ -235,22 +242,26 @@ def merged(leaves: DataFrame, least_docs: int = 3, block_leaves: int = 16_384) -
             totals = np.zeros(len(starts), np.int64)
             np.add.at(totals, whose, sums)
             firsts = table.select(["lang", "term"]).take(pa.array(starts[stay]))
-            n = int(stay.sum())
             lengths = np.bincount(whose[entry], minlength=len(starts))[stay]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array((number + np.arange(n)) // block_leaves),
+                    pa.array(first + (seen + np.cumsum(lengths)) // max(1, block_counts // 8)),
                     firsts["lang"].combine_chunks(),
                     firsts["term"].combine_chunks(),
                     pa.array(totals[stay]),
                     lists(pa.array(names, pa.string()).take(pa.array(cells[entry] % max(1, len(names)))), lengths),
                     lists(pa.array(sums[entry]), lengths),
                 ],
-                names=["block", "lang", "term", "total", "sources", "counts"],
+                names=["piece", "lang", "term", "total", "sources", "counts"],
             )
-            number += n
+            seen += int(lengths.sum())
 
-    return written(ranged.mapInArrow(run, "block long, lang string, term binary, total long, sources array<string>, counts array<long>"), "leaves")
+    leaves = written(ranged.mapInArrow(run, "piece long, lang string, term binary, total long, sources array<string>, counts array<long>"), "leaves")
+    # One row for each piece: a few for each partition and language.
+    pieces = leaves.groupBy("lang", "piece").agg(F.sum(F.size("sources")).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("piece")) - F.col("n")
+    blocks = written(pieces.select("lang", "piece", F.floor(before / block_counts).alias("block")), "pieces")
+    return leaves.join(blocks, ["lang", "piece"]).drop("piece")
 
 
 def share(count: np.ndarray, total: np.ndarray | int, terms: int) -> np.ndarray:
@@ -322,7 +333,7 @@ def walked(leaves: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     """
     heads = leaves.select("block", "lang").distinct().join(groups, "lang").select("block", "lang", F.lit(0).alias("kind"), F.col("source").cast("binary").alias("item"), F.col("n").alias("total"), F.array("lang_n", "terms").alias("counts"), F.lit(None).cast("array<string>").alias("sources"))
     body = leaves.select("block", "lang", F.lit(1).alias("kind"), F.col("term").alias("item"), "total", "counts", "sources")
-    ordered = heads.unionByName(body).repartition("block").sortWithinPartitions("block", "lang", "kind", "item")
+    ordered = heads.unionByName(body).repartition("lang", "block").sortWithinPartitions("lang", "block", "kind", "item")
 
     def block_rows(key: tuple, heads: list[pa.RecordBatch], body: list[pa.RecordBatch]) -> pa.RecordBatch:
         head, rows = (pa.Table.from_batches(x).combine_chunks() for x in (heads, body))
@@ -366,7 +377,7 @@ def walked(leaves: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     return ordered.mapInArrow(run, "lang string, source string, part string, item binary, value long")
 
 
-def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 3, most_terms: int = 200, block_leaves: int = 16_384) -> DataFrame:
+def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 3, most_terms: int = 200, block_counts: int = 1_000_000) -> DataFrame:
     """lang, source, part, item, value, rank: how far each source is from the others of its language, and its own terms.
 
     Terms are runs of ASCII letters and of characters beyond ASCII; only A-Z become lower case. A language keeps the
@@ -381,7 +392,7 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     other columns aren't read.
     """
     counts = written(counted(docs, lang_col, source_col, text_col), "counts")  # splitters are drawn from it without counting twice
-    leaves = merged(counts, least_docs, block_leaves)
+    leaves = merged(counts, least_docs, block_counts)
     name = lambda c: text_or_empty(F.col(c).cast("string"))
     all_groups = docs.select(name(lang_col).alias("lang"), name(source_col).alias("source")).distinct()
     entries = leaves.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("e"))
