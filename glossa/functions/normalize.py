@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata as ud
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -149,11 +150,24 @@ def canonical(s: Column, style: dict[str, int]) -> Column:
     return s
 
 
+def _chosen(x: Column, value: Column, does: dict[int, Rule]) -> Column:
+    out = x
+    for number, rule in does.items():
+        out = F.when(value == number, rule(x)).otherwise(out)
+    return out
+
+
+def _named(s: Column, step: Rule) -> Column:
+    """step(s), where s is computed once, however often the step uses it."""
+    return F.element_at(F.transform(F.array(s), lambda x: step(x)), 1)
+
+
 def canonical_by(s: Column, style: Column) -> Column:
-    """The pipeline for a style struct that differs from row to row."""
+    """The pipeline for a style struct that differs from row to row.
+
+    Each step names what the step before gives, so that the expression grows with the number of rules, not with its powers.
+    """
     for field, does in PIPELINE:
-        out = s
-        for value, rule in does.items():
-            out = F.when(style[field] == value, rule(s)).otherwise(out)
-        s = out
+        step = partial(_chosen, value=style[field], does=does)
+        s = _named(s, step)
     return s

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,19 +15,26 @@ OVERLINE = "̅"
 IN_WORD = r"[\p{L}\p{Nd}\p{Nl}\p{No}'’\-−ー]"
 
 
-def _wide_ranges() -> list[tuple[int, int]]:
-    """Ranges of the characters that take two columns, from the Unicode data (wide and full-width)."""
+def _class_of(fits: Callable[[str], object], top: int = 0x20000) -> list[tuple[int, int]]:
+    """Ranges of the characters below ``top`` that fit, from the Unicode data."""
     out: list[tuple[int, int]] = []
-    for c in range(0x20000):
-        if ud.east_asian_width(chr(c)) in "WF":
+    for c in range(top):
+        if fits(chr(c)):
             if out and out[-1][1] == c - 1:
                 out[-1] = (out[-1][0], c)
             else:
                 out.append((c, c))
-    return [*out, (0x20000, 0x3FFFD)]
+    return out
+
+
+def _pattern(ranges: list[tuple[int, int]]) -> str:
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
-WIDE = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _wide_ranges()) + "]"
+#: Characters that take two columns, wide and full-width; those that combine and take none; digits of all kinds.
+WIDE = _pattern([*_class_of(lambda c: ud.east_asian_width(c) in "WF"), (0x20000, 0x3FFFD)])
+COMBINING = _pattern(_class_of(ud.combining))
+DIGIT = _pattern(_class_of(str.isdigit))
 
 
 def fold_width(s: Column) -> Column:
@@ -66,8 +74,8 @@ def readable(s: Column) -> Column:
 
 
 def display_width(s: Column) -> Column:
-    """Columns on a terminal: combining marks none, wide and full-width characters two."""
-    bare = F.regexp_replace(s, r"\p{Mn}|\p{Me}", "")
+    """Columns on a terminal: characters of a combining class none, wide and full-width ones two."""
+    bare = F.regexp_replace(s, COMBINING, "")
     return F.length(bare) + F.regexp_count(bare, F.lit(WIDE))
 
 
@@ -131,9 +139,9 @@ SUBSCRIPTS = str.maketrans("0123456789", "₀₁₂₃₄₅₆₇₈₉")
 
 
 def subscript(s: Column) -> Column:
-    """Digits as subscript digits; other text in parentheses; nothing for nothing."""
+    """Digits as subscript digits, those that have none as they are; other text in parentheses; nothing for nothing."""
     digits = F.translate(s, "0123456789", "0123456789".translate(SUBSCRIPTS))
-    return F.when(s == "", "").when(s.rlike("^[0-9]+$"), digits).otherwise(F.concat(F.lit("("), s, F.lit(")")))
+    return F.when(s == "", "").when(s.rlike(f"^{DIGIT}+$"), digits).otherwise(F.concat(F.lit("("), s, F.lit(")")))
 
 
 def wrap_lines(s: Column, columns: int) -> Column:

@@ -6,6 +6,8 @@ backwards). Queries: query (their number) and word.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +22,14 @@ def lookup(entries: DataFrame, word: str, exact: bool = False, backward: bool =
     return ranked.limit(limit) if limit is not None else ranked
 
 
-def matched(queries: DataFrame, entries: DataFrame, key: str = "key", exact: bool = False) -> DataFrame:
-    """queries joined to the entries whose key begins with (or equals) the word.
+def matched(queries: DataFrame, entries: DataFrame, key: str = "key", exact: bool = False, on: Sequence[str] = ()) -> DataFrame:
+    """queries joined to the entries whose key begins with (or equals) the word, and whose columns ``on`` are equal.
 
     A prefix join is an equality join on the key's beginning, once for each length that a query's word has:
     at most 127 lengths, since words are no longer. An empty word meets every entry, as one query of length 0.
     """
     if exact:
-        return queries.join(entries, queries["word"] == entries[key])
+        return queries.join(entries.withColumn("word", F.col(key)), ["word", *on])
     lengths = [r[0] for r in queries.where("word IS NOT NULL").select(F.length("word")).distinct().collect()]
     if not lengths:
         return queries.join(entries, F.lit(False))
@@ -35,7 +37,7 @@ def matched(queries: DataFrame, entries: DataFrame, key: str = "key", exact: boo
     # Shorter keys would repeat themselves.
     each = F.explode(F.array_distinct(F.filter(F.zip_with(begins, F.array(*map(F.lit, sorted(lengths))), lambda b, n: F.when(F.length(b) == n, b)), lambda b: b.isNotNull())))
     keyed = entries.withColumn("__begin", each)
-    return queries.join(keyed, queries["word"] == keyed["__begin"]).drop("__begin")
+    return queries.join(keyed.withColumnRenamed("__begin", "word"), ["word", *on])
 
 
 def first_hits(hits: DataFrame, by: list[str], identity: tuple[str, ...] = ("text", "heading")) -> DataFrame:
@@ -55,19 +57,21 @@ def search(queries: DataFrame, entries: DataFrame, key: str = "key", exact: bool
     return limited(hits, ["query"], limit) if limit is not None else hits
 
 
-def preferred_indexes(word: Column, backward: Column) -> Column:
+def preferred_indexes(word: Column, backward: Column, script: str | None = None) -> Column:
     """Names of the indexes that serve a word, the best first."""
     kind = F.when(backward, "endword").otherwise("word")
-    own = F.when(word_class(word) == "other", F.lit(None)).otherwise(F.concat(kind, F.lit("_"), word_class(word)))
+    found = F.lit(script) if script else word_class(word)
+    own = F.when(found == "other", F.lit(None)).otherwise(F.concat(kind, F.lit("_"), found))
     return F.array_compact(F.array(own, F.concat(kind, F.lit("_asis"))))
 
 
-def selected_index(queries: DataFrame, indexes: DataFrame) -> DataFrame:
+def selected_index(queries: DataFrame, indexes: DataFrame, script: str | None = None) -> DataFrame:
     """queries (query, word, backward) with the index that serves each in each subbook; null name where none does.
 
-    indexes: subbook, name. The best two names are looked up, so a query meets two indexes of a subbook at most.
+    indexes: subbook, name. The best two names are looked up, so a query meets two indexes of a subbook at most. The words' script
+    decides, unless they are all of one ``script``.
     """
-    wanted = queries.select("*", F.posexplode(preferred_indexes(F.col("word"), F.col("backward"))).alias("preference", "name"))
+    wanted = queries.select("*", F.posexplode(preferred_indexes(F.col("word"), F.col("backward"), script)).alias("preference", "name"))
     there = wanted.join(indexes, "name")
     best = there.groupBy("query", "subbook").agg(F.min_by("name", "preference").alias("index_name"))
     return queries.join(best, "query", "left")

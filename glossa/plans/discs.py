@@ -142,7 +142,7 @@ def src_multi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.col("p_size") % 2 == 1
     field = F.concat(F.when(odd, "02").otherwise("01"), F.lit("00"), F.rpad(jis(F.col("word")), 60, "0"), record("91", 0), F.when(odd, record("01", 1)).otherwise(""))
     pages = joined(parts(spark, sf_dir), ["leaf"], "p_partkey", field)
-    return D.multi_table(pages.select(F.col("leaf").alias("book"), F.unhex(F.concat(be(F.col("n"), 2), F.lit("00" * 14), F.col("hex"))).alias("bytes")))
+    return D.multi_table(pages.select(F.col("leaf").alias("book"), F.unhex(F.concat(be(F.col("n"), 2), F.lit("00" * 14), F.col("hex"))).alias("bytes"))).drop("available", "flags")
 
 
 def _two(n: int) -> str:
@@ -304,7 +304,7 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WIDE_NAME = sql_map("p_name", ASCII_WIDE)
 WIDE_WORD = sql_map("string_split(p_name, ' ')[1]", ASCII_WIDE)
-HEAD_TEXT = f"{WIDE_NAME} || '(' || {sql_map('p_size::VARCHAR', ASCII_WIDE)} || ')<gaiji=ha123><gaiji=zb124>'"
+HEAD_TEXT = f"{WIDE_NAME} || {sql_map('p_size::VARCHAR', ASCII_WIDE)} || '<gaiji=ha123><gaiji=zb124>'"
 FIRST = "8 + 2 * length(p_name) + 2 + 2 + 2 * length(p_size::VARCHAR) + 2 + 8 + 2"
 
 
@@ -398,4 +398,4 @@ def stop_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = leaf_pages.unionByName(text_pages).select("subbook", "page", F.unhex("hex").alias("bytes"))
     indexes = own.groupBy(F.col("p_brand").alias("subbook")).agg(F.max("leaf").alias("end_page")).select("subbook", F.lit("word_asis").alias("name"), F.lit(1).cast("long").alias("start_page"), "end_page")
     books = indexes.select("subbook")
-    return Collection(spark, books, pages, indexes).stop_codes(depth=8).select("subbook", "code", "argument")
+    return Collection(spark, books, pages, indexes).stop_codes().select("subbook", "code", "argument")

@@ -41,6 +41,11 @@ def jis_text(data: Column) -> Column:
     return F.array_join(F.transform(F.filter(pairs, lambda p: ~F.startswith(p, F.lit("20"))), lambda p: jis_char(F.conv(p, 16, 10).cast("long"))), "")
 
 
+def latin_text(data: Column) -> Column:
+    """A string of ISO 8859-1; a NUL ends it, and blanks at its end are filling."""
+    return F.rtrim(F.decode(F.unhex(F.regexp_replace(F.hex(data), "^((?:(?!00)..)*).*$", "$1")), "ISO-8859-1"))
+
+
 def ascii_name(data: Column) -> Column:
     """A name that ends at the first NUL or blank."""
     hexes = F.regexp_replace(F.hex(data), "^((?:(?!00|20)..)*).*$", "$1")
@@ -50,7 +55,7 @@ def ascii_name(data: Column) -> Column:
 def catalog(books: DataFrame, content: str = "content", disc: str = "disc") -> DataFrame:
     """The subbooks of each catalog: code, title, directory, index_page. An EB entry has 40 bytes, an EPWING one 164.
 
-    A catalog that lists none, or that ends within an entry, is an error.
+    A catalog that lists none, or that ends within an entry, is an error. Titles are in the book's charset, if books have that column.
     """
     c, epwing = F.col(content), F.col(disc) == "EPWING"
     size, title = F.when(epwing, 164).otherwise(40), F.when(epwing, 80).otherwise(30)
@@ -60,10 +65,11 @@ def catalog(books: DataFrame, content: str = "content", disc: str = "disc") -> D
     each = books.withColumn("code", F.explode(F.sequence(F.lit(0), (checked - 1).cast("int"))))
     at = F.lit(16) + F.col("code") * size
     name = at + 2 + title
+    name_of = (lambda x: F.when(F.col("charset") == 1, latin_text(x)).otherwise(jis_text(x))) if "charset" in books.columns else jis_text
     return each.select(
         *[x for x in books.columns if x != content],
         "code",
-        jis_text(part(c, at + 2, title)).alias("title"),
+        name_of(part(c, at + 2, title)).alias("title"),
         ascii_name(part(c, name, 8)).alias("directory"),
         F.when(epwing, be_uint(part(c, name + 12, 2))).otherwise(1).cast("long").alias("index_page"),
     )
@@ -156,6 +162,8 @@ def multi_table(pages: DataFrame, content: str = "bytes") -> DataFrame:
         be_uint(part(c, at + 2, 4)).alias("start_page"),
         (be_uint(part(c, at + 2, 4)) + be_uint(part(c, at + 6, 4)) - 1).alias("end_page"),
         index_id.isin(*FIELD_IDS).alias("is_index"),
+        be_uint(part(c, at + 10, 1)).alias("available"),
+        be_uint(part(c, at + 11, 3)).alias("flags"),
     )
 
 

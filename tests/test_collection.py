@@ -54,8 +54,8 @@ def with_keywords():
     record = lambda i, page: (bytes([i, 0]) + page.to_bytes(4, "big") + (1).to_bytes(4, "big") + b"\2\0\0\0").ljust(16, b"\0")
     table = b"\0\x03\0\0\x02".ljust(16, b"\0") + record(0x80, 3) + record(0x02, 4) + record(0x01, 5)
     target = int(str(at["BAKER"] // 2048 + 1), 16).to_bytes(4, "big") + int(str(at["BAKER"] % 2048), 16).to_bytes(2, "big")
-    menu = jis("to ") + bytes.fromhex("1F420000") + jis("BAKER") + bytes.fromhex("1F62") + target + bytes.fromhex("1F03")
-    pages = [table, data[2048:4096], leaf, jis("FREE") + bytes.fromhex("1F03"), menu]
+    menu = bytes.fromhex("1F02") + jis("to ") + bytes.fromhex("1F43") + jis("BAKER") + bytes.fromhex("1F63") + target + bytes.fromhex("1F0A1F43") + jis("OTHER") + bytes.fromhex("1F63") + bytes(6) + bytes.fromhex("1F03")
+    pages = [table, data[2048:4096], leaf, bytes.fromhex("1F02") + jis("FREE") + bytes.fromhex("1F03"), menu]
     return b"".join(p.ljust(2048, b"\0") for p in pages) + data[4096:], at
 
 
@@ -80,12 +80,12 @@ def laid_out(tmp_path, data, name):
 def test_keywords_menu_and_copyright_of_a_disc(spark, tmp_path):
     data, at = with_keywords()
     c = opened(spark, laid_out(tmp_path, data, "HONMON"))
-    words = [(1, 0, "red"), (1, 1, "Sheep"), (2, 0, "red"), (2, 1, "big"), (3, 0, "red"), (4, 0, "big"), (4, 1, "none"), (5, 0, "é")]
+    words = [(1, 0, "red"), (1, 1, "Sheep"), (2, 0, "red"), (2, 1, "big"), (3, 0, "red"), (4, 0, "big"), (4, 1, "none"), (5, 0, "é"), (6, 0, "red"), (6, 1, " \u3000"), (7, 0, " ")]
     hits = c.keyword_search(spark.createDataFrame(words, "query int, nth int, word string")).orderBy("query", "rank").collect()
-    assert [(r.query, r.text) for r in hits] == [(1, at["CABLE"]), (2, at["BAKER"]), (2, at["CABLE"]), (3, at["ABLE"]), (3, at["CABLE"]), (3, at["BAKER"])]
+    assert [(r.query, r.text) for r in hits] == [(1, at["CABLE"]), (2, at["BAKER"]), (2, at["CABLE"]), (3, at["ABLE"]), (3, at["CABLE"]), (3, at["BAKER"]), (6, at["ABLE"]), (6, at["CABLE"]), (6, at["BAKER"])]
     assert [r.text for r in c.own_texts("copyright").collect()] == ["ＦＲＥＥ"] and c.own_texts("text").count() == 0
-    line = c.menu().first()
-    assert (line.start, line.end, (line.page - 1) * 2048 + line.offset) == (3, 8, at["BAKER"])
+    lines = c.menu().orderBy("nth").collect()
+    assert [(r.start, r.end, r.label, r.target) for r in lines] == [(3, 8, "ＢＡＫＥＲ", at["BAKER"]), (9, 14, "ＯＴＨＥＲ", None)]
 
 
 @pytest.mark.parametrize("packed", [False, True])
