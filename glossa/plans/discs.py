@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import ASCII_WIDE
+from ..operators import decode as T1
 from ..operators import entries as E
 from ..operators.private_chars import latest
 from ..sources import discs as D
@@ -302,6 +303,10 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("entry"), F.unhex(body).alias("bytes"))
 
 
+def plain_texts(decoded: DataFrame) -> DataFrame:
+    return decoded.drop("spans", "error")
+
+
 WIDE_NAME = sql_map("p_name", ASCII_WIDE)
 WIDE_WORD = sql_map("string_split(p_name, ' ')[1]", ASCII_WIDE)
 HEAD_TEXT = f"{WIDE_NAME} || {sql_map('p_size::VARCHAR', ASCII_WIDE)} || '<gaiji=ha123><gaiji=zb124>'"
@@ -311,13 +316,13 @@ FIRST = "8 + 2 * length(p_name) + 2 + 2 + 2 * length(p_size::VARCHAR) + 2 + 8 +
 @query(f"SELECT p_partkey AS entry, {HEAD_TEXT} || chr(10) || {WIDE_WORD} || 'ｍｅｎｕ' AS text, 'soft' AS stop, ({FIRST} + 16 + 1 + 4 + 2 * length(string_split(p_name, ' ')[1]) + 8 + 2 + 8 + 8 + 4 + 4)::BIGINT AS next, 'ha123,zb124' AS unknown FROM part")
 def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyword escape that opened the entry ends it where it comes again."""
-    return E.entry_texts(E.events(E.tokens(streams(spark, sf_dir))))
+    return plain_texts(T1.decoded(streams(spark, sf_dir)))
 
 
 @query(f"SELECT p_partkey AS entry, {HEAD_TEXT} AS text, 'soft' AS stop, ({FIRST})::BIGINT AS next, 'ha123,zb124' AS unknown FROM part")
 def text_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In headings a line end is the end."""
-    return E.entry_texts(E.events(E.tokens(streams(spark, sf_dir)), heading=True))
+    return plain_texts(T1.decoded(streams(spark, sf_dir), heading=True))
 
 
 @query(f"SELECT p_partkey AS entry, (length({HEAD_TEXT}) + 1)::INT AS start, (length({HEAD_TEXT}) + 1 + length(string_split(p_name, ' ')[1]))::INT AS \"end\", p_partkey + 1 AS page, p_size AS \"offset\" FROM part")
@@ -331,13 +336,83 @@ def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.spans(E.events(E.tokens(streams(spark, sf_dir))), "43", "63")
 
 
+@query(f"SELECT p_partkey AS entry, {HEAD_TEXT} || chr(10) || {WIDE_WORD} || 'ｍｅｎｕ' AS text, 'soft' AS stop, ({FIRST} + 16 + 1 + 4 + 2 * length(string_split(p_name, ' ')[1]) + 8 + 2 + 8 + 8 + 4 + 4)::BIGINT AS next, 'ha123,zb124' AS unknown FROM part")
+def text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same entries from rows of events, which any rendering can be made of."""
+    return E.entry_texts(E.events(E.tokens(streams(spark, sf_dir))))
+
+
+def styled_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with each kind of span, some in others: an indent, emphasis round a superscript, a decoration, a region without line ends."""
+    p = parts(spark, sf_dir)
+    size = jis(F.col("p_size").cast("string"))
+    body = F.concat(
+        F.lit("1F09"), be(F.col("p_size"), 2), F.lit("1F12"), jis(F.col("word")), F.lit("1F0E"), size, F.lit("1F0F1F13"),
+        F.lit("1FE0"), be(F.col("p_size") + 1, 2), jis(F.lit("deco")), F.lit("1FE1"), F.lit("1F10"), jis(F.lit("a b")), F.lit("1F111F03"),
+    )
+    return p.select(F.col("p_partkey").alias("entry"), F.unhex(body).alias("bytes"))
+
+
+SPAN_SQL = "p_partkey AS entry, '{kind}' AS kind, ({start})::INT AS start, ({end})::INT AS \"end\", {value} AS value FROM part"
+W, N = "length(string_split(p_name, ' ')[1])", "length(p_size::VARCHAR)"
+
+
+@query(
+    " UNION ALL ".join(
+        "SELECT " + SPAN_SQL.format(kind=k, start=a, end=b, value=v)
+        for k, a, b, v in (
+            ("indent", "0", "0", "p_size"),
+            ("superscript", W, f"{W} + {N}", "NULL::INT"),
+            ("emphasis", "0", f"{W} + {N}", "NULL::INT"),
+            ("decoration", f"{W} + {N}", f"{W} + {N} + 4", "p_size + 1"),
+            ("no_newline", f"{W} + {N} + 4", f"{W} + {N} + 7", "NULL::INT"),
+        )
+    )
+)
+def text_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Superscript, emphasis, decoration, indent and no-newline as spans of the text."""
+    found = T1.decoded(styled_streams(spark, sf_dir)).select("entry", F.explode("spans").alias("s"))
+    return found.select("entry", "s.kind", "s.start", "s.end", "s.value")
+
+
+@query("SELECT p_partkey AS entry, p_name || '(' || p_type || CASE WHEN p_size % 2 = 0 THEN '₁₂' ELSE '(x1)' END || ')y' AS text, 'hard' AS stop FROM part")
+def text_nested_subscript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscripts in subscripts: digits become subscript digits, all else stands in parentheses."""
+    plain_hex = lambda c: F.hex(F.encode(c, "ISO-8859-1"))
+    inner = F.when(F.col("p_size") % 2 == 0, plain_hex(F.lit("12"))).otherwise(plain_hex(F.lit("x1")))
+    body = F.concat(plain_hex(F.col("p_name")), F.lit("1F06"), plain_hex(F.col("p_type")), F.lit("1F06"), inner, F.lit("1F071F071F061F07"), plain_hex(F.lit("y")), F.lit("1F03"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.unhex(body).alias("bytes"))
+    return T1.decoded(rows, charset=T1.LATIN).select("entry", "text", "stop")
+
+
+BROKEN_SQL = f"""SELECT p_partkey AS entry, {WIDE_NAME} AS text, CASE p_size % 3 WHEN 1 THEN 'an escape is cut at ' || 2 * length(p_name) WHEN 2 THEN 'a character is cut at ' || 2 * length(p_name) END AS error FROM part"""
+
+
+@query(BROKEN_SQL)
+def text_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third entry breaks off within an escape, every third within a character: what was read comes with the error."""
+    end = F.when(F.col("p_size") % 3 == 1, "1F4200").when(F.col("p_size") % 3 == 2, "23").otherwise("1F03")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.unhex(F.concat(jis(F.col("p_name")), end)).alias("bytes"))
+    return T1.decoded(rows).select("entry", "text", "error")
+
+
+@query("SELECT p_partkey AS entry, CASE WHEN p_size % 4 = 0 THEN p_name ELSE " + WIDE_NAME + " END || CASE p_size % 4 WHEN 0 THEN 'xyz' WHEN 1 THEN 'ａ' ELSE '' END AS text FROM part")
+def text_mixed_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of Latin, EB, EPWING and GB books in one table: the optional argument is left out where an older disc leaves it out."""
+    k = F.col("p_size") % 4
+    body = F.when(k == 0, F.concat(F.hex(F.encode("p_name", "ISO-8859-1")), F.lit("78797A1F03"))).when(k == 1, F.concat(jis(F.col("p_name")), F.lit("1F1A23611F03"))).when(k == 2, F.concat(jis(F.col("p_name")), F.lit("1F1A23611F03"))).otherwise(F.concat(jis(F.col("p_name")), F.lit("1F1C1F03")))
+    charset = F.when(k == 0, T1.LATIN).when(k == 3, T1.GB_CODES).otherwise(T1.JIS_CODES)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.unhex(body).alias("bytes"), charset.alias("charset"), (k != 1).alias("epwing"))
+    return T1.decoded(rows, F.col("charset"), F.col("epwing")).select("entry", "text")
+
+
 @query("SELECT p_partkey AS entry, p_name || 'é' || chr(10) || p_type || '<gaiji=h8041>' AS text, 'hard' AS stop, (length(p_name) + length(p_type) + 7)::BIGINT AS next, 'h8041' AS unknown FROM part")
 def text_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of a Latin book: a byte a character, and private characters of two."""
     ascii_hex = lambda c: F.hex(F.encode(F.col(c), "ISO-8859-1"))
     body = F.concat(F.lit("1F02"), ascii_hex("p_name"), F.lit("E91F0A"), ascii_hex("p_type"), F.lit("80411F03"), ascii_hex("p_name"))
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.unhex(body).alias("bytes"))
-    return E.entry_texts(E.events(E.tokens(rows, latin=True), latin=True))
+    return plain_texts(T1.decoded(rows, charset=T1.LATIN))
 
 
 @query("SELECT p_partkey AS entry, CASE WHEN p_size % 2 = 0 THEN '啊' ELSE '座' END || 'ａ' AS text, CASE WHEN p_size % 3 = 0 THEN 'none' ELSE 'hard' END AS stop, CASE WHEN p_size % 3 = 0 THEN 12 ELSE 4 END::BIGINT AS next, '' AS unknown FROM part")
@@ -346,7 +421,7 @@ def text_gb2312(spark: SparkSession, sf_dir: str) -> DataFrame:
     char = F.when(F.col("p_size") % 2 == 0, "30A1").otherwise("57F9")
     body = F.concat(char, F.lit("2361"), F.when(F.col("p_size") % 3 == 0, "1F06" * 4).otherwise("1F03"))
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.unhex(body).alias("bytes"))
-    return E.entry_texts(E.events(E.tokens(rows)), most=12)
+    return plain_texts(T1.decoded(rows, charset=T1.GB_CODES, most=12))
 
 
 @query("SELECT p_brand, arg_max(p_name, p_partkey) AS p_name FROM part GROUP BY p_brand")
