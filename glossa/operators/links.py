@@ -19,6 +19,34 @@ def followed(refs: DataFrame, targets: DataFrame) -> DataFrame:
     return refs.join(targets, "target")
 
 
+def followed_first(refs: DataFrame, uses: DataFrame) -> DataFrame:
+    """refs joined to the first location that uses their target. uses: target, location, any number of rows for a target.
+
+    Only what some reference names is grouped: the uses meet the distinct targets before they are counted out.
+    """
+    asked = written(refs.select("target").distinct(), "targets")
+    first = uses.join(asked, "target", "left_semi").groupBy("target").agg(F.min("location").alias("location"))
+    return followed(refs, first)
+
+
+def reachable(edges: DataFrame, starts: DataFrame, most_steps: int | None = None) -> DataFrame:
+    """start, node, depth: all nodes that can be reached from each start, itself at depth 0, with the fewest steps. edges: source, target; starts: node.
+
+    Each round follows the nodes found by the last one and keeps those that their start hasn't met, so links may run in circles. Rounds
+    are written, and a pair of start and node is met once; the walk ends when a round finds nothing, or after ``most_steps``.
+    """
+    links = written(edges.select(F.col("source").alias("at"), F.col("target").alias("to")).where("at IS NOT NULL AND to IS NOT NULL").distinct(), "links")
+    found = frontier = written(starts.select(F.col("node").alias("start"), "node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "reached")
+    depth = 0
+    while depth != most_steps and not frontier.isEmpty():
+        depth += 1
+        ahead = frontier.join(links, F.col("node") == F.col("at")).select("start", F.col("to").alias("node")).distinct()
+        new = ahead.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = written(new, "reached")
+        found = found.unionByName(frontier)
+    return found
+
+
 def menu_tree(edges: DataFrame, roots: DataFrame, deepest: int = 100) -> DataFrame:
     """node, label, level, path of a tree walked from its roots. edges: parent, node, label; roots: node, label.
 

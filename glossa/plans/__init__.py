@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables. Importing a module of this folder registers its queries."""
 
-from . import discs, presentation, searches, streams, words
+from . import collections, discs, presentation, searches, streams, words
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "discs", "presentation", "searches", "streams", "words"]
+__all__ = ["QUERIES", "SQL", "collections", "discs", "presentation", "searches", "streams", "words"]

@@ -228,8 +228,28 @@ def text_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ref_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages to the first document that has their word."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("word"))
-    targets = words.groupBy(F.concat(F.lit("/"), "word").alias("target")).agg(F.min("doc_id").alias("location"))
-    return L.followed(L.references(table(spark, sf_dir, "pages")), targets).select("page_id", "nth", "target", "location")
+    uses = words.select(F.concat(F.lit("/"), "word").alias("target"), F.col("doc_id").alias("location"))
+    return L.followed_first(L.references(table(spark, sf_dir, "pages")), uses).select("page_id", "nth", "target", "location")
+
+
+#: Links lead from a page to another by the letters of what they name; they run in circles.
+LINKS = f"(SELECT DISTINCT page_id AS source, (page_id * 3 + ascii(substr(target, 2, 1)) + 31 * length(target)) % (SELECT count(*) FROM pages) AS target FROM {REFS})"
+
+
+@query(
+    rf"""WITH RECURSIVE walk AS (
+            SELECT min(page_id) AS start, min(page_id) AS node, 0 AS depth FROM pages GROUP BY regexp_extract(url, '^[a-z]+://([^/]+)', 1)
+            UNION SELECT start, target, depth + 1 FROM walk JOIN {LINKS} ON node = source WHERE depth < 40
+        ) SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node"""
+)
+def ref_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page that can be reached from the first page of each host by links, with the fewest steps."""
+    pages = table(spark, sf_dir, "pages")
+    refs = L.references(pages)
+    n = pages.agg(F.count(F.lit(1)).alias("n"))
+    letter = F.coalesce(F.ascii(F.substring("target", 2, 1)), F.lit(0))
+    edges = refs.join(n).select(F.col("page_id").alias("source"), ((F.col("page_id") * 3 + letter + 31 * F.length("target")) % F.col("n")).alias("target"))
+    return L.reachable(edges, pages.groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)).agg(F.min("page_id").alias("node")))
 
 
 #: Mappings of three layers; uses of codes, some of them unmapped.

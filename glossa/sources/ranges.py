@@ -89,7 +89,7 @@ class PageReader(DataSourceReader):
             raise ValueError(f"unknown mode: {self.mode}")
 
     def files(self) -> Iterator[tuple[str, int]]:
-        """Paths and lengths, from the listing alone."""
+        """Paths and lengths, from the listing alone; hidden files are passed over, as by other readers."""
         from pyarrow import fs
 
         system, path = opened_at(self.path)
@@ -98,7 +98,7 @@ class PageReader(DataSourceReader):
         top = system.get_file_info(path)
         found = [top] if top.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
         for f in sorted(found, key=lambda f: f.path):
-            if f.is_file and f.size and (not self.names or plain(f.base_name) in self.names):
+            if f.is_file and f.size and not f.base_name.startswith((".", "_")) and (not self.names or plain(f.base_name) in self.names):
                 yield prefix + f.path, f.size
 
     def partitions(self) -> Sequence[InputPartition]:
