@@ -24,6 +24,11 @@ def run_of(keys: Sequence[str], word: str, exact: bool = False) -> tuple[int, in
     return bisect_left(keys, word), bisect_right(keys, word, key=None if exact else lambda k: k[: len(word)])
 
 
+def _goes_on(firsts: Sequence[str], bucket: int, word: str) -> bool:
+    """Whether the next bucket begins within the word's run."""
+    return bucket + 1 < len(firsts) and firsts[bucket + 1][: len(word)] <= word
+
+
 @dataclass(frozen=True)
 class StoredIndex:
     """Where an index is, its key, and the first key of each bucket, as many as there are buckets."""
@@ -74,6 +79,41 @@ class StoredIndex:
         hits = dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(meet, "word string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
         return queries.join(hits, "word")
 
+    def taken_while(self, queries: DataFrame, order: str = "ord") -> DataFrame:
+        """matched(), but as a scan in ``order`` gives it that stops at the first entry whose key is beyond the word and doesn't begin with it.
+
+        On an index whose order is that of its keys this is matched(). Else a word's stop is the least order number of all keys beyond its
+        run: of its last bucket's the least of the bucket's end, taken in the bucket, of later buckets their least, one number each.
+        """
+        key = self.key
+        least = self.entries().groupBy("bucket").agg(F.min(order).alias("first")).collect()  # one number for each bucket
+        after, low = [None] * (len(self.firsts) + 1), None
+        known = {r["bucket"]: r["first"] for r in least}
+        for i in range(len(self.firsts) - 1, -1, -1):
+            after[i] = low
+            low = min((x for x in (low, known.get(i)) if x is not None), default=None)
+        dealt, firsts = self.buckets_of(queries, False), self.firsts
+
+        def stops(asked: pa.Table, held: pa.Table) -> pa.Table:
+            held = held.sort_by(key)
+            keys, numbers = held[key].to_pylist(), held[order].to_pylist()
+            ends: list[int | None] = [None] * (len(keys) + 1)
+            for i in range(len(keys) - 1, -1, -1):
+                ends[i] = numbers[i] if ends[i + 1] is None else min(numbers[i], ends[i + 1])
+            words, out = [], []
+            for word, bucket in zip(asked["word"].to_pylist(), asked["bucket"].to_pylist()):
+                high = run_of(keys, word)[1]
+                words.append(word)
+                # Where the run goes on in the next bucket, that one says what is beyond it.
+                beyond = [] if _goes_on(firsts, bucket, word) else [x for x in (ends[high], after[bucket]) if x is not None]
+                out.append(min(beyond, default=None))
+            return pa.table([pa.array(words, pa.string()), pa.array(out, pa.int64())], names=["word", "stop"])
+
+        asked = self.entries().select(key, order, "bucket").join(dealt.select("bucket").distinct(), "bucket", "left_semi")
+        stop = dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(stops, "word string, stop long").groupBy("word").agg(F.min("stop").alias("stop"))
+        hits = self.matched(queries).join(stop, "word", "left")
+        return hits.where(F.col("stop").isNull() | (F.col(order) < F.col("stop"))).drop("stop")
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 

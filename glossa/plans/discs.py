@@ -51,7 +51,7 @@ def leaves(rows: DataFrame, head: str, value: Column) -> DataFrame:
 
 
 def keys(found: DataFrame) -> DataFrame:
-    return found.withColumn("key", F.hex("key"))
+    return found.withColumn("key", F.hex("key")).drop("error")
 
 
 JIS_SQL = "list_aggregate(list_transform(string_split({x}, ''), lambda c: CASE c WHEN ' ' THEN '2121' ELSE '23' || hex(c) END), 'string_agg', '')"
@@ -104,7 +104,7 @@ def src_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.concat(F.lit("0000"), title, directory, F.lit("00000000"), be(F.col("p_partkey") % 100 + 2, 2))
     books = joined(parts(spark, sf_dir), ["leaf"], "p_partkey", F.rpad(entry, 328, "0"))
     books = books.select(F.col("leaf").alias("book"), F.lit("EPWING").alias("disc"), F.unhex(F.concat(be(F.col("n"), 2), F.lit("00" * 14), F.col("hex"))).alias("content"))
-    return D.catalog(books).drop("disc")
+    return D.catalog(books).drop("disc", "error")
 
 
 @query("SELECT p_partkey // 40 AS book, (p_partkey % 40)::INT AS code, width, slot, left(width, 1) || p_partkey || slot AS name FROM part, (SELECT unnest(['wide', 'narrow']) AS width), (SELECT unnest([0, 1, 2, 3])::INT AS slot) WHERE slot <> p_partkey % 5")
@@ -118,6 +118,34 @@ def src_catalog_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.catalog_fonts(books).drop("disc")
 
 
+DAMAGED = "leaf % 9 = 0"
+
+
+@query(
+    f"""SELECT leaf, slot, CASE WHEN slot < 5 OR NOT ({DAMAGED}) THEN 'fixed' ELSE 'error' END AS kind, CASE WHEN slot < 5 OR NOT ({DAMAGED}) THEN key END AS key
+        FROM (SELECT {SLOT}, min(p_partkey % 40) OVER (PARTITION BY p_partkey // 40)::INT AS first, {JIS_SQL.replace('{x}', 'left(p_name, 2)')} AS key FROM part) WHERE slot - first <= 5 OR NOT ({DAMAGED})""".replace("slot < 5", "slot - first < 5")
+)
+def src_leaf_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ninth leaf ends after its fifth entry: five entries, then a row for the error; all other leaves are whole."""
+    whole = leaves(parts(spark, sf_dir), "8004", F.concat(jis(F.substring("p_name", 1, 2)), places()))
+    cut = whole.withColumn("bytes", F.when(F.expr(DAMAGED), F.substring("bytes", F.lit(1), F.lit(4 + 5 * 16 + 3))).otherwise(F.col("bytes")))
+    first = parts(spark, sf_dir).groupBy("leaf").agg(F.min("nth").alias("first"))
+    found = D.leaf_entries(cut, mode="permissive").join(first, "leaf")
+    return found.select("leaf", (F.col("slot") + F.col("first")).alias("slot"), "kind", F.hex("key").alias("key"))
+
+
+@query(f"SELECT leaf, count(*) AS n FROM (SELECT {SLOT} FROM part) GROUP BY leaf, slot // 20 HAVING NOT ({DAMAGED} AND slot // 20 = 1)".replace("SELECT leaf, count(*) AS n", "SELECT leaf, slot // 20 AS half, count(*) AS n"))
+def src_catalog_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogs of 20 subbooks, some of them cut: those are left out."""
+    p = parts(spark, sf_dir).withColumn("half", F.floor(F.col("nth") / 20).cast("int"))
+    entry = F.rpad(F.concat(F.lit("0000"), jis(F.lit("x"))), 328, "0")
+    books = joined(p, ["leaf", "half"], "p_partkey", entry)
+    bad = F.expr(DAMAGED) & (F.col("half") == 1)
+    content = F.concat(be(F.col("n"), 2), F.lit("00" * 14), F.col("hex"))
+    books = books.select("leaf", "half", F.lit("EPWING").alias("disc"), F.unhex(F.when(bad, F.substring(content, F.lit(1), F.length("hex"))).otherwise(content)).alias("content"))
+    return D.catalog(books, mode="drop").groupBy("leaf", "half").agg(F.count(F.lit(1)).alias("n"))
+
+
 IDS = list(D.INDEX_NAMES)
 
 
@@ -130,7 +158,7 @@ def src_index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.concat(be(index_id, 1), F.lit("00"), be(F.col("p_partkey") + 1, 4), be(F.col("p_size"), 4), be(F.col("p_partkey") % 3, 1), be(F.col("p_partkey") * 3000 % (1 << 24), 3), F.lit("0000"))
     pages = joined(parts(spark, sf_dir), ["leaf"], "p_partkey", record)
     pages = pages.select(F.col("leaf").alias("book"), F.unhex(F.concat(F.lit("00"), be(F.col("n"), 1), F.lit("000002" + "00" * 11), F.col("hex"))).alias("bytes"))
-    return D.index_table(pages)
+    return D.index_table(pages).drop("error")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.stored import fresh_path
 from ..streaming import lookups as S
@@ -30,6 +31,19 @@ def drained(spark: SparkSession, out: DataFrame) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{path}/result")
 
 
+def updates(spark: SparkSession, out: DataFrame) -> DataFrame:
+    """Runs a stream of updates over all that is there; each batch is kept beside the others, with its number."""
+    path = fresh_path(spark, "updates")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # A batch that is run again after a failure replaces itself.
+        batch.write.mode("overwrite").parquet(f"{path}/result/batch={number}")
+
+    writer = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(StructType([*out.schema.fields]).add("batch", "long")).parquet(f"{path}/result")
+
+
 def typed(events: DataFrame) -> DataFrame:
     """Events as keystrokes: the type's first letters are the word."""
     n = (F.col("user_id") % 3 + 1).cast("int")
@@ -51,3 +65,29 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = S.beginnings(headwords(spark, sf_dir).select("key").distinct())
     out = S.answered(typed(stream_of(spark, sf_dir, "events")).select("word"), keys)
     return drained(spark, out.groupBy("word").agg(F.count(F.lit(1)).alias("hits")))
+
+
+@query(
+    f"""WITH t AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM {TYPED}),
+        s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM t)
+        SELECT user_id, count(*) AS keystrokes, arg_max(word, (ts, event_id)) AS word, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end" FROM s GROUP BY user_id, nth"""
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's runs of keystrokes, parted by pauses of half an hour."""
+    out = drained(spark, S.sessions(typed(stream_of(spark, sf_dir, "events")), delay="100 days"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("user_id", "keystrokes", "word", shown("start"), shown("end"))
+
+
+@query(f"SELECT user_id, arg_max(word, (ts, event_id)) AS word, count(*) AS keystrokes FROM {TYPED} GROUP BY user_id")
+def stream_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in each user's search box after all keystrokes: the last update of each."""
+    out = updates(spark, S.standing_words(typed(stream_of(spark, sf_dir, "events")), delay="100 days", idle="100 days"))
+    return out.where("open").groupBy("user_id").agg(F.max_by("word", "keystrokes").alias("word"), F.max("keystrokes").alias("keystrokes"))
+
+
+@query(f"SELECT user_id, strftime(time_bucket(INTERVAL 1 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS start, arg_max(word, ts) AS word FROM {TYPED} GROUP BY ALL")
+def stream_last_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last word that each user typed in each minute."""
+    out = drained(spark, S.latest_keystrokes(typed(stream_of(spark, sf_dir, "events")), delay="100 days"))
+    return out.select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "word")

@@ -357,7 +357,7 @@ def opened(spark: SparkSession, path: str, range_bytes: int | None = None, mode:
     disc = F.when(F.col("plain") == "catalogs", "EPWING").otherwise("EB")
     heads = heads.select(F.col("directory").alias("book"), disc.alias("disc"), "content").join(languages, "book", "left").withColumn("charset", F.coalesce("charset", F.lit(T.JIS_CODES)))
     heads = heads.withColumn("version", F.when(F.col("disc") == "EPWING", be_uint(F.substring("content", 3, 2))))
-    subbooks = D.catalog(heads).withColumn("subbook", F.concat_ws("/", "book", "directory"))
+    subbooks = D.catalog(heads).drop("error").withColumn("subbook", F.concat_ws("/", "book", "directory"))
 
     data = named.where(F.col("plain").isin(*DATA_FILES)).withColumn("in_data", F.lower("directory").endswith("/data"))
     data = data.withColumn("home", F.lower(F.when(F.col("in_data"), F.regexp_replace("directory", "/[^/]*$", "")).otherwise(F.col("directory"))))
@@ -372,6 +372,6 @@ def opened(spark: SparkSession, path: str, range_bytes: int | None = None, mode:
 
     tables = pages.join(subbooks.select("subbook", F.col("index_page").alias("page")), ["subbook", "page"]).select("subbook", "bytes")
     # Of several indexes with one number the last counts, but a subbook may have many multi searches.
-    listed = D.index_table(tables).withColumn("own", F.when(F.col("name") == "multi", F.col("nth")))
+    listed = D.index_table(tables).drop("error").withColumn("own", F.when(F.col("name") == "multi", F.col("nth")))
     indexes = written(latest(listed, ["subbook", "index_id", "own"], "nth").drop("own"), "indexes")
     return Collection(spark, subbooks, pages, indexes)

@@ -23,6 +23,19 @@ FIELD_IDS = (0x71, 0x72, 0x91, 0x92, 0xA1, 0xA2, 0xB1, 0xB2)
 KANA_IDS = (0x70, 0x90, 0xA1, 0xB1)
 
 
+MODES = ("failfast", "permissive", "drop")
+
+
+def checked(rows: DataFrame, error: Column, mode: str) -> DataFrame:
+    """rows with ``error``: null, or what is wrong with the row. failfast raises the first, drop leaves such rows out."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    if mode == "failfast":
+        return rows.withColumn("error", F.when(error.isNotNull(), F.raise_error(error)).cast("string"))
+    found = rows.withColumn("error", error)
+    return found.where("error IS NULL") if mode == "drop" else found
+
+
 def part(data: Column, at: Column | int, n: Column | int) -> Column:
     """n bytes from a place that counts from 0."""
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
@@ -52,17 +65,20 @@ def ascii_name(data: Column) -> Column:
     return F.decode(F.unhex(hexes), "ISO-8859-1")
 
 
-def catalog(books: DataFrame, content: str = "content", disc: str = "disc") -> DataFrame:
-    """The subbooks of each catalog: code, title, directory, index_page. An EB entry has 40 bytes, an EPWING one 164.
+def catalog(books: DataFrame, content: str = "content", disc: str = "disc", mode: str = "failfast") -> DataFrame:
+    """The subbooks of each catalog: code, title, directory, index_page, error. An EB entry has 40 bytes, an EPWING one 164.
 
-    A catalog that lists none, or that ends within an entry, is an error. Titles are in the book's charset, if books have that column.
+    A catalog that lists none, or that ends within an entry, is an error; permissively it is one row with it. Titles are in the book's
+    charset, if books have that column.
     """
     c, epwing = F.col(content), F.col(disc) == "EPWING"
     size, title = F.when(epwing, 164).otherwise(40), F.when(epwing, 80).otherwise(30)
-    count = F.least(be_uint(part(c, 0, 2)), F.lit(50))
+    count = F.least(F.coalesce(be_uint(part(c, 0, 2)), F.lit(0)), F.lit(50))
     whole = F.octet_length(c) >= 16 + count * size
-    checked = F.when((count > 0) & whole, count).otherwise(F.raise_error("catalog: no subbooks, or a truncated entry").cast("long"))
-    each = books.withColumn("code", F.explode(F.sequence(F.lit(0), (checked - 1).cast("int"))))
+    bad = F.when((count == 0) | ~F.coalesce(whole, F.lit(False)), "catalog: no subbooks, or a truncated entry")
+    rows = checked(books, bad, mode)
+    fine = F.col("error").isNull()
+    each = rows.withColumn("code", F.explode_outer(F.when(fine, F.sequence(F.lit(0), (count - 1).cast("int")))))
     at = F.lit(16) + F.col("code") * size
     name = at + 2 + title
     name_of = (lambda x: F.when(F.col("charset") == 1, latin_text(x)).otherwise(jis_text(x))) if "charset" in books.columns else jis_text
@@ -71,7 +87,8 @@ def catalog(books: DataFrame, content: str = "content", disc: str = "disc") -> D
         "code",
         name_of(part(c, at + 2, title)).alias("title"),
         ascii_name(part(c, name, 8)).alias("directory"),
-        F.when(epwing, be_uint(part(c, name + 12, 2))).otherwise(1).cast("long").alias("index_page"),
+        F.when(fine, F.when(epwing, be_uint(part(c, name + 12, 2))).otherwise(1)).cast("long").alias("index_page"),
+        "error",
     )
 
 
@@ -105,17 +122,18 @@ def applied_style(index_id: Column, flags: Column, available: Column, overall: C
     return F.struct(space, *out)
 
 
-def index_table(pages: DataFrame, content: str = "bytes") -> DataFrame:
-    """The indexes that a page lists: index_id, name, start_page, end_page, available, overall, flags.
+def index_table(pages: DataFrame, content: str = "bytes", mode: str = "failfast") -> DataFrame:
+    """The indexes that a page lists: index_id, name, start_page, end_page, available, overall, flags, error.
 
-    Records without a start or blocks are skipped. Of several with one number the last counts: see latest().
+    Records without a start or blocks are skipped. Of several with one number the last counts: see latest(). A page that lists none, or
+    more than it can hold, is an error; permissively it is one row with it.
     """
     c = F.col(content)
     count = be_uint(part(c, 1, 1))
     overall = be_uint(part(c, 4, 1))
-    bad = (count == 0) | (count >= PAGE // 16)
-    checked = pages.withColumn("count", F.when(bad, F.raise_error("bad index table").cast("long")).otherwise(count))
-    each = checked.withColumn("nth", F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))))
+    bad = F.when(F.coalesce((count == 0) | (count >= PAGE // 16), F.lit(True)), "bad index table")
+    rows = checked(pages, bad, mode)
+    each = rows.withColumn("nth", F.explode_outer(F.when(F.col("error").isNull(), F.sequence(F.lit(0), (count - 1).cast("int")))))
     at = (F.col("nth") + 1) * 16
     start, blocks, index_id = be_uint(part(c, at + 2, 4)), be_uint(part(c, at + 6, 4)), be_uint(part(c, at, 1))
     names = F.create_map(*[F.lit(x) for pair in INDEX_NAMES.items() for x in pair])
@@ -130,8 +148,9 @@ def index_table(pages: DataFrame, content: str = "bytes") -> DataFrame:
         be_uint(part(c, at + 10, 1)).alias("available"),
         F.when(overall > 2, 0).otherwise(overall).alias("overall"),
         be_uint(part(c, at + 11, 3)).alias("flags"),
+        "error",
     )
-    return rows.where("start_page > 0 AND blocks > 0").drop("blocks")
+    return rows.where("(start_page > 0 AND blocks > 0) OR error IS NOT NULL").drop("blocks")
 
 
 def multi_table(pages: DataFrame, content: str = "bytes") -> DataFrame:
@@ -170,13 +189,15 @@ def multi_table(pages: DataFrame, content: str = "bytes") -> DataFrame:
 LEAF = "array<struct<kind:string,key:binary,text:binary,heading:binary>>"
 
 
-def leaf_entries(pages: DataFrame, layout: str = "word", content: str = "bytes") -> DataFrame:
-    """The entries of index leaves, in their order on the page: slot, kind, key, text_page, text_offset, heading_page, heading_offset.
+def leaf_entries(pages: DataFrame, layout: str = "word", content: str = "bytes", mode: str = "failfast") -> DataFrame:
+    """The entries of index leaves, in their order on the page: slot, kind, key, text_page, text_offset, heading_page, heading_offset, error.
 
     The first byte says whether entries are grouped (0x10), the second gives the length of fixed keys, 0 for keys
     with their own lengths. In groups 00 is a single entry, 80 a header, C0 a member; in the layouts ``multi`` and
     ``keyword`` headers count members in four bytes and members have no key; a keyword's header has the heading and
-    its members the text alone. A page is parsed along itself by one fold; other pages don't matter to it.
+    its members the text alone. A page is parsed along itself by one fold; other pages don't matter to it. An entry of
+    another kind, or one that overruns the page, is an error, and what follows on its page can't be read: permissively it is a row of kind
+    ``error``, and the entries before it are there.
     """
     c = F.col(content)
     length, grouped = be_uint(part(c, 1, 1)), be_uint(part(c, 0, 1)).bitwiseAND(F.lit(0x10)) > 0
@@ -201,17 +222,20 @@ def leaf_entries(pages: DataFrame, layout: str = "word", content: str = "bytes")
             member = F.struct((at + 13).alias("size"), entry("member", none, part(c, at + 1, 6), part(c, at + 7, 6)).alias("e"))
         else:
             member = F.struct((at + 14 + own).alias("size"), entry("member", part(c, at + 2, own), part(c, at + 2 + own, 6), part(c, at + 8 + own, 6)).alias("e"))
-        bad = F.raise_error("index leaf: unknown entry").cast(f"struct<size:bigint,e:{LEAF[6:-1]}>")
+        bad = F.struct(F.lit(None).cast("long").alias("size"), entry("error", none, none, none).alias("e"))
         got = F.when(~grouped & (length > 0), fixed).when(~grouped, varied).when(kind == 0, single).when(kind == 0x80, header).when(kind == 0xC0, member).otherwise(bad)
-        return F.struct(got["size"].cast("long").alias("at"), F.concat(acc["out"], F.array(got["e"])).alias("out"))
+        got = F.when(got["size"] <= F.octet_length(c), got).otherwise(bad)
+        after = F.struct(got["size"].cast("long").alias("at"), F.concat(acc["out"], F.array(got["e"])).alias("out"))
+        return F.when(at.isNull(), acc).otherwise(after)
 
     count = be_uint(part(c, 2, 2)).cast("int")
     start = F.struct(F.lit(4).cast("long").alias("at"), F.array().cast(LEAF).alias("out"))
     entries = F.aggregate(F.sequence(F.lit(1), count), start, step, lambda acc: acc["out"])
     rest = [x for x in pages.columns if x != content]
     each = pages.where(count > 0).select(*rest, F.posexplode(entries).alias("slot", "e"))
+    each = checked(each, F.when(F.col("e.kind") == "error", "index leaf: an unknown entry, or one that overruns the page"), mode)
     place = lambda f, name: (be_uint(part(F.col(f"e.{f}"), 0, 4)).alias(f"{name}_page"), be_uint(part(F.col(f"e.{f}"), 4, 2)).alias(f"{name}_offset"))
-    return each.select(*rest, "slot", "e.kind", "e.key", *place("text", "text"), *place("heading", "heading"))
+    return each.select(*rest, "slot", "e.kind", "e.key", *place("text", "text"), *place("heading", "heading"), "error")
 
 
 def glyphs(fonts: DataFrame, content: str = "content") -> DataFrame:

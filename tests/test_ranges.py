@@ -184,6 +184,41 @@ def test_a_stored_index_splits_equal_keys(spark):
     index.drop()
 
 
+def test_a_scan_stops_at_the_first_key_beyond(spark):
+    """Words whose runs fill one bucket, several, and none; the order isn't that of the keys."""
+    import random
+
+    random.seed(6)
+    keys = ["A"] * 40 + ["AB"] * 90 + ["ABC"] * 10 + ["B", "BA", "C"] * 20
+    random.shuffle(keys)
+    index = write_index(spark.createDataFrame(list(enumerate(keys)), "ord long, key string"), "key", bucket_rows=25)
+    words = ["A", "AB", "ABC", "B", "BB", "C", "CC", "", "0"]
+    got = {(r.word, r.ord) for r in index.taken_while(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    want = set()
+    for w in words:
+        stop = next((i for i, k in enumerate(keys) if k > w and not k.startswith(w)), len(keys))
+        want |= {(w, i) for i, k in enumerate(keys[:stop]) if k.startswith(w)}
+    assert got == want
+    index.drop()
+
+
+def test_a_search_box_is_replaced_closed_and_counts_late_keys(spark, tmp_path):
+    import datetime as dt
+
+    from glossa.plans.streams import updates
+    from glossa.streaming.lookups import standing_words
+
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    batches = [[(at(0), 1, 1, "a"), (at(1), 1, 2, "ab"), (at(1), 2, 3, "z")], [(at(0), 1, 4, "late"), (at(50), 2, 5, "zz")], [(at(59), 3, 6, "q")], [(at(59), 3, 7, "q")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "ts timestamp, user_id long, event_id long, word string").coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+    stream = spark.readStream.schema("ts timestamp, user_id long, event_id long, word string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    rows = updates(spark, standing_words(stream, delay="5 minutes", idle="20 minutes")).collect()
+    opened = [(r.user_id, r.word, r.keystrokes) for r in rows if r.open]
+    assert (1, "ab", 2) in opened and (1, "ab", 3) in opened and (3, "q", 1) in opened and (3, "q", 2) in opened
+    assert (1, "ab", 3) in [(r.user_id, r.word, r.keystrokes) for r in rows if not r.open]
+
+
 def test_runs_of_sorted_keys():
     keys = ["a", "ab", "ab", "abc", "b"]
     assert run_of(keys, "ab") == (1, 4) and run_of(keys, "ab", exact=True) == (1, 3) and run_of(keys, "") == (0, 5) and run_of(keys, "c") == (5, 5)
