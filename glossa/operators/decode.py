@@ -8,7 +8,7 @@ stack, so subscripts may stand in subscripts and spans in spans.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,12 +62,14 @@ class Decoder:
             return bytes((found[0] | 0x80, found[1])).decode("gb2312", "replace")
         return found.decode("iso8859-1") if kind == "latin" else ""
 
-    def read(self, data: bytes, stop: int | None = None, heading: bool = False, most: int = MOST, start: int = 0) -> tuple:
+    def read(self, data: bytes, stop: int | None = None, heading: bool = False, most: int = MOST, start: int = 0, known: Mapping[str, str] | None = None) -> tuple:
         """text, stop, next, unknown, spans, error of the entry that begins at ``start``.
 
         stop: the escape and its argument as one number, 0x1F09 << 16 | 1 for example; without it the keyword escape that
-        opened the entry ends it. Neither counts before the first character nor in headings, which a line end ends.
+        opened the entry ends it. Neither counts before the first character nor in headings, which a line end ends. known: what
+        private characters stand for, by name; others are tags, and unknown.
         """
+        known = known or {}
         out: list[str] = []
         size, at = 0, start
         printed = narrow = False
@@ -89,8 +91,10 @@ class Decoder:
                 if skip is None:
                     if kind == "own":
                         name = f"{'h' if narrow or self.charset == LATIN else 'z'}{int.from_bytes(token[0], 'big'):04x}"
-                        unknown.add(name)
-                        piece = f"<gaiji={name}>"
+                        piece = known.get(name)
+                        if piece is None:
+                            unknown.add(name)
+                            piece = f"<gaiji={name}>"
                     else:
                         piece = self.characters(kind, token[0])
                     out.append(piece)
@@ -150,17 +154,17 @@ class Decoder:
         return "".join(out), ended, at, ",".join(sorted(unknown)), spans, error
 
 
-def decoded(entries: DataFrame, charset: Column | int = JIS_CODES, epwing: Column | bool = True, stop: Column | None = None, heading: bool = False, most: int = MOST) -> DataFrame:
+def decoded(entries: DataFrame, charset: Column | int = JIS_CODES, epwing: Column | bool = True, stop: Column | None = None, heading: bool = False, most: int = MOST, known: Column | None = None) -> DataFrame:
     """entries' columns without ``bytes``, and text, stop, next, unknown, spans and error.
 
     bytes: an entry's, from its position on, ``most`` at most. stop: a column with the escape and argument that end entries, as one
     number, null where that isn't known. spans: kind, start and end in the text, page and offset of references and candidates (null
     where they lead nowhere), and value, the argument of keywords, decorations and indents. An entry that breaks off within
-    a token has an ``error`` and the text up to there.
+    a token has an ``error`` and the text up to there. known: a column with a map from names of private characters to what they stand for.
     """
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     kept = [c for c in entries.columns if c != "bytes"]
-    rows = entries.select(F.struct(*kept).alias("row"), "bytes", lit(charset).cast("int").alias("charset"), lit(epwing).cast("boolean").alias("epwing"), (stop if stop is not None else F.lit(None)).cast("long").alias("stop"))
+    rows = entries.select(F.struct(*kept).alias("row"), "bytes", lit(charset).cast("int").alias("charset"), lit(epwing).cast("boolean").alias("epwing"), (stop if stop is not None else F.lit(None)).cast("long").alias("stop"), (known if known is not None else F.lit(None)).cast("map<string,string>").alias("known"))
     names = [f.split()[0] for f in RESULT.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string()]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("page", pa.int64()), ("offset", pa.int32()), ("value", pa.int32())]))
@@ -168,7 +172,7 @@ def decoded(entries: DataFrame, charset: Column | int = JIS_CODES, epwing: Colum
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoders: dict[tuple, Decoder] = {}
         for b in batches:
-            data, charsets, discs, stops = (b.column(i).to_pylist() for i in range(1, 5))
+            data, charsets, discs, stops, maps = (b.column(i).to_pylist() for i in range(1, 6))
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 got = []
@@ -176,7 +180,7 @@ def decoded(entries: DataFrame, charset: Column | int = JIS_CODES, epwing: Colum
                     how = (charsets[i] or JIS_CODES, discs[i] is not False)
                     if how not in decoders:
                         decoders[how] = Decoder(*how)
-                    got.append(decoders[how].read(data[i] or b"", stops[i], heading, most))
+                    got.append(decoders[how].read(data[i] or b"", stops[i], heading, most, known=dict(maps[i] or ())))
                 cols = list(zip(*got))
                 fields = span.value_type
                 flat = [s for x in cols[4] for s in x]

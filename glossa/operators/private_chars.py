@@ -4,25 +4,39 @@ from __future__ import annotations
 
 import unicodedata as ud
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.codes import cell_after, gaiji_name
 
 SCHEMA = "narrow boolean, code long, replacement string"
 
 
-def run(spark: SparkSession, start: int, characters: str, narrow: bool = True) -> DataFrame:
-    """Characters on consecutive cells."""
-    one = spark.range(1).select(F.posexplode(F.split(F.lit(characters), "")).alias("i", "replacement"))
-    return one.select(F.lit(narrow).alias("narrow"), cell_after(F.lit(start).cast("long"), F.col("i")).alias("code"), "replacement")
+def run(rows: DataFrame, *by: str) -> DataFrame:
+    """Characters on consecutive cells. rows: ``by``, narrow, start, characters; the result: ``by``, narrow, code, replacement."""
+    each = rows.select(*by, "narrow", "start", F.posexplode(F.split("characters", "")).alias("i", "replacement")).where("replacement <> ''")
+    return each.select(*by, "narrow", cell_after(F.col("start").cast("long"), F.col("i")).alias("code"), "replacement")
 
 
-def accents(spark: SparkSession, start: int, letters: str, mark: str, narrow: bool = True) -> DataFrame:
-    """Letters with a combining mark, composed, on consecutive cells; composition is done once for the few letters."""
-    rows = [(i, ud.normalize("NFC", c + mark)) for i, c in enumerate(letters)]
-    table = spark.createDataFrame(rows, "i long, replacement string")
-    return table.select(F.lit(narrow).alias("narrow"), cell_after(F.lit(start).cast("long"), F.col("i")).alias("code"), "replacement")
+@F.pandas_udf(StringType())
+def composed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: ud.normalize("NFC", x), na_action="ignore")
+
+
+def accents(rows: DataFrame, *by: str) -> DataFrame:
+    """Letters with a combining mark, composed, on consecutive cells. rows: ``by``, narrow, start, letters, mark."""
+    each = run(rows.withColumnRenamed("letters", "characters"), *by, "mark")
+    return each.select(*by, "narrow", "code", composed(F.concat("replacement", "mark")).alias("replacement"))
+
+
+def series(rows: DataFrame, *by: str) -> DataFrame:
+    """Pairs of a hexadecimal code and a replacement, separated by white space. rows: ``by``, narrow, text."""
+    parts = F.split(F.trim("text"), r"\s+")
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), lambda i: F.struct(F.get(parts, i * 2).alias("code"), F.get(parts, i * 2 + 1).alias("replacement")))
+    each = rows.where(F.size(parts) >= 2).select(*by, "narrow", F.explode(pairs).alias("p"))
+    return each.select(*by, "narrow", F.conv("p.code", 16, 10).cast("long").alias("code"), "p.replacement")
 
 
 def both_widths(table: DataFrame) -> DataFrame:
@@ -35,13 +49,6 @@ def leaked(table: DataFrame, first: int) -> DataFrame:
     return table.where(F.col("code") >= first).select((~F.col("narrow")).alias("narrow"), "code", "replacement")
 
 
-def series(spark: SparkSession, text: str, narrow: bool = False) -> DataFrame:
-    """Pairs of a hexadecimal code and a replacement, separated by white space."""
-    parts = spark.range(1).select(F.posexplode(F.split(F.trim(F.lit(text)), r"\s+")).alias("i", "part"))
-    pairs = parts.groupBy(F.floor(F.col("i") / 2).alias("pair")).agg(F.min_by("part", "i").alias("code"), F.max_by("part", "i").alias("replacement"))
-    return pairs.select(F.lit(narrow).alias("narrow"), F.conv("code", 16, 10).cast("long").alias("code"), "replacement")
-
-
 def resolved(layers: DataFrame, by: tuple[str, ...] = ("narrow", "code")) -> DataFrame:
     """The replacement of the highest layer for each code; an empty one prints nothing and still counts."""
     return layers.groupBy(*by).agg(F.max_by("replacement", "layer").alias("replacement"), F.max("layer").alias("layer"))

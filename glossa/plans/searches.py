@@ -283,9 +283,14 @@ def gaiji_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.unmapped(uses(spark, sf_dir), G.resolved(layers(spark, sf_dir)))
 
 
-@query("SELECT true AS narrow, (CASE WHEN i < 2 THEN 41341 + i ELSE 41505 + i - 2 END)::BIGINT AS code, substr('abçdé', i + 1, 1) AS replacement FROM (SELECT unnest(range(0, 5))::INT AS i)")
+CELL = "((start // 256 + (start % 256 - 33 + i) // 94) * 256 + 33 + (start % 256 - 33 + i) % 94)::BIGINT AS code"
+
+
+@query(f"SELECT p_partkey, p_size % 2 = 0 AS narrow, {CELL}, substr(p_name, i + 1, 1) AS replacement FROM (SELECT *, 41249 + p_size + p_partkey % 60 AS start, unnest(range(0, length(p_name)))::INT AS i FROM part)")
 def gaiji_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.run(spark, 0xA17D, "abçdé")
+    """Each part's name on the cells from its own first one on, over the ends of rows."""
+    p = table(spark, sf_dir, "part")
+    return G.run(p.select("p_partkey", (F.col("p_size") % 2 == 0).alias("narrow"), (41249 + F.col("p_size") + F.col("p_partkey") % 60).alias("start"), F.col("p_name").alias("characters")), "p_partkey")
 
 
 @query(f"SELECT DISTINCT unnest([true, false]) AS narrow, code, replacement FROM {LAYERS}")
@@ -298,14 +303,21 @@ def gaiji_leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.leaked(layers(spark, sf_dir), 41270)
 
 
-@query("SELECT false AS narrow, c::BIGINT AS code, r AS replacement FROM (VALUES (45345, 'ア'), (45346, 'イ'), (45438, '—')) t(c, r)")
+@query("SELECT p_partkey, false AS narrow, (45345 + p_size + k)::BIGINT AS code, string_split(p_name, ' ')[k + 1] AS replacement FROM part, (SELECT unnest([0, 1])::INT AS k) WHERE len(string_split(p_name, ' ')) > k")
 def gaiji_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.series(spark, " b121 ア  b122 イ b17e — ")
+    """The words of each part's name after a code each, as text."""
+    p = table(spark, sf_dir, "part")
+    words = F.slice(F.split("p_name", " "), 1, 2)
+    text = F.array_join(F.transform(words, lambda w, i: F.concat(F.lower(F.hex(45345 + F.col("p_size") + i)), F.lit(" "), w)), "  ")
+    return G.series(p.select("p_partkey", F.lit(False).alias("narrow"), F.concat(F.lit(" "), text, F.lit(" ")).alias("text")), "p_partkey")
 
 
-@query("SELECT true AS narrow, (41249 + i)::BIGINT AS code, substr('áéíóú', i + 1, 1) AS replacement FROM (SELECT unnest(range(0, 5))::INT AS i)")
+@query(f"SELECT p_partkey, true AS narrow, {CELL}, nfc_normalize(substr(p_name, i + 1, 1) || CASE WHEN p_size % 2 = 0 THEN chr(769) ELSE chr(776) END) AS replacement FROM (SELECT *, 41249 + p_size AS start, unnest(range(0, length(p_name)))::INT AS i FROM part)")
 def gaiji_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.accents(spark, 0xA121, "aeiou", "́")
+    """The letters of each part's name under an acute or a diaeresis, composed."""
+    p = table(spark, sf_dir, "part")
+    mark = F.when(F.col("p_size") % 2 == 0, "\u0301").otherwise("\u0308")
+    return G.accents(p.select("p_partkey", F.lit(True).alias("narrow"), (41249 + F.col("p_size")).alias("start"), F.col("p_name").alias("letters"), mark.alias("mark")), "p_partkey")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '±' WHEN 1 THEN '→' END || p_name AS replacement FROM part WHERE p_partkey % 4 < 2")

@@ -11,14 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import PAGE, be_uint
+from ..functions.codes import PAGE, be_uint, gaiji_name
 from ..functions.normalize import CONVERT, canonical_by, full_width, latin, to_hira, upper_latin
 from ..operators import boundary as B
 from ..operators import decode as T
 from ..operators import entries as E
 from ..operators import lookup as K
 from ..operators.postings import multi_lists
-from ..operators.private_chars import latest
+from ..operators.private_chars import latest, resolved
 from ..operators.runs import carried, grouped_entries, running_total
 from ..operators.stored import written
 from . import discs as D
@@ -307,9 +307,21 @@ class Collection:
         charsets = F.create_map(*[F.lit(x) for pair in CHARSETS.items() for x in pair])
         return rows.select(*self.subbooks.columns, charsets[F.col("charset")].alias("charset_name"), F.array_join(searches, ", ").alias("searches"), "labels", "fonts")
 
-    def texts(self, places: DataFrame, heading: bool = False, stop: tuple[int, int] | DataFrame | None = None) -> DataFrame:
+    def gaiji_of(self, tables: DataFrame) -> DataFrame:
+        """The private characters of each subbook: subbook, name, replacement. tables: title, layer, narrow, code, replacement.
+
+        A table is for the subbooks of exactly its title, one without a title for all; of several the highest layer counts, whatever the title.
+        """
+        rows = tables.select("title", "layer", gaiji_name(F.col("narrow"), F.col("code")).alias("name"), "replacement")
+        met = self.subbooks.select("subbook", F.col("title").alias("own")).join(rows, F.col("title").isNull() | (F.col("title") == F.col("own")))
+        return resolved(met, ("subbook", "name")).select("subbook", "name", "replacement")
+
+    def texts(self, places: DataFrame, heading: bool = False, stop: tuple[int, int] | DataFrame | None = None, gaiji: DataFrame | None = None) -> DataFrame:
         """Entries at places (subbook, location): subbook, location, text, stop, next, unknown, spans, error.
 
+        gaiji: tables of private characters, as gaiji_of() takes them. Entries are read for the names they use first, so that each is read again
+        with those alone.
+
         stop: the escape and argument that end entries, or those of each subbook (subbook, code, argument), as stop_codes() gives them.
         Each entry is read as its book writes.
         """
@@ -319,7 +331,14 @@ class Collection:
             rows = rows.join(stop.select("subbook", number(F.col("code"), F.col("argument")).alias("ends")), "subbook", "left")
         else:
             rows = rows.withColumn("ends", F.lit(number(*stop) if stop else None).cast("long"))
-        out = T.decoded(rows, F.col("charset"), F.col("epwing"), F.col("ends"), heading)
+        read = lambda rows, known=None: T.decoded(rows, F.col("charset"), F.col("epwing"), F.col("ends"), heading, known=known)
+        if gaiji is None:
+            out = read(rows)
+        else:
+            rows = written(rows, "entries")
+            used = read(rows).select("subbook", "location", F.explode(F.split("unknown", ",")).alias("name")).where("name <> ''")
+            named = used.join(self.gaiji_of(gaiji), ["subbook", "name"]).groupBy("subbook", "location").agg(F.map_from_entries(F.collect_list(F.struct("name", "replacement"))).alias("known"))
+            out = read(rows.join(named, ["subbook", "location"], "left"), F.col("known"))
         return out.select("subbook", "location", "text", "stop", (F.col("location") + F.col("next")).alias("next"), "unknown", "spans", "error")
 
     def bytes_at(self, places: DataFrame, most: int = E.MOST, pages: DataFrame | None = None) -> DataFrame:

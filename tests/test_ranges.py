@@ -138,6 +138,19 @@ def test_members_need_their_header_and_their_own_key(spark, tmp_path):
     assert got == {1: [200, 400], 3: [500, 700, 800], 4: [600, 800], 5: [800]}
 
 
+def test_private_characters_by_title_and_layer(spark, tmp_path):
+    """A table for the book's title comes over one for all, in the layers' order; spans count what is shown."""
+    table = b"\0\1\0\0\2".ljust(16, b"\0") + record(0x02, 2)
+    text = b"\x1f\x04\xa1\x21\x1f\x05\xa1\x21\x1f\x42\0\0\xb1\x22\x1f\x62" + bytes.fromhex("000000050000") + b"\xb1\x23\x1f\x03"
+    c = opened(spark, laid_out(tmp_path, on_pages(table, text), "HONMON"))
+    rows = [(None, 0, True, 0xA121, "low"), ("Ｗｏｒｄｓ", 1, True, 0xA121, "é"), ("Ｏｔｈｅｒ", 2, True, 0xA121, "no"), ("Ｗｏｒｄｓ", 1, False, 0xA121, ""), (None, 2, False, 0xB122, "long one")]
+    tables = spark.createDataFrame(rows, "title string, layer int, narrow boolean, code long, replacement string")
+    [got] = c.texts(c.subbooks.select("subbook", F.lit(2048).cast("long").alias("location")), gaiji=tables).collect()
+    assert got.text == "élong one<gaiji=zb123>" and got.unknown == "zb123" and [(s.start, s.end, s.page) for s in got.spans] == [(1, 9, 5)]
+    [bare] = c.texts(c.subbooks.select("subbook", F.lit(2048).cast("long").alias("location"))).collect()
+    assert bare.text == "<gaiji=ha121><gaiji=za121><gaiji=zb122><gaiji=zb123>"
+
+
 def test_menus_may_lead_in_circles(spark, tmp_path):
     bcd = lambda page: int(str(page), 16).to_bytes(4, "big") + b"\0\1"
     line = lambda s, to: b"\x1f\x43" + jis(s) + b"\x1f\x63" + to + b"\x1f\x0a"
