@@ -39,6 +39,12 @@ def candidates(escapes: DataFrame, starts: int | None = None, least: float = 0.5
     return each.join(total, "subbook").withColumn("share", share).where(F.col("share") >= least).drop("total")
 
 
+def in_order(found: DataFrame) -> DataFrame:
+    """Candidates with ``nth``, their place in their subbook: by offset, then the more frequent first, then by code. They are few."""
+    order = Window.partitionBy("subbook").orderBy("offset", F.desc("share"), "code", "argument")
+    return found.withColumn("nth", F.row_number().over(order))
+
+
 def prologue(starts: DataFrame) -> DataFrame:
     """The escapes around entry starts, as candidates() takes them. starts: subbook, start, bytes (twelve from four before the start on, or null)."""
     each = starts.select("subbook", "start", F.explode(F.array(*map(F.lit, (-4, 0, 4)))).alias("offset"), "bytes")

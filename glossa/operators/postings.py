@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stored import written
+
 WORD = "[A-Za-z]+"
 
 
@@ -29,14 +31,19 @@ def asked_postings(queries: DataFrame, entries: DataFrame) -> DataFrame:
 def keyword_and(queries: DataFrame, entries: DataFrame) -> DataFrame:
     """query, text: entries that use all words of a query. queries: query, nth, keyword, one row per distinct word; entries: text, words.
 
-    The list of each query's rarest word is walked, and its entries are tested for the other words, so that a
-    common word's list never meets the queries.
+    The list of each query's rarest word is walked, and its entries are looked up in the lists of the other words, so that a
+    common word's list never meets the queries. Entries are taken apart once: the postings of asked words are written.
     """
-    posts = asked_postings(queries, entries)
+    posts = written(asked_postings(queries, entries), "postings")
     drivers = rarest(queries, document_frequency(posts)).where("df > 0").select("query", F.col("driver").alias("keyword"))
-    wanted = queries.groupBy("query").agg(F.collect_list("keyword").alias("wanted"))
-    found = posts.join(drivers, "keyword").join(wanted, "query").join(entries, "text")
-    return found.where(F.size(F.array_except("wanted", "words")) == 0).select("query", "text")
+    walked = posts.join(drivers, "keyword")
+    others = queries.select("query", F.col("keyword").alias("other"))
+    need = others.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
+    asked = walked.join(others, "query").where("other <> keyword").select("query", "text", F.col("other").alias("keyword"))
+    met = asked.join(posts, ["text", "keyword"]).select("query", "text")
+    # A query's own driver counts as one of its words.
+    found = walked.select("query", "text").unionByName(met).groupBy("query", "text").agg(F.count(F.lit(1)).alias("met"))
+    return found.join(need, "query").where("met = need").select("query", "text")
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:

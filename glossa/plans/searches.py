@@ -419,9 +419,9 @@ def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("subbook"), F.col("event_id").alias("start"), code.alias("code"), F.lit(0).alias("argument"), F.lit(0).alias("offset"))
 
 
-@query(f"SELECT * FROM {CANDIDATES}")
+@query(f"SELECT *, row_number() OVER (PARTITION BY subbook ORDER BY \"offset\", share DESC, code, argument)::INT AS nth FROM {CANDIDATES}")
 def stop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.candidates(escapes(spark, sf_dir), least=0.2)
+    return B.in_order(B.candidates(escapes(spark, sf_dir), least=0.2))
 
 
 @query("SELECT subbook, shape, count(*) AS n FROM (SELECT user_id AS subbook, event_type AS shape, count(*) OVER (PARTITION BY user_id) AS total FROM events) GROUP BY subbook, shape HAVING count(*) >= greatest(2, any_value(total) // 200)")
