@@ -74,6 +74,19 @@ def components(texts, size=2, percent=80):
     return {k: (len(s), root(k)) for k, s in sets.items()}
 
 
+def without_boilerplate(texts, hosts, ratio=0.05, least=3):
+    """Texts without the lines that stand on more than a share of their host's different pages."""
+    ends = " \t\n\x0b\x0c\r"
+    pages = defaultdict(set)
+    for k, t in texts.items():
+        pages[hosts[k]].add(t)
+    bad = {}
+    for host, all_pages in pages.items():
+        n = Counter(x for t in all_pages for x in {y.strip(ends) for y in t.split("\n")} - {""})
+        bad[host] = {x for x, k in n.items() if k >= least and k > ratio * len(all_pages)}
+    return {k: "\n".join(x for x in t.split("\n") if x.strip(ends) not in bad[hosts[k]]) for k, t in texts.items()}
+
+
 def check_packing(pieces, ids_of, length=2048):
     """pieces: named tuples of op3's columns; ids_of: doc_id to its ids with the end id. Every rule of packing holds."""
     by_doc, by_seq = defaultdict(list), defaultdict(list)
