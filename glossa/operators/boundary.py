@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .entries import read_end, stop_token
+from .decode import chains_cut
+from .entries import MOST
 from .runs import running_total
 from .stored import written
 
@@ -63,35 +64,35 @@ def spread(starts: DataFrame, trials: int) -> DataFrame:
     return starts.withColumns({"nth": nth, "step": step}).where("nth % step = 0 AND nth DIV step < " + str(int(trials))).select("subbook", "start")
 
 
-def followed(candidates: DataFrame, seeds: DataFrame, known: DataFrame, shapes: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int = 25) -> DataFrame:
-    """subbook, code, argument, offset, start, good: chained(), with each entry read from its bytes when a chain comes to it.
+def followed(candidates: DataFrame, seeds: DataFrame, known: DataFrame, shapes: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], depth: int = 25) -> DataFrame:
+    """subbook, code, argument, offset, start, good: chained(), with entries read from their bytes.
 
     known: subbook, start; shapes: subbook, shape, all of one length in a subbook: a place is an entry's start if it is known or
-    begins with a shape. fetch gives subbook, start and bytes for places (subbook, start). A step reads the places that the step
-    before came to, seeds times candidates at most, and is written before the next.
+    begins with a shape. fetch gives subbook, start and so many bytes for places (subbook, start). A round reads each chain as far as its bytes
+    go, keeps it up to its first bad read, and is written; the next goes on where bytes were lacking. There are seeds times candidates chains.
     """
     key = ["subbook", "code", "argument", "offset"]
-    marks = known.select("subbook", "start", F.lit(True).alias("known")).distinct()
+    marks = known.select("subbook", F.col("start").alias("to"), F.lit(True).alias("known")).distinct()
     shapes = shapes.select("subbook", "shape", F.octet_length("shape").alias("width"))
     widths = shapes.groupBy("subbook").agg(F.max("width").alias("width"))
-    ahead = candidates.select(*key).join(seeds.select("subbook", "start").distinct(), "subbook").withColumn("came_from", F.lit(None).cast("long"))
-    reads = seen = None
-    for step in range(int(depth) + 1):
-        rows = ahead.join(fetch(ahead.select("subbook", "start").distinct()), ["subbook", "start"], "left")
-        rows = rows.join(marks, ["subbook", "start"], "left").join(widths, "subbook", "left").withColumn("shape", F.substring("bytes", F.lit(1), F.col("width")))
-        rows = rows.join(shapes.select("subbook", "shape", F.lit(True).alias("fits")), ["subbook", "shape"], "left")
-        good = F.lit(step == 0) | F.coalesce("known", "fits", F.lit(False))
-        end = read_end(F.col("bytes"), stop_token(F.col("code"), F.col("argument"))) if step < depth else F.lit(None).cast("struct<stop:string,next:bigint>")
-        level = written(rows.select(*key, "start", "came_from", good.alias("good"), end.alias("end")), "reads")
-        judged = level.where("came_from IS NOT NULL").select(*key, F.col("came_from").alias("start"), "good")
-        reads = judged if reads is None else reads.unionByName(judged)
-        fresh = level if seen is None else level.join(seen, [*key, "start"], "left_anti")
-        seen = level.select(*key, "start") if seen is None else seen.unionByName(level.select(*key, "start"))
-        to = F.col("start") + F.col("end.next") - 4 - F.col("offset")
-        ahead = written(fresh.where("good AND end.stop = 'soft'").select(*key, to.alias("start"), F.col("start").alias("came_from")).distinct(), "ahead")
-        if ahead.isEmpty():
-            break
-    return reads.distinct()
+    ahead = candidates.select(*key).join(seeds.select("subbook", "start").distinct(), "subbook").withColumn("left", F.lit(int(depth)).cast("long"))
+    ahead = written(ahead, "ahead")
+    reads = met = None
+    while not ahead.isEmpty():
+        rows = ahead.join(fetch(ahead.select("subbook", "start").distinct(), MOST), ["subbook", "start"]).join(widths, "subbook", "left")
+        rows = rows.withColumns({"ends": F.col("code") * 65536 + F.col("argument"), "width": F.coalesce("width", F.lit(0)), "begin": F.col("start")})
+        cut = written(chains_cut(rows).select(*key, "begin", "reads", "resume"), "cut")
+        each = cut.select(*key, "begin", F.posexplode("reads").alias("nth", "r")).select(*key, "begin", "nth", "r.start", "r.to", "r.shape")
+        each = each.join(marks, ["subbook", "to"], "left").join(shapes.select("subbook", "shape", F.lit(True).alias("fits")), ["subbook", "shape"], "left")
+        each = written(each.select(*key, "begin", "nth", "start", F.coalesce("known", "fits", F.lit(False)).alias("good")), "reads")
+        bad = each.where("NOT good").groupBy(*key, "begin").agg(F.min("nth").alias("bad"))
+        own = each.join(bad, [*key, "begin"], "left").where("bad IS NULL OR nth <= bad").select(*key, "start", "good")
+        reads = own if reads is None else reads.unionByName(own)
+        done = ahead.select(*key, "start")
+        met = done if met is None else met.unionByName(done)
+        rest = cut.where("resume IS NOT NULL").join(bad, [*key, "begin"], "left_anti").select(*key, "resume.start", "resume.left")
+        ahead = written(rest.groupBy(*key, "start").agg(F.max("left").alias("left")).join(met, [*key, "start"], "left_anti"), "ahead")
+    return reads.distinct() if reads is not None else ahead.select(*key, "start", F.lit(True).alias("good"))
 
 
 def signatures(shapes: DataFrame) -> DataFrame:

@@ -235,6 +235,47 @@ def headings_cut(streams: DataFrame, most: int = MOST) -> DataFrame:
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {CUT}").select("row.*", "found", "done", "resume")
 
 
+def chains_cut(places: DataFrame, most: int = MOST) -> DataFrame:
+    """Entries read one after the other from each place on, as far as the bytes go: places' columns without ``bytes``, and reads and resume.
+
+    places: start, offset, ends (the escape and argument that end entries, as one number), width (of shapes), left (how many entries to read) and
+    bytes. reads: start of each entry that ends softly, ``to``, where the next one begins if that escape stands ``offset`` bytes behind its start,
+    and the shape there. resume: the place from which bytes are lacking and the number of entries left, null where the chain is at its end.
+    """
+    kept = [c for c in places.columns if c != "bytes"]
+    rows = places.select(F.struct(*kept).alias("row"), "bytes", *[F.col(c).cast("long").alias(f"x_{c}") for c in ("start", "offset", "ends", "width", "left")])
+    read_type = pa.list_(pa.struct([("start", pa.int64()), ("to", pa.int64()), ("shape", pa.binary())]))
+    rest_type = pa.struct([("start", pa.int64()), ("left", pa.int64())])
+
+    def follow(decoder: Decoder, data: bytes, start: int, offset: int, ends: int, width: int, left: int) -> tuple[list, dict | None]:
+        at, out = 0, []
+        full = len(data) >= most  # more bytes may follow
+        while left > 0 and 0 <= at < len(data):
+            _, stop, after, *_ = decoder.read(data, ends, most=most, start=at)
+            to = after - 4 - offset
+            if full and (stop != "soft" or to + width > len(data)):
+                # The entry, or the shape behind it, may go on beyond the bytes; one that began with them is as long as an entry may be.
+                return out, {"start": start + at, "left": left} if at > 0 else None
+            if stop != "soft":
+                break
+            out.append({"start": start + at, "to": start + to, "shape": data[to : to + width] if to >= 0 else None})
+            left -= 1
+            if to <= at:  # back into what was read: another chain's place, or none
+                return out, {"start": start + to, "left": left} if left > 0 and start + to >= 0 else None
+            at = to
+        return out, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(JIS_CODES, True)
+        for b in batches:
+            got = [follow(decoder, data or b"", *rest) for data, *rest in zip(*(b.column(i).to_pylist() for i in range(1, 7)))]
+            reads, rest = zip(*got) if got else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(reads, read_type), pa.array(rest, rest_type)], names=["row", "reads", "resume"])
+
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, reads array<struct<start:long,to:long,shape:binary>>, resume struct<start:long,left:long>"
+    return rows.mapInArrow(run, schema).select("row.*", "reads", "resume")
+
+
 def spans_of(texts: DataFrame, kind: str) -> DataFrame:
     """A row for each span of a kind, in the order in which they end: texts' columns without spans, nth, start, end, page, offset, value, label (its text)."""
     kept = [c for c in texts.columns if c not in ("spans", "error", "unknown", "next", "stop")]

@@ -232,8 +232,8 @@ class Collection:
         shapes = around.join(width, "subbook").select("subbook", "start", F.substring("bytes", F.lit(5), F.col("width")).alias("shape"))
         shapes = B.signatures(shapes).where(F.hex("shape").rlike("^(1F......)+$"))
 
-        def fetch(places: DataFrame) -> DataFrame:
-            rows = self.bytes_at(places.select("subbook", F.col("start").alias("location")), E.MOST, pages)
+        def fetch(places: DataFrame, most: int) -> DataFrame:
+            rows = self.bytes_at(places.select("subbook", F.col("start").alias("location")), most, pages)
             return rows.select("entry.subbook", F.col("entry.location").alias("start"), "bytes")
 
         return B.chosen(B.scored(B.followed(found, B.spread(starts, trials), starts, written(shapes, "shapes"), fetch, depth)))
