@@ -33,14 +33,15 @@ def keyword_and(queries: DataFrame, entries: DataFrame) -> DataFrame:
 
     The list of each query's rarest word is walked, and its entries are looked up in the lists of the other words, so that a
     common word's list never meets the queries. Entries are taken apart once: the postings of asked words are written.
+    Their file is far smaller than their rows, so that its size must not let the planner broadcast them.
     """
     posts = written(asked_postings(queries, entries), "postings")
     drivers = rarest(queries, document_frequency(posts)).where("df > 0").select("query", F.col("driver").alias("keyword"))
-    walked = posts.join(drivers, "keyword")
+    walked = posts.hint("merge").join(drivers, "keyword")
     others = queries.select("query", F.col("keyword").alias("other"))
     need = others.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
     asked = walked.join(others, "query").where("other <> keyword").select("query", "text", F.col("other").alias("keyword"))
-    met = asked.join(posts, ["text", "keyword"]).select("query", "text")
+    met = asked.join(posts.hint("merge"), ["text", "keyword"]).select("query", "text")
     # A query's own driver counts as one of its words.
     found = walked.select("query", "text").unionByName(met).groupBy("query", "text").agg(F.count(F.lit(1)).alias("met"))
     return found.join(need, "query").where("met = need").select("query", "text")
