@@ -27,8 +27,17 @@ def _class_of(fits: Callable[[str], object], top: int = 0x20000) -> list[tuple[i
     return out
 
 
-def _pattern(ranges: list[tuple[int, int]]) -> str:
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+def _pattern(ranges: list[tuple[int, int]], most: int = 8) -> str:
+    """A character class in which every group of ranges stands behind the range that spans it.
+
+    A class is tried range by range, so that a character outside, a plain letter above all, is told by one comparison.
+    """
+    if len(ranges) <= most:
+        return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    step = -(-len(ranges) // most)
+    groups = [ranges[i : i + step] for i in range(0, len(ranges), step)]
+    inner = "".join(f"[\\x{{{g[0][0]:X}}}-\\x{{{g[-1][1]:X}}}&&{_pattern(g, most)}]" for g in groups)
+    return f"[\\x{{{ranges[0][0]:X}}}-\\x{{{ranges[-1][1]:X}}}&&[{inner}]]"
 
 
 #: Characters that take two columns, wide and full-width; those that combine and take none; digits of all kinds.

@@ -1,6 +1,12 @@
 """Steps that must stay bounded as tables grow."""
 
+import unicodedata as ud
+
+from pyspark.sql import functions as F
+
 from glossa import plans
+from glossa.functions import codes as C
+from glossa.functions import present as P
 
 
 def plan_of(df):
@@ -11,3 +17,30 @@ def test_keyword_and_broadcasts_no_postings(spark, sf_dir):
     """The postings' file is small at any scale that tests reach, and was broadcast for it."""
     plan = plan_of(plans.QUERIES["keyword_and"](spark, sf_dir))
     assert plan.count("SortMergeJoin [keyword") == 2 and "SortMergeJoin [text" in plan
+
+
+ODD = ["", "abc", "辞書ツール", "éé́abc", "辞́書〪語", "がぎく", "́a", "辞\x00書\x00x", "a\nb辞\nc", "😀😀ab", "辞\n", "x" * 40, "辞" * 40]
+
+
+def plain_width(s):
+    return sum(0 if ud.combining(c) else 2 if ud.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def plain_truncate(s, n):
+    out, width = "", 0 if n > 0 else 1  # nothing fits no columns
+    for c in s:
+        width += plain_width(c)
+        if width > n:
+            break
+        out += c
+    return out
+
+
+def odd_rows(spark):
+    return spark.createDataFrame(list(enumerate(ODD)), "n int, s string")
+
+
+def test_width_against_plain(spark):
+    rows = odd_rows(spark).select("s", P.display_width(F.col("s")).alias("x")).collect()
+    assert [r.x for r in rows] == [plain_width(r.s) for r in rows]
+    assert "&&" in P.WIDE and "&&" in P.COMBINING  # a plain letter is told by one comparison
