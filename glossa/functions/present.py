@@ -88,25 +88,25 @@ def display_width(s: Column) -> Column:
     return F.length(bare) + F.regexp_count(bare, F.lit(WIDE))
 
 
-def _fitting(s: Column, columns: Column) -> Column:
-    """How many characters fit: those whose running width stays within the columns."""
-    chars = F.split(s, "")
+def _fitting(s: Column, columns: int) -> Column:
+    """The beginning that fits: the characters whose running width stays within the columns.
 
-    def step(acc: Column, ch: Column) -> Column:
-        width = acc["width"] + display_width(ch)
-        fits = ~acc["over"] & (width <= columns)
-        return F.struct(width.alias("width"), (~fits).alias("over"), (acc["n"] + fits.cast("int")).alias("n"))
-
-    start = F.struct(F.lit(0).alias("width"), F.lit(False).alias("over"), F.lit(0).alias("n"))
-    return F.when(F.length(s) == 0, 0).otherwise(F.aggregate(chars, start, step, lambda acc: acc["n"]))
+    A wide character gets a second sign behind it, so that all that count are one column each and one pattern takes
+    them; a wide one whose second sign is left behind doesn't fit.
+    """
+    head = lambda x: F.regexp_extract(x, f"^(?s:{COMBINING}*+.){{0,{columns}}}+{COMBINING}*+", 0)
+    wide = f"((?!{COMBINING}){WIDE})"
+    # No character that counts takes less than a column, so that the rest of a long text isn't looked at.
+    fits = F.regexp_replace(head(F.regexp_replace(head(s), wide, "$1\x00")), wide + r"\z", "")
+    return F.regexp_replace(fits, wide + r"\x00", "$1")
 
 
 def truncate(s: Column, columns: int) -> Column:
     """The longest beginning that fits; a wide character is never split."""
     if columns <= 0:
         return F.lit("")
-    n = F.lit(columns)
-    return F.when(display_width(s) <= n, s).otherwise(F.substring(s, F.lit(1), _fitting(s, n)))
+    # Characters are two columns at most, so that short texts need no count.
+    return F.when(F.length(s) * 2 <= columns, s).otherwise(_fitting(s, columns))
 
 
 def pad(s: Column, columns: int) -> Column:

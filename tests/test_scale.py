@@ -44,3 +44,10 @@ def test_width_against_plain(spark):
     rows = odd_rows(spark).select("s", P.display_width(F.col("s")).alias("x")).collect()
     assert [r.x for r in rows] == [plain_width(r.s) for r in rows]
     assert "&&" in P.WIDE and "&&" in P.COMBINING  # a plain letter is told by one comparison
+
+
+def test_truncate_against_plain(spark):
+    for n in (0, 1, 2, 3, 4, 5, 7, 16):
+        rows = odd_rows(spark).select("s", P.truncate(F.col("s"), n).alias("x")).collect()
+        assert [r.x for r in rows] == [plain_truncate(r.s, n) for r in rows], n
+    assert "aggregate" not in str(P.truncate(F.col("s"), 16))
