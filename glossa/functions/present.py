@@ -111,8 +111,9 @@ def truncate(s: Column, columns: int) -> Column:
 
 def pad(s: Column, columns: int) -> Column:
     """Truncated, then filled with spaces to the number of columns."""
-    cut = truncate(s, columns)
-    return F.concat(cut, F.repeat(F.lit(" "), F.greatest(F.lit(columns) - display_width(cut), F.lit(0))))
+    filled = lambda cut: F.concat(cut, F.repeat(F.lit(" "), F.greatest(F.lit(columns) - display_width(cut), F.lit(0))))
+    # In an array, so that it is cut once for both its uses.
+    return F.element_at(F.transform(F.array(truncate(s, columns)), filled), 1)
 
 
 def hit_line(rank: Column, heading: Column, page: Column, offset: Column) -> Column:

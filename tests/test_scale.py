@@ -51,3 +51,11 @@ def test_truncate_against_plain(spark):
         rows = odd_rows(spark).select("s", P.truncate(F.col("s"), n).alias("x")).collect()
         assert [r.x for r in rows] == [plain_truncate(r.s, n) for r in rows], n
     assert "aggregate" not in str(P.truncate(F.col("s"), 16))
+
+
+def test_pad_against_plain(spark):
+    for n in (0, 1, 4, 7, 24):
+        rows = odd_rows(spark).select("s", P.pad(F.col("s"), n).alias("x")).collect()
+        cuts = [plain_truncate(r.s, n) for r in rows]
+        assert [r.x for r in rows] == [c + " " * (n - plain_width(c)) for c in cuts], n
+    assert str(P.pad(F.col("s"), 24)).count("regexp_extract") == str(P.truncate(F.col("s"), 24)).count("regexp_extract")
