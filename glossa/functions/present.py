@@ -161,24 +161,28 @@ def wrap_lines(s: Column, columns: int) -> Column:
     """
     pieces = F.regexp_extract_all(s, F.lit(rf"\n|{WIDE}|(?:(?!{WIDE})[^\s])+|[^\S\n]"), F.lit(0))
 
-    def step(acc: Column, piece: Column) -> Column:
-        width = display_width(piece)
+    # Widths are taken once, of pieces, and a line's is carried.
+    sized = F.transform(pieces, lambda piece: F.struct(piece.alias("piece"), display_width(piece).alias("width")))
+
+    def step(acc: Column, x: Column) -> Column:
+        piece, width = x["piece"], x["width"]
         line, lines = acc["line"], acc["lines"]
-        room = F.lit(columns) - display_width(line)
+        fits = width <= F.lit(columns) - acc["used"]
         blank = piece.rlike(r"^\s$") & (piece != "\n")
         # A piece longer than a line is cut at every full line; characters that aren't wide take one column.
         cut = F.regexp_extract_all(piece, F.lit(f".{{1,{columns}}}"), F.lit(0))
         long = width > F.lit(columns)
         new_lines = (
             F.when(piece == "\n", F.concat(lines, F.array(line)))
-            .when(width <= room, lines)
+            .when(fits, lines)
             .when(blank, F.concat(lines, F.array(line)))
             .when(long & (line == ""), F.concat(lines, F.slice(cut, 1, F.size(cut) - 1)))
             .when(long, F.concat(lines, F.array(line), F.slice(cut, 1, F.size(cut) - 1)))
             .otherwise(F.concat(lines, F.array(line)))
         )
-        new_line = F.when(piece == "\n", "").when(width <= room, F.concat(line, piece)).when(blank, "").when(long, F.element_at(cut, -1)).otherwise(piece)
-        return F.struct(new_lines.alias("lines"), new_line.alias("line"))
+        new_line = F.when(piece == "\n", "").when(fits, F.concat(line, piece)).when(blank, "").when(long, F.element_at(cut, -1)).otherwise(piece)
+        used = F.when(piece == "\n", 0).when(fits, acc["used"] + width).when(blank, 0).when(long, display_width(F.element_at(cut, -1))).otherwise(width)
+        return F.struct(new_lines.alias("lines"), new_line.alias("line"), used.alias("used"))
 
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
-    return F.aggregate(pieces, start, step, lambda acc: F.concat(acc["lines"], F.array(acc["line"])))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"), F.lit(0).alias("used"))
+    return F.aggregate(sized, start, step, lambda acc: F.concat(acc["lines"], F.array(acc["line"])))

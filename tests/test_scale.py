@@ -59,3 +59,10 @@ def test_pad_against_plain(spark):
         cuts = [plain_truncate(r.s, n) for r in rows]
         assert [r.x for r in rows] == [c + " " * (n - plain_width(c)) for c in cuts], n
     assert str(P.pad(F.col("s"), 24)).count("regexp_extract") == str(P.truncate(F.col("s"), 24)).count("regexp_extract")
+
+
+def test_wrap_takes_widths_once(spark):
+    rows = odd_rows(spark).select("s", P.wrap_lines(F.col("s"), 6).alias("x")).collect()
+    assert all(plain_width(line) <= 6 for r in rows for line in r.x)
+    assert all("".join(r.x).replace(" ", "") == r.s.replace("\n", "").replace(" ", "") for r in rows)
+    assert str(P.wrap_lines(F.col("s"), 6)).count("regexp_count") == 2
