@@ -66,3 +66,7 @@ def test_wrap_takes_widths_once(spark):
     assert all(plain_width(line) <= 6 for r in rows for line in r.x)
     assert all("".join(r.x).replace(" ", "") == r.s.replace("\n", "").replace(" ", "") for r in rows)
     assert str(P.wrap_lines(F.col("s"), 6)).count("regexp_count") == 2
+
+
+def test_raster_makes_its_bits_once():
+    assert str(C.raster(F.col("data"), F.lit(8))).count("conv(") == 1
