@@ -1,7 +1,12 @@
 """Steps that must stay bounded as tables grow."""
 
 import unicodedata as ud
+from functools import reduce
 
+import duckdb
+import pytest
+from conftest import rows_of, sql_rows
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa import plans
@@ -70,3 +75,21 @@ def test_wrap_takes_widths_once(spark):
 
 def test_raster_makes_its_bits_once():
     assert str(C.raster(F.col("data"), F.lit(8))).count("conv(") == 1
+
+
+@pytest.fixture(scope="module")
+def far_parts(spark, sf_dir, tmp_path_factory):
+    """The first parts under numbers of up to nine digits."""
+    path = str(tmp_path_factory.mktemp("far"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 60")
+    far = [p.withColumn("p_partkey", F.col("p_partkey") + at) for at in (0, 99_960, 1_199_960, 7_199_960, 999_999_920)]
+    reduce(DataFrame.unionByName, far).coalesce(1).write.parquet(f"{path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{path}/part.parquet/*.parquet'")
+    return path, con
+
+
+@pytest.mark.parametrize("name", ["src_catalog"])
+def test_names_of_far_parts(name, spark, far_parts):
+    path, con = far_parts
+    assert rows_of(plans.QUERIES[name](spark, path)) == sql_rows(con, plans.SQL[name])
