@@ -89,7 +89,7 @@ def far_parts(spark, sf_dir, tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["src_catalog"])
+@pytest.mark.parametrize("name", ["src_catalog", "src_catalog_fonts"])
 def test_names_of_far_parts(name, spark, far_parts):
     path, con = far_parts
     assert rows_of(plans.QUERIES[name](spark, path)) == sql_rows(con, plans.SQL[name])
