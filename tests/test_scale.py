@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from glossa import plans
 from glossa.functions import codes as C
 from glossa.functions import present as P
+from glossa.plans import discs
 
 
 def plan_of(df):
@@ -93,3 +94,18 @@ def far_parts(spark, sf_dir, tmp_path_factory):
 def test_names_of_far_parts(name, spark, far_parts):
     path, con = far_parts
     assert rows_of(plans.QUERIES[name](spark, path)) == sql_rows(con, plans.SQL[name])
+
+
+def test_page_stream_holds_a_page_at_most(spark):
+    """A group's stream was one string, and all of it went along with each of its pages."""
+    rows = spark.range(9000).selectExpr("id % 3 AS g", "id DIV 3 AS nth", "repeat(hex(id), cast(id % 7 AS int)) AS v")
+    want = {g: "".join(r.v for r in sorted(rows.where(f"g = {g}").collect(), key=lambda r: r.nth)) for g in range(3)}
+    pages = discs.page_stream(rows, "g", "nth", F.col("v")).collect()
+    assert max(len(r.hex) for r in pages) == 4096
+    got = {g: "".join(r.hex for r in sorted((r for r in pages if r.g == g), key=lambda r: r.page)) for g in range(3)}
+    assert got == want
+
+
+def test_numbered_in_two_levels(spark):
+    rows = discs.numbered(spark.range(20_000).selectExpr("id % 2 AS g", "id * 3 AS k"), "g", "k").collect()
+    assert all(r.nth == r.k // 6 for r in rows)
