@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import zlib
 from base64 import b32encode
 from collections.abc import Iterator
@@ -135,6 +136,12 @@ def write_archives(recs: DataFrame, path: str, file_bytes: int = 32_000_000, lev
     packed.write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", 4).text(path)
 
 
+def inflated_members(content: bytes) -> bytes:
+    """All members of a gzip file, read as a stream: gzip.decompress copies what is left of the file for each of them."""
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as members:
+        return members.read()
+
+
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
     """Headers and block of each record of one plain archive."""
     at, view = 0, memoryview(data)
@@ -170,7 +177,7 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
             for content in b.column(0):
                 rows: list[tuple] = []
                 held = 0
-                for h, block in parse_archive(gzip.decompress(content.as_py())):
+                for h, block in parse_archive(inflated_members(content.as_py())):
                     payload = size = None
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     if h["WARC-Type"] == "response":

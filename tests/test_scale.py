@@ -1,5 +1,8 @@
 """Steps that must stay bounded as tables grow."""
 
+import gzip
+import random
+import time
 import unicodedata as ud
 from functools import reduce
 
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from glossa import plans
 from glossa.functions import codes as C
 from glossa.functions import present as P
+from glossa.llm import warc
 from glossa.plans import discs
 
 
@@ -109,3 +113,11 @@ def test_page_stream_holds_a_page_at_most(spark):
 def test_numbered_in_two_levels(spark):
     rows = discs.numbered(spark.range(20_000).selectExpr("id % 2 AS g", "id * 3 AS k"), "g", "k").collect()
     assert all(r.nth == r.k // 6 for r in rows)
+
+
+def test_members_are_read_in_proportion():
+    """Members of a long file were read in a time that grew with their square."""
+    one = [warc.gzip_members(random.Random(i).randbytes(1200) + b"x" * 3000, 1) for i in range(100)]
+    begun = time.process_time()
+    found = warc.inflated_members(b"".join(one * 80))
+    assert time.process_time() - begun < 5 and found == b"".join(map(gzip.decompress, one)) * 80
