@@ -1,6 +1,7 @@
 """Steps that must stay bounded as tables grow."""
 
 import gzip
+import hashlib
 import random
 import time
 import unicodedata as ud
@@ -17,6 +18,7 @@ from glossa.functions import codes as C
 from glossa.functions import present as P
 from glossa.llm import warc
 from glossa.plans import discs
+from glossa.sources import ranges
 
 
 def plan_of(df):
@@ -121,3 +123,13 @@ def test_members_are_read_in_proportion():
     begun = time.process_time()
     found = warc.inflated_members(b"".join(one * 80))
     assert time.process_time() - begun < 5 and found == b"".join(map(gzip.decompress, one)) * 80
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    """A range of 64 KiB was a task, so that their number grew with the table."""
+    data = random.Random(7).randbytes(30 << 20)
+    (tmp_path / "honmon").write_bytes(data)
+    parts = ranges.PageReader({"path": str(tmp_path), "range_bytes": "65536"}).partitions()
+    assert len(parts) < 100 and sum(1 + len(p.rest) for p in parts) == 480
+    rows = ranges.disc_pages(spark, str(tmp_path), range_bytes=1 << 16).select("page", F.md5("bytes").alias("d")).collect()
+    assert len(rows) == 15360 and all(r.d == hashlib.md5(data[(r.page - 1) * 2048 : r.page * 2048]).hexdigest() for r in rows)
