@@ -12,7 +12,7 @@ from ..operators.stored import fresh_path
 from ..sources.collection import Collection
 from ..sources.ranges import disc_pages
 from .corpora import HEADWORDS, WORD_QUERIES, headwords, sql_map, word_queries
-from .discs import be, jis, joined
+from .discs import be, jis, joined, numbered, page_stream
 from .registry import query, table
 
 #: Documents in one file: files are bounded, and their number grows with the table.
@@ -103,9 +103,8 @@ def disc(spark: SparkSession, pages: DataFrame, indexes: DataFrame, latin: Colum
 
 def numbered_parts(spark: SparkSession, sf_dir: str, per_page: int) -> DataFrame:
     """Parts with their number in their brand, and the page and slot that this gives. A brand is a subbook."""
-    nth = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long")
     words = F.split("p_name", " ")
-    p = table(spark, sf_dir, "part").withColumns({"nth": nth, "first": F.upper(words[0]), "second": F.upper(words[1])})
+    p = numbered(table(spark, sf_dir, "part"), "p_brand", "p_partkey").withColumns({"first": F.upper(words[0]), "second": F.upper(words[1])})
     return p.withColumns({"page": F.expr(f"nth DIV {per_page} + 1"), "in_page": F.col("nth") % per_page})
 
 
@@ -152,15 +151,15 @@ def disc_keyword_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A keyword that all parts of a brand use: one group over many pages, its headings in one stream, which is read as far as hits are shown."""
     p = numbered_parts(spark, sf_dir, 60)
     member = F.concat(F.lit("C0"), place(F.col("p_partkey")))
-    heads = 4096 * 2048
+    heads = (1 << 22) * 2048  # no number of leaves reaches the page
     header = F.concat(F.lit("8006"), be(F.lit(1), 4), jis(F.lit("ALL")), place(F.lit(heads)))
     body = leaf_pages(p.where("nth > 0"), F.lit("B000"), member, 1)
     first = leaf_pages(p.where("nth = 0").withColumn("page", F.lit(0).cast("long")), F.lit("B000"), F.concat(header, member), 2)
     leaves = first.unionByName(body).withColumn("page", F.col("page") + 1)
     # The headings of a brand stand one after the other, each with its line end, over pages.
     heading = F.concat(jis(F.col("p_name")), F.lit("1F0A"))
-    streams = joined(p, ["p_brand"], "nth", heading).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("hex") / 4096))))
-    texts = streams.select(F.col("p_brand").alias("subbook"), (F.col("nth") + heads // 2048 + 1).alias("page"), F.unhex(F.substring("hex", (F.col("nth") * 4096 + 1).cast("int"), F.lit(4096))).alias("bytes"))
+    streams = page_stream(p, "p_brand", "nth", heading)
+    texts = streams.select(F.col("p_brand").alias("subbook"), (F.col("page") + heads // 2048 + 1).alias("page"), F.unhex("hex").alias("bytes"))
     indexes = p.groupBy(F.col("p_brand").alias("subbook")).agg((F.max("page") + 1).alias("end_page")).select("subbook", F.lit(0x80).cast("long").alias("index_id"), F.lit("keyword").alias("name"), F.lit(1).cast("long").alias("start_page"), "end_page")
     c = disc(spark, leaves.unionByName(texts), indexes)
     hits = c.keyword_search(spark.range(1).select(F.lit("all").alias("query"), F.lit(0).alias("nth"), F.lit(" all ").alias("word")), limit=90)
