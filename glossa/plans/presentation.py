@@ -10,7 +10,7 @@ from ..functions import present as P
 from ..functions.normalize import ASCII_WIDE
 from ..functions.normalize import mapped
 from .corpora import sql_map
-from .registry import query, table
+from .registry import query, spread, table
 
 LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)"
 
@@ -166,7 +166,8 @@ def font_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyphs of 8 by 16 made of each part's number."""
     byte = lambda r: F.lpad(F.hex((F.col("p_partkey") * (r + 1) * 37) % 256), 2, "0")
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), byte), ""))
-    return table(spark, sf_dir, "part").select("p_partkey", C.raster(data, F.lit(8)).alias("shown"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    return p.select("p_partkey", C.raster(data, F.lit(8)).alias("shown"))
 
 
 @query("SELECT p_partkey, '50340A3' || (p_size % 10) || '2032310A' || upper(hex(rpad(p_name, 21, 'x'))) AS file FROM part")

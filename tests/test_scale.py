@@ -133,3 +133,9 @@ def test_short_ranges_share_tasks(spark, tmp_path):
     assert len(parts) < 100 and sum(1 + len(p.rest) for p in parts) == 480
     rows = ranges.disc_pages(spark, str(tmp_path), range_bytes=1 << 16).select("page", F.md5("bytes").alias("d")).collect()
     assert len(rows) == 15360 and all(r.d == hashlib.md5(data[(r.page - 1) * 2048 : r.page * 2048]).hexdigest() for r in rows)
+
+
+@pytest.mark.parametrize("name", ["font_raster"])
+def test_long_work_on_rows_is_dealt_out(name, spark, sf_dir):
+    """A table of some MB was worked on by the task or two that read it."""
+    assert plans.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
