@@ -17,6 +17,7 @@ from glossa import plans
 from glossa.functions import codes as C
 from glossa.functions import present as P
 from glossa.llm import warc
+from glossa.operators import entries as E
 from glossa.plans import discs
 from glossa.sources import ranges
 
@@ -139,3 +140,14 @@ def test_short_ranges_share_tasks(spark, tmp_path):
 def test_long_work_on_rows_is_dealt_out(name, spark, sf_dir):
     """A table of some MB was worked on by the task or two that read it."""
     assert plans.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_tokens_are_dealt_out_by_bytes(spark, monkeypatch):
+    """Tokens were shuffled for their windows, into tasks that grew with the table."""
+    monkeypatch.setattr(E, "TASK_BYTES", 1000)
+    rows = spark.range(500).selectExpr("id AS entry", "unhex(concat('1F41010023', hex(65 + id % 26), '1F6123411F03')) AS bytes")
+    toks = E.tokens(rows)
+    assert toks.rdd.getNumPartitions() == 500 * 12 // 1000 + 1
+    found = E.entry_texts(E.events(toks))
+    assert plan_of(found).count("Exchange") == 1  # the entries', before they become tokens
+    assert {r.entry: r.text for r in found.collect()} == {i: chr(0xFF21 + i % 26) + "Ａ" for i in range(500)}
