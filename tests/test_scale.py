@@ -136,7 +136,7 @@ def test_short_ranges_share_tasks(spark, tmp_path):
     assert len(rows) == 15360 and all(r.d == hashlib.md5(data[(r.page - 1) * 2048 : r.page * 2048]).hexdigest() for r in rows)
 
 
-@pytest.mark.parametrize("name", ["font_raster"])
+@pytest.mark.parametrize("name", ["font_raster", "text_decode", "text_heading", "text_modes", "text_latin"])
 def test_long_work_on_rows_is_dealt_out(name, spark, sf_dir):
     """A table of some MB was worked on by the task or two that read it."""
     assert plans.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
