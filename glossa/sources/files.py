@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import PAGE, be_uint
 
+#: How many slices are inflated at once in a task: 16 MiB at most.
+AT_ONCE = 256
+
 
 def plain_name(name: Column) -> Column:
     """A file's name in lower case, without a version or a final dot, and without the suffix of compressed files."""
@@ -69,13 +74,22 @@ def ebzip_slices(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def inflated(slices: DataFrame) -> DataFrame:
-    """slices with ``bytes``: inflated, or as stored. One slice is 64 KiB at most; the last one is cut at the file's end."""
-    @F.pandas_udf("binary")
-    def inflate(data: pd.Series, raw: pd.Series) -> pd.Series:
+    """slices with ``bytes``: inflated, or as stored. One slice is 64 KiB at most; the last one is cut at the file's end.
+
+    A task's Python holds a batch of compressed slices and ``AT_ONCE`` inflated ones.
+    """
+    left = F.col("file_size") - F.col("slice").cast("long") * F.col("slice_size")
+    kept = [c for c in slices.columns if c not in ("data", "raw")]
+    rows = slices.select(F.struct(*kept).alias("row"), "data", "raw")
+
+    def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        return pd.Series([d if r else zlib.decompress(d) for d, r in zip(data, raw, strict=True)])
+        for b in batches:
+            for at in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(at, AT_ONCE)
+                whole = [d.as_py() if r.as_py() else zlib.decompress(d.as_py()) for d, r in zip(part.column(1), part.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.binary())], names=["row", "bytes"])
 
-    left = F.col("file_size") - F.col("slice").cast("long") * F.col("slice_size")
-    out = slices.withColumn("bytes", inflate("data", "raw"))
-    return out.withColumn("bytes", F.substring("bytes", F.lit(1), F.least(left, F.col("slice_size").cast("long")).cast("int"))).drop("data", "raw")
+    out = rows.mapInArrow(inflate, f"row {rows.schema['row'].dataType.simpleString()}, bytes binary").select("row.*", "bytes")
+    return out.withColumn("bytes", F.substring("bytes", F.lit(1), F.least(left, F.col("slice_size").cast("long")).cast("int")))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import time
 import unicodedata as ud
+import zlib
 from functools import reduce
 
 import duckdb
@@ -19,7 +20,7 @@ from glossa.functions import present as P
 from glossa.llm import warc
 from glossa.operators import entries as E
 from glossa.plans import discs
-from glossa.sources import ranges
+from glossa.sources import files, ranges
 
 
 def plan_of(df):
@@ -151,3 +152,20 @@ def test_tokens_are_dealt_out_by_bytes(spark, monkeypatch):
     found = E.entry_texts(E.events(toks))
     assert plan_of(found).count("Exchange") == 1  # the entries', before they become tokens
     assert {r.entry: r.text for r in found.collect()} == {i: chr(0xFF21 + i % 26) + "Ａ" for i in range(500)}
+
+
+def test_texts_are_packed_once_in_small_batches(spark, sf_dir):
+    """Batches of 10,000 texts and slices were held whole, in several forms, and each text was packed on both sides of a join."""
+    plan = plan_of(plans.QUERIES["src_ebzip"](spark, sf_dir)).split("Initial Plan")[-1]
+    assert plan.count("MapInArrow") == 2 and "ArrowEvalPython" not in plan and "Join" not in plan
+
+
+def test_slices_are_inflated_in_several_batches(spark):
+    """More slices than are inflated at once; every third stored as it is, the last one cut at the file's end."""
+    n = 2 * files.AT_ONCE + 7
+    data = [random.Random(i).randbytes(2048) for i in range(n)]
+    rows = [(i, i % 3 == 0, d if i % 3 == 0 else zlib.compress(d), 2048, n * 2048 - 5) for i, d in enumerate(data)]
+    slices = spark.createDataFrame(rows, "slice int, raw boolean, data binary, slice_size int, file_size long").coalesce(1)
+    found = files.inflated(slices)
+    assert found.columns == ["slice", "slice_size", "file_size", "bytes"] and "MapInArrow" in plan_of(found)
+    assert {r.slice: bytes(r.bytes) for r in found.collect()} == dict(enumerate([*data[:-1], data[-1][:-5]]))
