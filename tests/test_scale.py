@@ -169,3 +169,9 @@ def test_slices_are_inflated_in_several_batches(spark):
     found = files.inflated(slices)
     assert found.columns == ["slice", "slice_size", "file_size", "bytes"] and "MapInArrow" in plan_of(found)
     assert {r.slice: bytes(r.bytes) for r in found.collect()} == dict(enumerate([*data[:-1], data[-1][:-5]]))
+
+
+@pytest.mark.parametrize("name", ["text_candidates", "text_references", "text_events"])
+def test_tokens_of_entries_are_never_shuffled(name, spark, sf_dir):
+    plan = plan_of(plans.QUERIES[name](spark, sf_dir))
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
