@@ -175,3 +175,14 @@ def test_slices_are_inflated_in_several_batches(spark):
 def test_tokens_of_entries_are_never_shuffled(name, spark, sf_dir):
     plan = plan_of(plans.QUERIES[name](spark, sf_dir))
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_tokens_are_sorted_twice_and_subscripts_collected_once(spark):
+    """A task held three sorts of its tokens at once, and each subscript's text four times."""
+    rows = spark.createDataFrame([(1, bytes.fromhex("1F06 2331 2332 1F07 2341 1F06 2342 1F07 1F420000 2343 1F62 00000002 0003 1F03"))], "entry long, bytes binary")
+    ev = E.events(E.tokens(rows))
+    for found in (E.spans(ev, "42", "62"), E.entry_texts(ev)):
+        plan = plan_of(found)
+        assert plan.count("Sort [entry") == 2 and plan.count("collect_list(_w") == 1
+    assert E.entry_texts(ev).first().text == "１２Ａ(Ｂ)Ｃ"
+    assert tuple(E.spans(ev, "42", "62").first()) == (1, 6, 7, 2, 3)
