@@ -177,6 +177,21 @@ def test_tokens_of_entries_are_never_shuffled(name, spark, sf_dir):
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
 
 
+@pytest.mark.parametrize("name", ["text_candidates", "text_references", "text_events"])
+def test_a_task_has_as_many_entries_at_any_size(name, spark, sf_dir, tmp_path, monkeypatch):
+    """Tokens of a table ten times as large met in as few tasks, so that each sorted ten times as many."""
+    monkeypatch.setattr(E, "TASK_BYTES", 8192, raising=False)
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 200")
+    most = []
+    for copies in (1, 10):
+        path = str(tmp_path / str(copies))
+        p.crossJoin(spark.range(copies)).withColumn("p_partkey", F.col("p_partkey") + 200 * F.col("id")).drop("id").write.parquet(f"{path}/part.parquet")
+        tasks = plans.QUERIES[name](spark, path).groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert sum(t["count"] for t in tasks) == 200 * copies
+        most.append(max(t["count"] for t in tasks))
+    assert most[1] < 1.5 * most[0], most
+
+
 def test_tokens_are_sorted_twice_and_subscripts_collected_once(spark):
     """A task held three sorts of its tokens at once, and each subscript's text four times."""
     rows = spark.createDataFrame([(1, bytes.fromhex("1F06 2331 2332 1F07 2341 1F06 2342 1F07 1F420000 2343 1F62 00000002 0003 1F03"))], "entry long, bytes binary")
